@@ -53,11 +53,11 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` (rows first) within each ``offsets`` range; an empty range sums to zero."""
-    run = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, axis=0, dtype=np.float64, out=run[1:])
-    return run[offsets[1:]] - run[offsets[:-1]]
+def range_sums(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sums of ``values[low:high]`` for each pair; an empty range sums to zero."""
+    run = np.zeros(len(values) + 1)
+    np.cumsum(values, dtype=np.float64, out=run[1:])
+    return run[high] - run[low]
 
 
 def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, lm_score, secrets, simhash, topk
+from seqloom.llm import bpe, langid, lm_score, quality, secrets, simhash, topk
 from seqloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), langid.held_out_remainder(F.col("doc_id")))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"), lm_score.held_out_remainder(F.col("doc_id")))
 
@@ -26,6 +30,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,8 +47,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_secrets": op3_secrets,
+    "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
     "op8_bpe": op8_bpe,
     "op10_top_k": op10_top_k,
