@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, langid, lm_score, quality, secrets, simhash, topk
+from seqloom.llm import bpe, decontaminate, langid, lm_score, quality, secrets, simhash, topk
 from seqloom.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
     "op10_top_k": op10_top_k,
 }
