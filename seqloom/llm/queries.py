@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, decontaminate, langid, lm_score, quality, secrets, simhash, topk
+from seqloom.llm import bpe, decontaminate, langid, line_dedup, lm_score, quality, secrets, simhash, topk
 from seqloom.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -58,10 +62,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
+    "op9_line_dedup": op9_line_dedup,
     "op10_top_k": op10_top_k,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, i, len(ls) AS n, ls[i + 1] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL) d, range(0, len(ls)) t(i)
+        ), h AS (
+            SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l
+        ), r AS (
+            SELECT *, (31 * coalesce(lag(h) OVER d, 0) + h) % 3 AS roll, lead(w) OVER d AS w_next, lead(line) OVER d AS line_next FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+        ), c AS (
+            SELECT *, coalesce(sum(CASE WHEN roll = 0 OR w >= 50 OR w_next IS NULL OR w_next >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM r
+        ), u AS (
+            SELECT doc_id, min(i) AS a, max(i) AS b, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, chunk HAVING sum(w) >= 50 OR count(*) > 1 AND sum(w) >= 10
+            UNION
+            SELECT doc_id, i, i + 1, line || chr(10) || line_next FROM c WHERE w_next IS NOT NULL AND w + w_next >= 10
+        ), late AS (
+            SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS k FROM u
+        ), gone AS (
+            SELECT DISTINCT doc_id, t.i FROM late, range(a, b + 1) t(i) WHERE k > 1
+        )
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.lines_removed, 0) AS lines_removed
+        FROM documents d LEFT JOIN (
+            SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL) AS text, count(gone.i) AS lines_removed
+            FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
+        ) k ON d.doc_id = k.doc_id
+    """,
     "op10_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
