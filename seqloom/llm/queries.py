@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, decontaminate, langid, line_dedup, lm_score, quality, secrets, simhash, topk
+from seqloom.llm import bpe, decontaminate, langid, license_scan, line_dedup, lm_score, quality, secrets, simhash, topk
 from seqloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
+    "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
