@@ -28,6 +28,32 @@ def test_joins_are_exact(coder, seed):
         assert bpe.concatenated(text, pieces, coder).ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_packed(coder):
+    for text in ("", "a", "x" * 300 + " é日🙂 <|endoftext|>", "one two"):
+        p = coder.piece(text, 70)
+        q = bpe.Piece.unpacked(p.packed(), 70)
+        assert all(np.array_equal(getattr(p, k), getattr(q, k)) for k in ("ids", "counts", "sizes", "start"))
+
+
+def test_split_is_the_library_s(coder):
+    """Every character that is not set aside, next to letters, digits, marks and blanks."""
+    cs = [chr(c) for c in range(0x558) if not bpe.ODD.match(chr(c))]
+    assert len(cs) == 0x558 - 10
+    for c in cs:
+        text = f"a{c}1{c}!{c} {c}{c}\n{c}'s{c}  {c}"
+        assert [m.span() for m in bpe.SPLIT.finditer(text)] == [x for _, x in coder.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def test_tokens_have_their_bytes(coder):
+    assert coder.bytes and set(coder.table[:256]) <= {bytes([b]) for b in range(256)}
+    for text in ("plain", "ünï 日本 🙂 <|endoftext|>", "\x1c²"):
+        ids = coder.tokenizer.encode(text).ids
+        assert coder.decode(ids) == text == coder.tokenizer.decode(ids, skip_special_tokens=False)
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == ids
+    half = coder.tokenizer.encode("日").ids[:1]
+    assert coder.decode(half) == coder.tokenizer.decode(half, skip_special_tokens=False)
+
+
 def test_leaves_cover():
     for n in (0, 1, 7, 100):
         at = bpe.leaves(n, 3)
