@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -21,8 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import materialise
-
 #: Bytes of items that one block holds, and so what is broadcast.
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -212,6 +211,42 @@ def _search(block_bc, least: float):
     return run
 
 
+def _clean(block_bc, least: float):
+    """Passes on the rows whose text holds no item."""
+
+    def run(batches):
+        block = block_bc.value
+        for batch in batches:
+            for part in _parts(batch):
+                words, start = _numbered(block, part.column("text").to_pylist())
+                at, gram = block.hits(words)
+                doc = np.searchsorted(start, at, "right") - 1
+                clean = np.ones(len(part), bool)
+                for rows in np.split(np.arange(len(at)), np.flatnonzero(np.diff(doc)) + 1) if len(at) else ():
+                    d = int(doc[rows[0]])
+                    clean[d] = not matches(block, words[start[d] : start[d + 1] - 1], at[rows] - start[d], gram[rows], least)
+                yield part.filter(pa.array(clean))
+
+    return run
+
+
+def _seeded_blocks(docs: DataFrame, benchmark: DataFrame, n: int, spread: float):
+    """Each block of items with its seeds, broadcast."""
+    context = docs.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    for b in range(blocks):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        some = some.toArrow()
+        block = Block.of(some.column("item_id").to_pylist(), some.column("text").to_pylist(), n)
+        counts = docs.select("text").mapInArrow(_gram_counts(context.broadcast(block)), "gram long, df long")
+        counts = counts.groupBy("gram").agg(F.sum("df").alias("df")).toArrow()
+        df = np.zeros(len(block.grams), np.int64)
+        df[counts.column("gram").to_numpy()] = counts.column("df").to_numpy()
+        yield context.broadcast(block.rare(df, spread))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, spread: float = 8.0) -> DataFrame:
     """``doc_id, item_id, similarity, word_start, word_end, equal_words``: documents that hold a test item, or an edited copy.
 
@@ -224,28 +259,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     rows on either side each give rows. Empty tables give no rows; other columns
     are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    found = []
-    for b in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        some = some.toArrow()
-        block = Block.of(some.column("item_id").to_pylist(), some.column("text").to_pylist(), n)
-        counts = rows.select("text").mapInArrow(_gram_counts(spark.sparkContext.broadcast(block)), "gram long, df long")
-        counts = counts.groupBy("gram").agg(F.sum("df").alias("df")).toArrow()
-        df = np.zeros(len(block.grams), np.int64)
-        df[counts.column("gram").to_numpy()] = counts.column("df").to_numpy()
-        seeded = spark.sparkContext.broadcast(block.rare(df, spread))
-        found.append(rows.mapInArrow(_search(seeded, least), _FOUND))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    found = [rows.mapInArrow(_search(block, least), _FOUND) for block in _seeded_blocks(rows, benchmark, n, spread)]
+    return reduce(DataFrame.unionByName, found)
 
 
-def contaminated_ids(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The ids to drop, in the shared folder."""
-    return materialise(contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, spread: float = 8.0) -> DataFrame:
+    """The rows of ``docs`` that :func:`contaminated` does not name, with all their columns; nothing is shuffled."""
+    out = docs
+    for block in _seeded_blocks(docs, benchmark, n, spread):
+        out = out.mapInArrow(_clean(block, least), docs.schema)
+    return out

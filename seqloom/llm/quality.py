@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seqloom.llm.common import flat, steps, texts
 from seqloom.llm.linear import logistic, logit_of, sigmoid
@@ -170,28 +171,30 @@ def _score(model_bc):
                 z = model.logits(_views(batch))
                 total = logit_of(z, model.combined)
             p = sigmoid(z)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(sigmoid(total))], names=[*batch.schema.names, "text_score", "meta_score", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(sigmoid(total))], names=[*batch.schema.names, *SCORES])
 
     return run
 
 
+SCORES = ("text_score", "meta_score", "score")
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = 6000, rounds: int = 4) -> DataFrame:
-    """``doc_id, text_score, meta_score, score, keep`` for each row of ``docs (doc_id, text, source, lang, n_chars)``.
+    """``docs (doc_id, text, source, lang, n_chars)`` with ``text_score, meta_score, score, keep``, row by row.
 
     ``labels (doc_id, quality)`` tells good (1) from bad (0) documents. Scores are
     probabilities of being good: each view's, and of both. ``keep`` is
     ``score >= threshold``. Null texts count as empty, null metadata as values of
     their own, null labels and ids with labels that disagree as not labelled.
     Where the labels lack a class nothing can be learned and every row is kept
-    with score 1. Repeated rows each give a row; an empty table gives none; other
-    columns are not read.
+    with score 1. Repeated rows each give a row; an empty table gives none. Other
+    columns pass through, but for those with the names of the new ones.
     """
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, most, rounds))
-    typed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    scored = typed.mapInArrow(_score(model), "doc_id long, text string, source string, lang string, n_chars long, text_score double, meta_score double, score double")
-    return scored.withColumn("keep", F.col("score") >= threshold)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most, rounds))
+    rows = docs.drop(*SCORES, "keep")
+    schema = StructType([*rows.schema.fields, *(StructField(c, DoubleType()) for c in SCORES)])
+    return rows.mapInArrow(_score(model), schema).withColumn("keep", F.col("score") >= threshold)
 
 
 def digest(classified: DataFrame) -> DataFrame:
-    return classified.select("doc_id", "text_score", "meta_score", "score", "keep")
+    return classified.select("doc_id", *SCORES, "keep")

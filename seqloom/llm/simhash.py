@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from seqloom.llm.common import texts
+from seqloom.llm.common import texts, without_ids
 from seqloom.operators.graph import connected_components
 from seqloom.session import materialise
 
@@ -235,9 +236,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     empty table gives no rows; other columns are not read.
     """
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
+    of = _groups(fps, radius)
+    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _groups(fps: DataFrame, radius: int) -> DataFrame:
+    """``(fp, component, component_id)`` of each distinct fingerprint: the least fingerprint and ``doc_id`` of its group."""
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
     member = connected_components(near_links(distinct, radius))
     member = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = member.join(least, "component").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return member.join(least, "component").select("fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest ``doc_id``.
+
+    A row with a null id stays only where its group has no other; of rows that
+    share an id and a group the one with the least text hash stays. Columns are
+    those of ``docs``. Where ids are unique only ids are joined; else the rows
+    meet their groups by fingerprint.
+    """
+    fps = materialise(fingerprints(docs, shingle), "fingerprints")
+    groups = materialise(_groups(fps, radius), "fingerprint-groups")
+    rows, ids = fps.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if rows == ids:
+        gone = materialise(fps.join(groups, "fp").where("doc_id <> component_id").select("doc_id"), "near-copies")
+        return without_ids(docs, gone, "doc_id")
+    groups = groups.select(F.col("fp").alias("__fp"), F.col("component").alias("__group"))
+    held = docs.mapInArrow(_with_print(shingle), StructType([*docs.schema.fields, StructField("__print", LongType())]))
+    held = held.join(groups, F.col("__print") == F.col("__fp"))
+    held = held.withColumn("__rank", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")))
+    first = held.groupBy("__group").agg(F.min("__rank").alias("__first"))
+    kept = held.join(first, "__group").where(F.col("__rank").eqNullSafe(F.col("__first")))
+    return kept.dropDuplicates(["__group"]).select(*docs.columns)
+
+
+def _with_print(shingle: int):
+    def run(batches):
+        for batch in batches:
+            own = np.array([fingerprint(t, shingle) for t in texts(batch.column("text"))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "__print"])
+
+    return run
