@@ -46,3 +46,108 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return stars.unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
+def unordered(a, b):
+    """Both ends of a pair, the lesser first."""
+    return F.least(a, b), F.greatest(a, b)
+
+
+def with_verdicts(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``pairs (a, b, same)`` where a verdict ``(a, b, same)`` on the unordered pair, if any, decides."""
+    v = verdicts.select(*(x.alias(n) for x, n in zip(unordered(F.col("a"), F.col("b")), ("__a", "__b"))), F.col("same").alias("__same"))
+    v = v.groupBy("__a", "__b").agg(F.min("__same").alias("__same"))
+    low, high = unordered(F.col("a"), F.col("b"))
+    joined = pairs.join(v, (low == F.col("__a")) & (high == F.col("__b")), "left")
+    return joined.withColumn("same", F.coalesce("__same", "same")).drop("__a", "__b", "__same")
+
+
+def separated(links: DataFrame, apart: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Components of ``links (a, b, density)`` in which no pair of ``apart (a, b)`` is together, and the links cut for it.
+
+    While a component holds such a pair, the sparsest link on a shortest chain
+    between the two is cut; each round cuts at most one link of every component,
+    and only the links of violating components are handled as groups.
+    """
+    kept = materialise(links.select(*(x.alias(n) for x, n in zip(unordered(F.col("a"), F.col("b")), ("a", "b"))), "density"), "links")
+    cuts = kept.limit(0)
+    for _ in range(max_rounds):
+        parts = materialise(connected_components(kept, "a", "b"), "parts")
+        x, y = parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        wrong = apart.join(x, "a").join(y, "b").where("ca = cb").groupBy(F.col("ca").alias("component")).agg(F.min(F.struct("a", "b")).alias("pair"))
+        wrong = materialise(wrong, "wrong")
+        if not wrong.limit(1).count():
+            return parts, cuts
+        own = kept.join(x, "a").withColumnRenamed("ca", "component").join(wrong, "component").select("component", "a", "b", "density", F.col("pair.a").alias("from"), F.col("pair.b").alias("to"))
+        cut = own.groupBy("component").applyInPandas(_sparsest_on_chain, kept.schema)
+        cuts = materialise(cuts.unionByName(cut), "cuts")
+        kept = materialise(links.select(*(x.alias(n) for x, n in zip(unordered(F.col("a"), F.col("b")), ("a", "b"))), "density").join(cuts.select("a", "b"), ["a", "b"], "left_anti"), "links")
+    raise RuntimeError(f"pairs stay together after {max_rounds} cuts")
+
+
+def _sparsest_on_chain(pdf):
+    """Breadth first from one end to the other, neighbours in order; of the chain's links the one of least density."""
+    near = {}
+    for r in pdf.itertuples():
+        near.setdefault(r.a, []).append(r.b)
+        near.setdefault(r.b, []).append(r.a)
+    start, goal = pdf["from"].iloc[0], pdf["to"].iloc[0]
+    came, queue = {start: None}, [start]
+    while queue and goal not in came:
+        node = queue.pop(0)
+        for n in sorted(near.get(node, [])):
+            if n not in came:
+                came[n] = node
+                queue.append(n)
+    chain, node = [], goal
+    while came[node] is not None:
+        chain.append(tuple(sorted((node, came[node]))))
+        node = came[node]
+    own = pdf[[(a, b) in set(chain) for a, b in zip(pdf.a, pdf.b)]]
+    return own.sort_values(["density", "a", "b"]).head(1)[["a", "b", "density"]]
+
+
+def families(recordings: DataFrame, titles: DataFrame, relations: DataFrame) -> DataFrame:
+    """``(tier, node, family)``: components of the links of each tier and all tiers before it, named by their least member."""
+    pair = lambda df: df.select("a", "b")
+    tiers = [("recording", pair(recordings)), ("title", pair(recordings).unionByName(pair(titles))), ("relation", pair(recordings).unionByName(pair(titles)).unionByName(pair(relations)))]
+    out = None
+    for name, links in tiers:
+        own = connected_components(links, "a", "b").select(F.lit(name).alias("tier"), "node", F.col("component").alias("family"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def frontier(seeds: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """``(node, round)``: nodes reached from ``seeds (node)`` over ``links (a, b)``, round by round until none is new."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = materialise(seeds.select("node").distinct().withColumn("round", F.lit(0)), "frontier")
+    for n in range(1, max_rounds + 1):
+        new = found.where(F.col("round") == n - 1).join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+        new = materialise(new.join(found, "node", "left_anti").withColumn("round", F.lit(n)), "frontier")
+        if not new.limit(1).count():
+            break
+        found = materialise(found.unionByName(new), "frontier")
+    return found
+
+
+def sparse(pairs: DataFrame, density: str = "density", share: float = 0.1) -> DataFrame:
+    """Pairs below ``share`` of the upper median density."""
+    by = pairs.groupBy(F.col(density).alias("__d")).agg(F.count("*").alias("__c"))
+    from pyspark.sql.window import Window
+
+    upto = F.sum("__c").over(Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.broadcast(by.agg(F.sum("__c").alias("__n")))
+    median = by.withColumn("__upto", upto).crossJoin(total).where(F.col("__upto") > F.floor(F.col("__n") / 2)).agg(F.min("__d").alias("__median"))
+    return pairs.crossJoin(F.broadcast(median)).where(F.col(density) < share * F.col("__median")).drop("__median")
+
+
+def related(pairs: DataFrame, clusters: DataFrame, least: int = 30) -> DataFrame:
+    """Of pairs ``(a, b, hits)`` across clusters with ``least`` hits the strongest of each pair of clusters."""
+    c = clusters.select(F.col("node"), F.col("component"))
+    joined = pairs.where(F.col("hits") >= least)
+    for side in ("a", "b"):
+        joined = joined.join(c.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    joined = joined.where("ca <> cb")
+    low, high = unordered(F.col("ca"), F.col("cb"))
+    return joined.groupBy(low.alias("ca"), high.alias("cb")).agg(F.max(F.struct("hits", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x")).select("ca", "cb", F.col("x.hits").alias("hits"), (-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b"))
