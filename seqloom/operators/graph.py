@@ -34,10 +34,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     """
     e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null and a <> b")
     e = e.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    e = materialise(e, "components")
+    e = materialise(e, "components", compact=True)
     seen = None
     for _ in range(max_rounds):
-        e = materialise(_smaller_to_least(_larger_to_least(e)), "components")
+        e = materialise(_smaller_to_least(_larger_to_least(e)), "components", compact=True)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -69,19 +69,19 @@ def separated(links: DataFrame, apart: DataFrame, max_rounds: int = 100) -> tupl
     between the two is cut; each round cuts at most one link of every component,
     and only the links of violating components are handled as groups.
     """
-    kept = materialise(links.select(*(x.alias(n) for x, n in zip(unordered(F.col("a"), F.col("b")), ("a", "b"))), "density"), "links")
+    kept = materialise(links.select(*(x.alias(n) for x, n in zip(unordered(F.col("a"), F.col("b")), ("a", "b"))), "density"), "links", compact=True)
     cuts = kept.limit(0)
     for _ in range(max_rounds):
-        parts = materialise(connected_components(kept, "a", "b"), "parts")
+        parts = materialise(connected_components(kept, "a", "b"), "parts", compact=True)
         x, y = parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         wrong = apart.join(x, "a").join(y, "b").where("ca = cb").groupBy(F.col("ca").alias("component")).agg(F.min(F.struct("a", "b")).alias("pair"))
-        wrong = materialise(wrong, "wrong")
+        wrong = materialise(wrong, "wrong", compact=True)
         if not wrong.limit(1).count():
             return parts, cuts
         own = kept.join(x, "a").withColumnRenamed("ca", "component").join(wrong, "component").select("component", "a", "b", "density", F.col("pair.a").alias("from"), F.col("pair.b").alias("to"))
         cut = own.groupBy("component").applyInPandas(_sparsest_on_chain, kept.schema)
-        cuts = materialise(cuts.unionByName(cut), "cuts")
-        kept = materialise(links.select(*(x.alias(n) for x, n in zip(unordered(F.col("a"), F.col("b")), ("a", "b"))), "density").join(cuts.select("a", "b"), ["a", "b"], "left_anti"), "links")
+        cuts = materialise(cuts.unionByName(cut), "cuts", compact=True)
+        kept = materialise(links.select(*(x.alias(n) for x, n in zip(unordered(F.col("a"), F.col("b")), ("a", "b"))), "density").join(cuts.select("a", "b"), ["a", "b"], "left_anti"), "links", compact=True)
     raise RuntimeError(f"pairs stay together after {max_rounds} cuts")
 
 
@@ -121,13 +121,13 @@ def families(recordings: DataFrame, titles: DataFrame, relations: DataFrame) ->
 def frontier(seeds: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(node, round)``: nodes reached from ``seeds (node)`` over ``links (a, b)``, round by round until none is new."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = materialise(seeds.select("node").distinct().withColumn("round", F.lit(0)), "frontier")
+    found = materialise(seeds.select("node").distinct().withColumn("round", F.lit(0)), "frontier", compact=True)
     for n in range(1, max_rounds + 1):
         new = found.where(F.col("round") == n - 1).join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        new = materialise(new.join(found, "node", "left_anti").withColumn("round", F.lit(n)), "frontier")
+        new = materialise(new.join(found, "node", "left_anti").withColumn("round", F.lit(n)), "frontier", compact=True)
         if not new.limit(1).count():
             break
-        found = materialise(found.unionByName(new), "frontier")
+        found = materialise(found.unionByName(new), "frontier", compact=True)
     return found
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions import scalars as sc
-from seqloom.operators import align, fits, graph, index, intervals, plays, repeats, scoring
+from seqloom.operators import align, fits, graph, harness, index, intervals, plays, repeats, scoring, verify
 from seqloom.plans import compose
 from seqloom.sources import library, sinks
 
@@ -771,3 +771,130 @@ def timeline_bars(spark, sf_dir):
 @query("""SELECT 'positive price' AS rule, count(*) FILTER (WHERE NOT coalesce(l_extendedprice > 0, false)) AS failed FROM lineitem UNION ALL SELECT 'ships after 1995', count(*) FILTER (WHERE NOT coalesce(l_shipdate >= TIMESTAMP '1995-01-01', false)) FROM lineitem""")
 def doctor_expectations(spark, sf_dir):
     return scoring.expectations(t(spark, sf_dir, "lineitem"), {"positive price": F.col("l_extendedprice") > 0, "ships after 1995": F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz")})
+
+
+# -- verification and test sets ----------------------------------------------------
+
+
+CELLS = "c AS (SELECT vec_id // 500 AS asset, vec_id AS f, generate_subscripts(embedding, 1) AS b, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), pk AS (SELECT asset, f * 64 AS frame64, b * 64 AS bin64, f * 100 + b AS seq FROM c WHERE v >= 0.2)"
+
+
+def embedding_points(spark, sf_dir):
+    cells = t(spark, sf_dir, "embeddings").select(F.expr("vec_id div 500").alias("asset_id"), F.col("vec_id").alias("f"), F.posexplode("embedding").alias("b", "v"))
+    return cells.where(F.col("v").cast("double") >= 0.2).select("asset_id", (F.col("f") * 100 + F.col("b") + 1).alias("seq"), (F.col("f") * 64).alias("frame64"), ((F.col("b") + 1) * 64).alias("bin64"))
+
+
+@query(f"""WITH {CELLS}, d AS (SELECT v.vec_id AS det, v.vec_id // 500 AS asset, v.vec_id % 7 - 3 AS o FROM embeddings v WHERE v.vec_id % 40 = 0), e AS (SELECT det, seq, frame64 - o * 64 AS pt, bin64, asset FROM d JOIN pk USING (asset) WHERE frame64 - o * 64 BETWEEN (det - 10) * 64 AND (det + 10) * 64),
+    s AS (SELECT * FROM (VALUES (0), (-388 * 64), (-312 * 64), (312 * 64), (388 * 64)) x(shift)), h AS (SELECT DISTINCT det, shift, e.seq, floor(pt / 3968) AS sec FROM e, s WHERE EXISTS (SELECT 1 FROM pk q WHERE q.asset = e.asset AND abs(q.frame64 - (pt + shift)) <= 64 AND abs(q.bin64 - e.bin64) <= 64)),
+    n AS (SELECT det, count(*) FILTER (WHERE shift = 0) AS found, count(DISTINCT sec) FILTER (WHERE shift = 0) AS support, count(*) FILTER (WHERE shift <> 0) AS ch FROM h GROUP BY det), z AS (SELECT det, count(*) AS reference FROM e GROUP BY det)
+    SELECT z.det, reference, coalesce(found, 0) AS found, coalesce(found, 0) / reference AS share, coalesce(support, 0) AS support, coalesce(ch, 0) / reference / 4 AS chance FROM z LEFT JOIN n ON n.det = z.det""")
+def peak_verifier(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    v = t(spark, sf_dir, "embeddings").where("vec_id % 40 = 0")
+    d = v.select(F.col("vec_id").alias("det"), F.expr("vec_id div 500").alias("asset_id"), F.expr("vec_id div 500").alias("query_id"), (F.col("vec_id") - 10).alias("start"), (F.col("vec_id") + 10).alias("end"), F.lit(1.0).alias("speed"), (F.col("vec_id") % 7 - 3).alias("offset"))
+    return verify.found_share(verify.expected_peaks(d, p), p.withColumnRenamed("asset_id", "query_id"))
+
+
+@query(f"""WITH {CELLS}, d AS (SELECT v.vec_id AS det, v.vec_id // 500 AS asset, v.vec_id % 7 - 3 AS o FROM embeddings v WHERE v.vec_id % 40 = 0), e AS (SELECT frame64 - o * 64 AS pt, bin64, asset FROM d JOIN pk USING (asset) WHERE frame64 - o * 64 BETWEEN (det - 10) * 64 AND (det + 10) * 64)
+    SELECT asset, count(*) AS peaks FROM pk q WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.asset = q.asset AND abs(q.frame64 - pt) <= 64 AND abs(q.bin64 - e.bin64) <= 64) GROUP BY asset""")
+def residual_points(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    v = t(spark, sf_dir, "embeddings").where("vec_id % 40 = 0")
+    d = v.select(F.col("vec_id").alias("det"), F.expr("vec_id div 500").alias("asset_id"), F.expr("vec_id div 500").alias("query_id"), (F.col("vec_id") - 10).alias("start"), (F.col("vec_id") + 10).alias("end"), F.lit(1.0).alias("speed"), (F.col("vec_id") % 7 - 3).alias("offset"))
+    left = verify.residual_peaks(p.withColumnRenamed("asset_id", "query_id"), verify.expected_peaks(d, p))
+    return left.groupBy(F.col("query_id").alias("asset")).agg(F.count("*").alias("peaks"))
+
+
+@query("""WITH r AS (SELECT p_partkey, p_type, md5('7/' || p_partkey) AS o FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY o, p_partkey) AS n FROM r) SELECT p_partkey, p_type FROM k WHERE n <= 5""")
+def stratified_panel(spark, sf_dir):
+    return harness.drawn_by(t(spark, sf_dir, "part").select("p_partkey", "p_type"), ["p_type"], "p_partkey", 5, 7)
+
+
+@query("""WITH f AS (SELECT p_partkey AS asset_id, p_size AS seconds, md5('3/' || p_partkey) AS o, CAST('0x' || substr(md5('3:' || p_partkey), 1, 8) AS BIGINT) AS n FROM part ORDER BY o, p_partkey LIMIT 20)
+    SELECT asset_id, n % greatest(1, seconds - 30) AS start_s, n % 5 = 0 AS held_out, speed FROM f, (VALUES (0.96), (1.0), (1.04)) s(speed)""")
+def sweep_panel(spark, sf_dir):
+    speeds = spark.createDataFrame([(0.96,), (1.0,), (1.04,)], "speed double")
+    return harness.panel(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id"), F.col("p_size").alias("seconds")), speeds, 20, 3)
+
+
+MIX = "pl AS (SELECT l_orderkey AS mix, l_linenumber AS ord, l_partkey % 40 AS asset_id, l_quantity AS len FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_discount) AS u FROM lineitem) WHERE u = 1), pm AS (SELECT mix, ord, asset_id, coalesce(sum(len - 4) OVER (PARTITION BY mix ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS a, len FROM pl), plan AS (SELECT mix, ord, asset_id, a, a + len AS b FROM pm)"
+
+
+def mixes(spark, sf_dir):
+    one = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_discount"))
+    li = t(spark, sf_dir, "lineitem").withColumn("u", one).where("u = 1")
+    return harness.mix_plan(li.select(F.col("l_orderkey").alias("mix"), F.col("l_linenumber").alias("ord"), (F.col("l_partkey") % 40).alias("asset_id"), F.col("l_quantity").alias("length_s"), F.lit(1.0).alias("speed")))
+
+
+def mix_detections(spark, sf_dir):
+    o = t(spark, sf_dir, "lineitem")
+    return o.select(F.col("l_orderkey").alias("mix"), (F.col("l_partkey") % 40).alias("asset_id"), (F.col("l_discount") * 1000).alias("start"), (F.col("l_discount") * 1000 + 25).alias("end"), F.lit(0.0).alias("track_start"), F.lit(1.0).alias("speed"), F.when(F.col("l_tax") > 0.04, 2).otherwise(1).alias("rank"), F.col("l_suppkey").cast("int").alias("hits"))
+
+
+@query(f"""WITH {MIX} SELECT mix, CAST(ord AS INTEGER) AS ord, round(a, 6) AS start_s, round(b, 6) AS end_s FROM plan""")
+def mix_plan(spark, sf_dir):
+    return mixes(spark, sf_dir).select("mix", "ord", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
+
+
+@query(f"""WITH {MIX}, d AS (SELECT l_orderkey AS mix, l_partkey % 40 AS asset_id, l_discount * 1000 AS a, l_discount * 1000 + 25 AS b, CASE WHEN l_tax > 0.04 THEN 2 ELSE 1 END AS rank, l_suppkey AS hits FROM lineitem)
+    SELECT p.mix, p.ord, p.asset_id, max(d.rank) AS rank, max(d.hits) AS hits, round(min(d.a) - p.a, 6) AS late_s, round(p.b - max(d.b), 6) AS early_s FROM plan p LEFT JOIN d ON d.mix = p.mix AND d.asset_id = p.asset_id AND d.a < p.b AND p.a < d.b GROUP BY p.mix, p.ord, p.asset_id, p.a, p.b""")
+def mix_score(spark, sf_dir):
+    s = harness.mix_score(mixes(spark, sf_dir), mix_detections(spark, sf_dir))
+    return s.withColumns({"late_s": F.round("late_s", 6), "early_s": F.round("early_s", 6)})
+
+
+@query(f"""WITH {MIX}, d AS (SELECT l_orderkey AS mix, l_partkey % 40 AS asset_id, l_discount * 1000 AS a, l_discount * 1000 + 25 AS b FROM lineitem) SELECT mix, count(*) AS false FROM d WHERE NOT EXISTS (SELECT 1 FROM plan p WHERE p.mix = d.mix AND p.asset_id = d.asset_id AND d.a < p.b AND p.a < d.b) GROUP BY mix""")
+def mix_false(spark, sf_dir):
+    return harness.false_detections(mixes(spark, sf_dir), mix_detections(spark, sf_dir)).groupBy("mix").agg(F.count("*").alias("false"))
+
+
+@query(f"""WITH {DP}, few AS (SELECT hash FROM dp GROUP BY hash HAVING count(*) BETWEEN 2 AND 40), ok AS (SELECT dp.* FROM dp SEMI JOIN few USING (hash)), e AS (SELECT doc_id, (min(pos) + max(pos)) / 2 AS m FROM ok GROUP BY 1),
+    q AS (SELECT ok.doc_id, hash, pos FROM ok JOIN e ON e.doc_id = ok.doc_id WHERE pos >= m - 50 AND pos < m + 50), v AS (SELECT q.doc_id AS a, ok.doc_id AS b, ok.pos - q.pos AS o, count(*) AS hits FROM q JOIN ok USING (hash) WHERE q.doc_id <> ok.doc_id GROUP BY ALL), m AS (SELECT a, b, max(hits) AS hits FROM v GROUP BY a, b), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) AS k FROM m) SELECT a, b, hits FROM r WHERE k <= 20""")
+def library_wide_candidates(spark, sf_dir):
+    return harness.candidates(doc_pairs(spark, sf_dir), "doc_id", 100)
+
+
+@query("""SELECT h AS least_hits, w AS least_windows, count(*) FILTER (WHERE l_quantity >= h AND l_linenumber >= w AND l_returnflag <> 'R') AS "right", count(*) FILTER (WHERE l_quantity >= h AND l_linenumber >= w AND l_returnflag = 'R') AS wrong FROM lineitem, (VALUES (10), (20), (40)) x(h), (VALUES (1), (3)) y(w) GROUP BY h, w""")
+def rule_grid(spark, sf_dir):
+    d = t(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("hits"), F.col("l_linenumber").alias("windows"), (F.col("l_returnflag") != "R").alias("right"))
+    return harness.rule_grid(d, [10, 20, 40], [1, 3])
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) * 8 AS hits, CASE WHEN l_quantity >= 25 THEN 2 WHEN l_quantity >= 8 THEN 1 ELSE 0 END AS rank FROM lineitem) SELECT CASE WHEN hits >= 240 THEN 2 WHEN hits >= 60 THEN 1 ELSE 0 END AS new_rank, (CASE WHEN hits >= 240 THEN 2 WHEN hits >= 60 THEN 1 ELSE 0 END) <> rank AS changed, count(*) AS detections FROM d GROUP BY ALL""")
+def rescore(spark, sf_dir):
+    q = F.col("l_quantity")
+    d = t(spark, sf_dir, "lineitem").select((q.cast("int") * 8).alias("hits"), F.when(q >= 25, 2).when(q >= 8, 1).otherwise(0).alias("rank"))
+    return harness.rescored(d, sc.level_rank(F.col("hits"), F.lit(3), "fitted")).groupBy("new_rank", "changed").agg(F.count("*").alias("detections"))
+
+
+@query(f"""WITH {IV}, {GAPS.replace('least(a,', 'least(iv.a,')}, tr AS (SELECT user_id, a AS t0, b AS t1, value < 60 AS ix FROM iv WHERE user_id % 3 = 0), g2 AS (SELECT * FROM gaps WHERE user_id % 3 = 1), x AS (SELECT g2.user_id, g2.a, g2.b, ix, coalesce(greatest(0, least(g2.b, t1) - greatest(g2.a, t0)), 0) AS c FROM g2 LEFT JOIN tr ON tr.user_id + 1 = g2.user_id)
+    SELECT user_id, a AS start_s, b AS end_s, CAST(sum(CASE WHEN ix THEN c ELSE 0 END) AS BIGINT) AS missed, CAST(sum(CASE WHEN NOT ix THEN c ELSE 0 END) AS BIGINT) AS unindexed, count(*) FILTER (WHERE c > 0) AS tracks FROM x GROUP BY ALL""")
+def gaps_against_truth(spark, sf_dir):
+    e = events(spark, sf_dir)
+    gaps = intervals.uncovered(e, ["user_id"], LOW, HIGH, 7200).where("user_id % 3 = 1")
+    truth = e.where("user_id % 3 = 0").select((F.col("user_id") + 1).alias("user_id"), F.col("start").alias("t0"), F.col("end").alias("t1"), (F.col("value") < 60).alias("indexed"))
+    return named(harness.gaps_against_truth(gaps, truth, ["user_id"]))
+
+
+@query(f"""WITH {DP}, {IP}, h AS (SELECT item_id AS a, doc_id AS b, ip.pos AS q FROM ip JOIN dp USING (hash)) SELECT a, b, count(*) AS hits, count(DISTINCT floor(q / 62.5)) AS seconds FROM h GROUP BY a, b""")
+def pair_evidence(spark, sf_dir):
+    a = item_pairs(spark, sf_dir).select(F.col("item_id").alias("a"), "hash", F.col("pos").alias("qframe"))
+    return verify.supported_seconds(a.join(doc_pairs(spark, sf_dir).select(F.col("doc_id").alias("b"), "hash"), "hash"))
+
+
+@query("""WITH d AS (SELECT l_suppkey AS file, 200.0::DOUBLE AS len, l_discount * 1000 AS a, least(200.0, l_discount * 1000 + l_quantity * 2) AS b, l_partkey % 150 AS hits, l_partkey % 30 AS other, 150.0::DOUBLE AS ol, l_tax * 1000 AS oa, l_tax * 1000 + l_quantity AS ob FROM lineitem),
+    p AS (SELECT *, greatest(CASE WHEN a <= 15 THEN oa ELSE 0 END, CASE WHEN b >= len - 15 THEN ol - ob ELSE 0 END) AS beyond FROM d), q AS (SELECT * FROM p WHERE b - a >= 20 AND hits >= 60 AND b - a < 0.8 * len AND len - (b - a) >= 30 AND (a <= 15 OR b >= len - 15) AND beyond >= 30),
+    r AS (SELECT file, count(DISTINCT other) AS others, max(hits) AS hits, min(a) AS x, max(b) AS y, max(b - a) AS longest FROM q GROUP BY file) SELECT file, others, hits, (others >= 2 AND y - x >= longest + 20) OR hits >= 100 AS worth_hearing FROM r""")
+def multi_recording_files(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem")
+    start = F.col("l_discount") * 1000
+    d = li.select(F.col("l_suppkey").alias("file"), F.lit(200.0).alias("length_s"), start.alias("start_s"), F.least(F.lit(200.0), start + F.col("l_quantity") * 2).alias("end_s"), (F.col("l_partkey") % 150).alias("hits"), (F.col("l_partkey") % 30).alias("other"), F.lit(150.0).alias("other_length_s"), (F.col("l_tax") * 1000).alias("other_start_s"), (F.col("l_tax") * 1000 + F.col("l_quantity")).alias("other_end_s"))
+    return verify.edge_parts(d)
+
+
+@query("""WITH d AS (SELECT l_suppkey AS q, l_partkey % 20 AS f, l_linenumber % 2 AS r, CAST(l_orderkey % 1000 AS BIGINT) AS a, CAST(l_orderkey % 1000 + l_quantity AS BIGINT) AS b, CAST(l_extendedprice AS BIGINT) AS hits FROM lineitem WHERE l_orderkey % 3 = 0)
+    SELECT count(*) AS kept FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.q = d.q AND o.f = d.f AND o.r <> d.r AND d.a < o.b AND o.a < d.b AND (o.hits > d.hits OR (o.hits = d.hits AND o.r < d.r)))""")
+def second_records(spark, sf_dir):
+    start = F.col("l_orderkey") % 1000
+    d = t(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 20).alias("file"), (F.col("l_linenumber") % 2).alias("record"), start.alias("start"), (start + F.col("l_quantity")).cast("long").alias("end"), F.round("l_extendedprice").cast("long").alias("hits"))
+    return verify.stronger_record(d).agg(F.count("*").alias("kept"))
