@@ -38,13 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back.
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in at most four partitions for each core, for results of joins and aggregates that are small next to their input."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back; ``compact`` into few files.
 
     The plan is cut there: a lost executor costs a reread, and the size of what
     was written is known to the planner.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (few_files(df) if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
