@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
+#: Rows of an Arrow batch: texts of any length are in it, so it is kept short.
+BATCH_ROWS = 1000
 #: Ids that may be broadcast: 8 bytes each, so 8 MB before hashing overhead.
 BROADCAST_IDS = 1_000_000
 
@@ -20,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches were limited to ``BATCH_ROWS``; a smaller limit stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def bucket_of(id_col: Column, buckets: int) -> Column:
     """crc32 of the id's decimal text, modulo ``buckets``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % buckets

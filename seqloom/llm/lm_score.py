@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import bucket_of, flat, steps, texts
-from seqloom.session import materialise
+from seqloom.llm.common import bucket_of, flat, small_batches, steps, texts
+from seqloom.session import few_files, materialise
 
 #: Stands before a text, for contexts that reach beyond its start; never a symbol.
 PAD = 0xFF
@@ -39,7 +39,7 @@ END = 0xFE
 #: Longest word that is broadcast.
 HEAD_BYTES = 64
 #: Rows of a partition's running counts before they are handed on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 _SEEN: dict[str, "_Lookup"] = {}
 
 
@@ -126,7 +126,7 @@ class _Lookup:
         self.order, self.entries, self.nodes = trie.order, [], []
         for o, (codes, counts) in enumerate(zip(trie.codes, trie.counts)):
             ctx, start = np.unique(codes >> np.uint64(8), return_index=True)
-            node = np.repeat(np.arange(len(ctx)), np.diff(np.r_[start, len(codes)]))
+            node = np.repeat(np.arange(len(ctx), dtype=np.int32), np.diff(np.r_[start, len(codes)]))
             total = np.bincount(node, counts, len(ctx))
             kinds = np.bincount(node, minlength=len(ctx)).astype(float)
             left_n = left_k = np.zeros(len(ctx))
@@ -136,15 +136,15 @@ class _Lookup:
                 used = np.bincount(node, here[1][np.searchsorted(here[0], codes & low)], len(ctx))
                 suffix = np.searchsorted(there[0], ctx & np.uint64((1 << 8 * (o - 1)) - 1))
                 left_n, left_k = there[1][suffix] - used, there[2][suffix] - kinds
-            self.entries.append((codes, counts.astype(float), node))
+            self.entries.append((codes, counts, node))
             self.nodes.append((ctx, total, kinds, left_n, left_k))
         codes, counts, node = self.entries[-1]
         _, total, kinds, _, _ = self.nodes[-1]
         self._table(codes, np.log10(counts / (total + kinds)[node]) if len(codes) else counts)
 
     def _table(self, codes: np.ndarray, values: np.ndarray) -> None:
-        """Open addressing, at most half full, for the grams that need no escape."""
-        self.bits = max(4, int(2 * max(1, len(codes))).bit_length())
+        """Open addressing, at most three quarters full, for the grams that need no escape."""
+        self.bits = max(4, (4 * len(codes) // 3).bit_length())
         size = 1 << self.bits
         self.keys, self.values = np.full(size, ~np.uint64(0)), np.zeros(size, np.float32)
         slot, todo = self._slot(codes), np.arange(len(codes))
@@ -216,15 +216,15 @@ def lookup(trie: Trie) -> _Lookup:
     return _SEEN[trie.key]
 
 
-def fit(docs: DataFrame, order: int = 5, max_nodes: int = 4_000_000) -> tuple[Trie, DataFrame]:
+def fit(docs: DataFrame, order: int = 5, max_nodes: int = 2_000_000) -> tuple[Trie, DataFrame]:
     """The trie of all texts of ``docs`` (column ``text``) and their word counts ``(word, n)``."""
     if not 1 <= order <= 7:
         raise ValueError("order must be 1 to 7: a gram is one 64-bit number")
     counted = docs.select("text").mapInArrow(_count_partition(order), "gram long, word binary, n long")
-    counted = materialise(counted.groupBy("gram", "word").agg(F.sum("n").alias("n")), "lm-counts")
+    counted = materialise(counted.groupBy("gram", "word").agg(F.sum("n").alias("n")), "lm-counts", compact=True)
     lengths = F.explode(F.array(*(F.struct(F.lit(o).alias("o"), F.col("gram").bitwiseAND((1 << 8 * (o + 1)) - 1).alias("code")) for o in range(order + 1))))
     grams = counted.where("gram is not null").select(lengths.alias("x"), "n").groupBy("x.o", "x.code").agg(F.sum("n").alias("n"))
-    grams = materialise(grams, "lm-grams")
+    grams = materialise(grams, "lm-grams", compact=True)
     most = 1 << 20
     kept, least = 0, most
     for n, rows in sorted((tuple(r) for r in grams.groupBy(F.least("n", F.lit(most))).count().collect()), reverse=True):
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, order: int = 5, max_nodes: int = 4_000_000) -> tuple[Tr
     for k in range(order + 1):
         by = np.argsort(code[o == k])
         codes.append(code[o == k][by])
-        counts.append(n[o == k][by])
+        counts.append(n[o == k][by].astype(np.float64))
     return Trie(order, codes, counts), counted.where("word is not null").select("word", "n")
 
 
@@ -275,7 +275,7 @@ def _score_partition(trie_bc, head_bc):
     return run
 
 
-def score_documents(docs: DataFrame, held_out: Column, order: int = 5, max_nodes: int = 4_000_000, head_words: int = 1 << 17) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, order: int = 5, max_nodes: int = 2_000_000, head_words: int = 1 << 17) -> DataFrame:
     """Scores every text of ``docs (doc_id, text)`` with models learned where ``held_out`` is false.
 
     Gives ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``:
@@ -289,7 +289,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 5, max_nodes
     gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    rows = small_batches(docs).select("doc_id", "text", held_out.alias("held_out"))
     train = rows.where(~F.col("held_out"))
     trie, counts = fit(train, order, max_nodes)
     ends = train.count()
@@ -306,7 +306,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 5, max_nodes
         F.sum(F.when(F.col("n").isNull(), F.col("tf")).otherwise(0)).alias("unknown"),
     )
     end_sum, end_known = math.log10(ends + 1), int(ends > 0)
-    return scored.drop("tail").join(tail, "row_id", "left").select(
+    out = scored.drop("tail").join(tail, "row_id", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -315,6 +315,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 5, max_nodes
         (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) + end_sum - F.col("n_tokens") * floor).alias("base_score"),
         "score",
     )
+    return few_files(out)
 
 
 def held_out_remainder(doc_id: Column) -> Column:
