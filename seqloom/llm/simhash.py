@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from seqloom.llm.common import texts, without_ids
+from seqloom.llm.common import small_batches, texts, without_ids
 from seqloom.operators.graph import connected_components
-from seqloom.session import materialise
+from seqloom.session import few_files, materialise
 
 SEED = 42
 #: Fingerprints of one bucket that meet in one task; larger buckets are split and every two splits meet.
@@ -59,7 +59,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """``(doc_id long, fp long)`` for each row; a null text is an empty one."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -237,12 +237,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     """
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
     of = _groups(fps, radius)
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return few_files(out)
 
 
 def _groups(fps: DataFrame, radius: int) -> DataFrame:
     """``(fp, component, component_id)`` of each distinct fingerprint: the least fingerprint and ``doc_id`` of its group."""
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps", compact=True)
     member = connected_components(near_links(distinct, radius))
     member = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -258,10 +259,10 @@ def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
     meet their groups by fingerprint.
     """
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
-    groups = materialise(_groups(fps, radius), "fingerprint-groups")
+    groups = materialise(_groups(fps, radius), "fingerprint-groups", compact=True)
     rows, ids = fps.agg(F.count("*"), F.countDistinct("doc_id")).first()
     if rows == ids:
-        gone = materialise(fps.join(groups, "fp").where("doc_id <> component_id").select("doc_id"), "near-copies")
+        gone = materialise(fps.join(groups, "fp").where("doc_id <> component_id").select("doc_id"), "near-copies", compact=True)
         return without_ids(docs, gone, "doc_id")
     groups = groups.select(F.col("fp").alias("__fp"), F.col("component").alias("__group"))
     held = docs.mapInArrow(_with_print(shingle), StructType([*docs.schema.fields, StructField("__print", LongType())]))
