@@ -38,6 +38,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import small_batches
+from seqloom.session import few_files
+
 #: A tokenizer file is broadcast, and must not be larger.
 MOST_BYTES = 64 << 20
 #: Shortest pre-token within which tokens, not boundaries, are compared.
@@ -346,10 +349,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf_chars: int = 16_384
     if len(text.encode()) > MOST_BYTES:
         raise ValueError(f"the tokenizer file has over {MOST_BYTES} bytes")
     vocabulary = docs.sparkSession.sparkContext.broadcast(text)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     is_long = F.coalesce(F.length("text"), F.lit(0)) > leaf_chars
     short = rows.where(~is_long).mapInArrow(_short(vocabulary), _RESULT)
     cut = rows.where(is_long).mapInArrow(_cut(leaf_chars), "row_id long, doc_id long, at long, leaf string")
     encoded = cut.repartition("row_id", "at").mapInArrow(_encode_leaves(vocabulary), "row_id long, doc_id long, at long, tokens binary")
     long = encoded.groupBy("row_id").applyInArrow(_join_leaves(vocabulary), _RESULT)
-    return short.unionByName(long)
+    return short.unionByName(few_files(long))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import small_batches
+
 #: Bytes of items that one block holds, and so what is broadcast.
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -232,7 +234,7 @@ def _clean(block_bc, least: float):
 
 def _seeded_blocks(docs: DataFrame, benchmark: DataFrame, n: int, spread: float):
     """Each block of items with its seeds, broadcast."""
-    context = docs.sparkSession.sparkContext
+    context = small_batches(docs).sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))

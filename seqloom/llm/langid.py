@@ -19,9 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import bucket_of, flat, range_sums, steps
+from seqloom.llm.common import bucket_of, flat, range_sums, small_batches, steps
 from seqloom.llm.linear import sigmoid, svm
-from seqloom.session import materialise
 
 #: Language families by ISO 639-1 code. A language that is not here is a family of its own.
 FAMILIES = {
@@ -91,7 +90,7 @@ def _features(batches):
             some = np.flatnonzero(counts)
             index.append(some.astype(np.int16))
             value.append((counts[some] / counts.sum()).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(index, pa.list_(pa.int16())), pa.array(value, pa.list_(pa.float32()))], names=["lang", "index", "value"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), pa.array(index, pa.list_(pa.int16())), pa.array(value, pa.list_(pa.float32()))], names=["lang", "order", "index", "value"])
 
 
 @dataclass
@@ -139,13 +138,13 @@ def fit(rows: DataFrame, per_lang: int = 400, seed: int = 11) -> Model | None:
     parts = 1 << 20
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(parts, -(-parts * per_lang // n)))) for k, n in counts.items()))
     some = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)) < share)
-    got = materialise(some.select("lang", "text").mapInArrow(_features, "lang string, index array<smallint>, value array<float>"), "lang-features").toArrow()
+    some = some.select("lang", "text", F.xxhash64("doc_id", "text").alias("order"))
+    got = some.mapInArrow(_features, "lang string, order long, index array<smallint>, value array<float>").toArrow().sort_by("order")
     y = np.array(got.column("lang").to_pylist(), object)
-    order = np.lexsort((np.array([-len(v) for v in got.column("index").to_pylist()]), y.astype(str)))
     x = np.zeros((len(y), FEATURES))
     for i, (k, v) in enumerate(zip(got.column("index").to_pylist(), got.column("value").to_pylist())):
         x[i, k] = v
-    x, y = np.sqrt(SCALE) * x[order], y[order]
+    x *= np.sqrt(SCALE)
     langs = sorted(set(y))
     families = sorted({family_of(v) for v in langs})
     fam = np.array([family_of(v) for v in y], object)
@@ -192,7 +191,7 @@ def identify(docs: DataFrame, held_out: Column, per_lang: int = 400) -> DataFram
     from; repeated rows each give a row; other columns are not read. An empty
     table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held_out.alias("held_out"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held_out.alias("held_out"))
     model = fit(rows.where(~F.col("held_out")), per_lang)
     return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")
 

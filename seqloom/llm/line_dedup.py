@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import texts
+from seqloom.llm.common import small_batches, texts
 from seqloom.session import materialise
 
 LONG_WORDS, MIN_WORDS, DIVISOR = 50, 10, 3
@@ -123,16 +123,16 @@ def _marked(batches):
 def removals(docs: DataFrame, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, divisor: int = DIVISOR, hash_bits: int = 64) -> DataFrame:
     """``(doc, key, gone array<boolean>)`` of the documents that lose lines; ``doc`` and ``key`` as of :func:`keyed`."""
     options = (long_words, min_words, divisor)
-    rows = keyed(docs).select("doc", "key", "text").where("text is not null")
+    rows = keyed(small_batches(docs)).select("doc", "key", "text").where("text is not null")
     listed = materialise(rows.mapInArrow(_listed(options, hash_bits), _LISTED), "chunks")
-    repeated = materialise(listed.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1").select("hash"), "repeated")
+    repeated = materialise(listed.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1").select("hash"), "repeated", compact=True)
     if repeated.count() <= BROADCAST_HASHES:
         wanted = docs.sparkSession.sparkContext.broadcast(repeated.toArrow().column("hash").to_numpy())
         spoken = rows.mapInArrow(_spoken(options, hash_bits, wanted), _SPOKEN)
     else:
         lists = listed.join(repeated, "hash").groupBy("doc", "key").agg(F.collect_set("hash").alias("wanted"))
         spoken = rows.join(lists, ["doc", "key"]).select("doc", "key", "text", "wanted").mapInArrow(_spoken(options, hash_bits, None), _SPOKEN)
-    same = materialise(spoken.groupBy("hash", "chunk").agg(F.min("doc").alias("first")).groupBy("hash").agg(F.min("first").alias("first"), F.count("*").alias("texts")), "first-chunks")
+    same = materialise(spoken.groupBy("hash", "chunk").agg(F.min("doc").alias("first")).groupBy("hash").agg(F.min("first").alias("first"), F.count("*").alias("texts")), "first-chunks", compact=True)
     # one text behind a hash: its bytes are equal wherever the hash is; the others are told apart by their bytes
     late = listed.join(same.where("texts = 1"), "hash").where("again or first < doc").select("doc", "key", "start", "n")
     if same.where("texts > 1").limit(1).count():
@@ -140,7 +140,7 @@ def removals(docs: DataFrame, long_words: int = LONG_WORDS, min_words: int = MIN
         least = mixed.groupBy("hash", "chunk").agg(F.min("doc").alias("first"))
         late = late.unionByName(mixed.join(least, ["hash", "chunk"]).where("again or first < doc").select("doc", "key", "start", "n"))
     spans = late.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    return materialise(spans.mapInArrow(_marked, "doc long, key long, gone array<boolean>"), "gone-lines")
+    return materialise(spans.mapInArrow(_marked, "doc long, key long, gone array<boolean>"), "gone-lines", compact=True)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -148,16 +148,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "key": F.xxhash64("text")})
 
 
-def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, divisor: int = DIVISOR, hash_bits: int = 64) -> DataFrame:
-    """``docs`` with ``text`` less the lines that repeat what stands earlier, and ``lines_removed``; every row stays.
+def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, divisor: int = DIVISOR, hash_bits: int = 64, removed: str = "lines_removed") -> DataFrame:
+    """``docs`` with ``text`` less the lines that repeat what stands earlier, and how many were ``removed``; every row stays.
 
     A document that is a copy loses all its lines and keeps an empty text. A null
     text stays null. Rows with one ``doc_id`` count as one document, and a null id
     comes after all others; exact repetitions of a row are treated alike. A text
     without a line end is one line. Columns of ``docs`` keep their names and
-    order; one called ``lines_removed`` is replaced. An empty table gives no rows.
+    order; one with the name of the new one is replaced. An empty table gives no rows.
     """
-    columns = [c for c in docs.columns if c != "lines_removed"]
+    columns = [c for c in docs.columns if c != removed]
     gone = removals(docs, long_words, min_words, divisor, hash_bits).withColumnsRenamed({"doc": "__doc", "key": "__key", "gone": "__gone"})
     size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
     if size[0] <= BROADCAST_DOCS and size[1] <= BROADCAST_MARKS:
@@ -165,7 +165,6 @@ def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, min_words: int =
     rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc"), F.xxhash64("text").alias("__key"))
     lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(F.coalesce(F.get("__gone", i), F.lit(False)), F.lit(None)).otherwise(line))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    removed = F.coalesce(F.size(F.filter("__gone", lambda x: x)), F.lit(0))
-    removed = F.when(F.col("__gone").isNull(), 0).otherwise(removed).cast("long")
+    count = F.when(F.col("__gone").isNull(), 0).otherwise(F.size(F.filter("__gone", lambda x: x))).cast("long")
     joined = rows.join(gone, ["__doc", "__key"], "left")
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in columns), removed.alias("lines_removed"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in columns), count.alias(removed))

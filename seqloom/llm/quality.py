@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from seqloom.llm.common import flat, steps, texts
+from seqloom.llm.common import flat, small_batches, steps, texts
 from seqloom.llm.linear import logistic, logit_of, sigmoid
 from seqloom.session import materialise
 
@@ -52,8 +52,8 @@ def text_view(column) -> np.ndarray:
     n = len(offsets) - 1
     out = np.zeros((n, TEXT_WIDTH), np.float32)
     for lo, hi in steps(offsets):
-        c = CLASSES[raw[offsets[lo] : offsets[hi]]].astype(np.int64)
-        rows = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
+        c = CLASSES[raw[offsets[lo] : offsets[hi]]].astype(np.int32)
+        rows = np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(offsets[lo : hi + 1]))
         if len(c) > 2:
             one = rows[2:] == rows[:-2]
             cell = (rows[2:] * TRIGRAMS + c[:-2] * 64 + c[1:-1] * 8 + c[2:])[one]
@@ -143,15 +143,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, rounds: int = 4) -
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"), F.max("quality").alias("other"))
     known = known.where("good = other").select(F.col("doc_id").alias("label_id"), "good", F.xxhash64("doc_id", F.lit(3)).alias("order"))
     few = known.orderBy("order").limit(most)
-    few = materialise(few.select("label_id", "good"), "quality-labels")
+    few = materialise(few.select("label_id", "good"), "quality-labels", compact=True)
     n = docs.count()
     parts = 1 << 24
     share = min(parts, -(-parts * most // max(1, n)))
     place = F.xxhash64("doc_id", F.lit(17))
+    docs = small_batches(docs).select("doc_id", "text", "source", "lang", "n_chars")
     rows = docs.join(F.broadcast(few), docs["doc_id"] == few["label_id"], "left")  # few has at most ``most`` rows
     some = rows.where(F.col("good").isNotNull() | (F.pmod(place, F.lit(parts)) < share))
     some = some.select(place.alias("order"), F.col("good").cast("int").alias("good"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    got = materialise(some.mapInArrow(_sample, "order long, good int, t array<float>, m array<float>"), "quality-sample").orderBy("order").toArrow()
+    got = some.mapInArrow(_sample, "order long, good int, t array<float>, m array<float>").toArrow().sort_by("order")
     good = np.array([-1 if g is None else int(g > 0) for g in got.column("good").to_pylist()])
     if not {0, 1} <= set(good):
         return None
@@ -191,10 +192,27 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: i
     columns pass through, but for those with the names of the new ones.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most, rounds))
-    rows = docs.drop(*SCORES, "keep")
+    rows = small_batches(docs).drop(*SCORES, "keep")
     schema = StructType([*rows.schema.fields, *(StructField(c, DoubleType()) for c in SCORES)])
     return rows.mapInArrow(_score(model), schema).withColumn("keep", F.col("score") >= threshold)
 
 
+def _accept(model_bc, threshold: float):
+    def run(batches):
+        model = model_bc.value
+        for batch in batches:
+            if model is not None and len(batch):
+                batch = batch.filter(pa.array(sigmoid(logit_of(model.logits(_views(batch)), model.combined)) >= threshold))
+            yield batch
+
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = 6000, rounds: int = 4) -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` keeps, with just their own columns, whatever these are called."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most, rounds))
+    return small_batches(docs).mapInArrow(_accept(model, threshold), docs.schema)
+
+
 def digest(classified: DataFrame) -> DataFrame:
     return classified.select("doc_id", *SCORES, "keep")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import texts
+from seqloom.llm.common import small_batches, texts
 
 #: Fixed patterns; letters of ``assign`` in either case, ASCII only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -150,4 +150,4 @@ def scan(docs: DataFrame) -> DataFrame:
     Null or repeated ids stay as they are. An empty table gives no rows; other
     columns are not read. Nothing is shuffled.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, _SCAN)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, _SCAN)

@@ -4,16 +4,15 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
-import pytest
+from pyspark.sql import functions as F
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from seqloom.llm import bpe, quality, simhash  # noqa: E402
-from seqloom.llm import decontaminate as dc  # noqa: E402
-from seqloom.session import materialise  # noqa: E402
-from tests.llm.test_brute import plain_fingerprint, reach  # noqa: E402
-from tests.llm.test_decontaminate import plain_score  # noqa: E402
-from tests.llm.test_line_dedup import plain as plain_lines  # noqa: E402
+import corpus_pipeline
+from seqloom.llm import bpe, quality, simhash
+from seqloom.llm import decontaminate as dc
+from seqloom.session import materialise
+from tests.llm.test_brute import plain_fingerprint, reach
+from tests.llm.test_decontaminate import plain_score
+from tests.llm.test_line_dedup import plain as plain_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +61,24 @@ def test_clean_keeps_columns(spark):
     df = spark.createDataFrame([(1, f"x {item} y", [1]), (None, item, None), (2, None, [2]), (3, "clean", [3])], "doc_id long, text string, item_id array<int>")
     got = dc.clean(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == [2, 3] and got.columns == df.columns
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names; and no rows at all."""
+    long = "many words of one long text " * 4000
+    rows = [(1, "a fine text with words", "en", "s", 20), (1, "a fine text with words", "en", "s", 20), (None, "a text without an id here", "en", None, None), (2, None, None, None, None), (3, "", "", "", 0), (4, long, "en", "s", len(long)), (5, "x" * 100_000, "de", "t", -7), (6, "line one of six words here\nline two of six words here\n\n", "en", "s", 50), (7, "line one of six words here\nline two of six words here\nmore", "en", "s", 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = docs.withColumns({n: F.lit(n) for n in ("keep", "score", "good", "label_id", "lines_removed", "doc", "key", "gone", "fp", "component", "fingerprint", "row_id", "at", "item_id")})
+    for table in (docs, odd, odd.where("doc_id < 0")):
+        for _, stage in corpus_pipeline.STAGES:
+            out = materialise(stage(spark, table, SF), "odd")
+            if stage is not corpus_pipeline.encode:
+                assert out.dtypes == table.dtypes
+                if "keep" in table.columns:
+                    assert out.where("keep <> 'keep' or lines_removed <> 'lines_removed' or fp <> 'fp'").count() == 0
+            else:
+                assert out.count() == table.count()
+    texts = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, odd, SF).collect()}
+    assert texts[7] == "more" and texts[6].startswith("line one") and texts[2] is None and texts[3] == ""
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, odd, SF).collect()]
+    assert kept.count(1) == 1 and (2 in kept) != (3 in kept)
