@@ -15,11 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions.scalars import WINDOW_FRAMES, level, level_rank
+from seqloom.operators import index
 
 
 @dataclass(frozen=True)
@@ -48,11 +50,17 @@ def lookup(query_hashes: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def possible_lines(hits: DataFrame, keys: Sequence[str], offset: Column, bucket: float = 4.0, least: int = 3) -> DataFrame:
-    """Hits of groups in which some two neighbouring offset buckets hold ``least`` hits together; no line is lost."""
-    marked = hits.withColumn("__bucket", F.floor(offset / bucket).cast("long"))
-    pairs = marked.select(*keys, F.explode(F.array(F.col("__bucket"), F.col("__bucket") + 1)).alias("__pair"))
-    some = pairs.groupBy(*keys, "__pair").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(*keys).distinct()
-    return hits.join(some, list(keys), "left_semi")
+    """Hits of groups in which some two neighbouring offset buckets hold ``least`` hits together; no line is lost.
+
+    Groups and pairs of buckets travel as 64-bit hashes: two that share one may
+    let a group through, and never hold one back.
+    """
+    at = F.floor(offset / bucket).cast("long")
+    marked = hits.withColumn("__group", F.xxhash64(*keys))
+    pair = F.explode(F.array(F.xxhash64("__group", at), F.xxhash64("__group", at + 1)))
+    counted = marked.select("__group", pair.alias("__pair")).groupBy("__pair").agg(F.count("*").alias("__n"), F.any_value("__group").alias("__group"))
+    some = counted.where(F.col("__n") >= least).select("__group").distinct()
+    return marked.join(some, "__group", "left_semi").drop("__group")
 
 
 # -- one query and asset -----------------------------------------------------------
@@ -75,12 +83,18 @@ def densest(values: np.ndarray, within: float, least: int, most: int) -> list[tu
 
 def lines_of(hits: pd.DataFrame, o: Options) -> pd.DataFrame:
     """Lines of one query and asset: ``window, rung_no, speed, playback, offset, hits, first, last``."""
+    window, rung, q = hits.window.to_numpy(), hits.rung_no.to_numpy(), hits.qframe.to_numpy(float)
+    offset = hits.frame.to_numpy(float) - hits.point.to_numpy(float)
+    by = np.lexsort((q, offset, rung, window))
+    window, rung, q, offset = window[by], rung[by], q[by], offset[by]
+    edge = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]) | (rung[1:] != rung[:-1]), True])
+    speed, playback = hits.speed.to_numpy()[by], hits.playback.to_numpy()[by]
     out = []
-    for (window, rung), own in hits.groupby(["window", "rung_no"], sort=True):
-        own = own.assign(offset=own.frame - own.point).sort_values(["offset", "qframe"], kind="stable")
-        offsets, q = own.offset.to_numpy(float), own.qframe.to_numpy(float)
-        for a, b in densest(offsets, o.within, o.least, o.lines):
-            out.append((window, rung, own.speed.iloc[0], own.playback.iloc[0], offsets[a:b].mean(), b - a, q[a:b].min(), q[a:b].max()))
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        if hi - lo >= o.least:
+            for a, b in densest(offset[lo:hi], o.within, o.least, o.lines):
+                part = slice(lo + a, lo + b)
+                out.append((window[lo], rung[lo], speed[lo], playback[lo], offset[part].mean(), b - a, q[part].min(), q[part].max()))
     return distinct(pd.DataFrame(out, columns=["window", "rung_no", "speed", "playback", "offset", "hits", "first", "last"]), o)
 
 
@@ -90,14 +104,15 @@ def predicted(line, query_frame: float) -> float:
 
 def distinct(lines: pd.DataFrame, o: Options) -> pd.DataFrame:
     """Of lines in one window that say about the same, the strongest; ties in the order of rungs."""
-    keep = []
-    for _, own in lines.sort_values(["window", "hits", "rung_no"], ascending=[True, False, True], kind="stable").groupby("window", sort=True):
-        kept = []
-        for row in own.itertuples():
-            centre = (row.first + row.last) / 2
-            if all(abs(predicted(k, centre) - predicted(row, centre)) > o.apart for k in kept):
-                kept.append(row)
-        keep += [k.Index for k in kept]
+    lines = lines.sort_values(["window", "rung_no", "offset"], kind="stable").reset_index(drop=True)
+    keep, window, kept = [], None, []
+    for row in lines.sort_values(["window", "hits", "rung_no"], ascending=[True, False, True], kind="stable").itertuples():
+        if row.window != window:
+            window, kept = row.window, []
+        centre = (row.first + row.last) / 2
+        if all(abs(predicted(k, centre) - predicted(row, centre)) > o.apart for k in kept):
+            kept.append(row)
+            keep.append(row.Index)
     return lines.loc[keep].reset_index(drop=True)
 
 
@@ -167,13 +182,12 @@ def strongest_first(found: pd.DataFrame, speed_share: float | None = None) -> pd
     return found.loc[[k.Index for k in kept]]
 
 
-DETECTION = "query_id long, asset_id long, start double, end double, track_start double, track_end double, speed double, playback string, windows int, hits int, offset double, ord int"
+DETECTION = "query_id long, asset_id long, start double, end double, track_start double, track_end double, speed double, playback string, windows int, hits int, offset double, rung_no int, ord int"
 LINE = "query_id long, asset_id long, line_no int, window long, rung_no int, speed double, playback string, offset double, hits int, first double, last double, chain int"
 
 
-def detections_of(hits: pd.DataFrame, o: Options) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Detections and lines (with the number of their chain) of one query and asset."""
-    lines = lines_of(hits, o)
+def detections_of(lines: pd.DataFrame, o: Options) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Detections and lines (with the number of their chain) of one query and asset, from its distinct lines."""
     lines = lines.sort_values(["window", "hits", "rung_no"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
     rows, out = list(lines.itertuples()), []
     lines["chain"] = -1
@@ -186,8 +200,8 @@ def detections_of(hits: pd.DataFrame, o: Options) -> tuple[pd.DataFrame, pd.Data
         centre = (best.first + best.last) / 2
         offset = predicted(best, centre) - speed * centre
         a, b = own[0].first, own[-1].last
-        out.append((a, b, speed * a + offset, speed * b + offset, speed, "key-locked" if locked else "turntable", len({r.window for r in own}), sum(r.hits for r in own), offset, n))
-    found = pd.DataFrame(out, columns=["start", "end", "track_start", "track_end", "speed", "playback", "windows", "hits", "offset", "ord"])
+        out.append((a, b, speed * a + offset, speed * b + offset, speed, "key-locked" if locked else "turntable", len({r.window for r in own}), sum(r.hits for r in own), offset, best.rung_no, n))
+    found = pd.DataFrame(out, columns=["start", "end", "track_start", "track_end", "speed", "playback", "windows", "hits", "offset", "rung_no", "ord"])
     return found, lines
 
 
@@ -202,7 +216,7 @@ def align(query_hashes: DataFrame, postings: DataFrame, options: Options = Optio
     hits = possible_lines(hits, ["query_id", "asset_id", "rung_no", "window"], F.col("frame") - F.col("point"), 2 * options.within, options.least)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, lines = detections_of(pdf, options)
+        found, lines = detections_of(lines_of(pdf, options), options)
         ids = {"query_id": int(pdf.query_id.iloc[0]), "asset_id": int(pdf.asset_id.iloc[0])}
         if trace:
             return lines.assign(**ids, line_no=range(len(lines)))[[c.split()[0] for c in LINE.split(", ")]]
@@ -212,17 +226,81 @@ def align(query_hashes: DataFrame, postings: DataFrame, options: Options = Optio
     return hits.select(*columns).groupBy("query_id", "asset_id").applyInPandas(run, LINE if trace else DETECTION)
 
 
+def shard_lines(query_peaks: DataFrame, postings: DataFrame, ladder: DataFrame, o: Options = Options(), shards: int | None = None, fan_out: int = 2, batch_peaks: int = 2_000_000) -> DataFrame:
+    """Lines of every query and asset, ``query_id, asset_id, window, rung_no, speed, playback, offset, hits, first, last``, without moving a hit.
+
+    The index is dealt out by asset; every shard gets the peaks of the query, which
+    are few, hashes them under every rung, and looks them up in its own lists. Hits
+    exist only as arrays of one rung and block of windows at a time; what leaves a
+    task are lines. A shard meets at most about ``batch_peaks`` query peaks at a time.
+    """
+    spark = query_peaks.sparkSession
+    rungs = [(r.rung_no, float(r.speed), r.playback) for r in ladder.collect()]
+    shards = shards or spark.sparkContext.defaultParallelism
+    blocks = index.query_blocks(query_peaks)
+    batches = max(1, -(-query_peaks.count() // batch_peaks))
+    left = postings.select("hash", "asset_id", "frame", F.pmod(F.xxhash64("asset_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
+    right = blocks.withColumn("batch", F.pmod(F.xxhash64("query_id", "block"), F.lit(batches)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+
+    def run(key, lists: pa.Table, peaks: pa.Table) -> pa.Table:
+        out = []
+        if len(lists) and len(peaks):
+            h = lists.column("hash").to_numpy()
+            by = np.argsort(h, kind="stable")
+            first = np.r_[0, np.cumsum(np.bincount(h, minlength=1 << 21))]
+            assets, asset = np.unique(lists.column("asset_id").to_numpy()[by], return_inverse=True)
+            frame = lists.column("frame").to_numpy()[by].astype(np.float64)
+            for query, points in index.block_hashes(peaks, rungs, fan_out):
+                for rung, speed, playback, hashes, qframe in points:
+                    count = first[hashes + 1] - first[hashes]
+                    at = np.repeat(first[hashes] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    q = np.repeat(qframe, count)
+                    offset = frame[at] - q * speed
+                    window = np.floor(q / WINDOW_FRAMES).astype(np.int64)
+                    group = window * len(assets) + asset[at]
+                    order = np.lexsort((q, offset, group))
+                    group, offset, q = group[order], offset[order], q[order]
+                    n = o.least - 1
+                    dense = (group[n:] == group[:-n]) & (offset[n:] - offset[:-n] <= o.within)
+                    for g in np.unique(group[: len(dense)][dense]):
+                        lo, hi = np.searchsorted(group, [g, g + 1])
+                        for a, b in densest(offset[lo:hi], o.within, o.least, o.lines):
+                            part = slice(lo + a, lo + b)
+                            out.append((query, int(assets[g % len(assets)]), int(g // len(assets)), rung, speed, playback, float(offset[part].mean()), b - a, float(q[part].min()), float(q[part].max())))
+        columns = list(zip(*out)) or [()] * 10
+        return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_LINE_ARROW, columns)})
+
+    return left.groupBy("shard", "batch").cogroup(right.groupBy("shard", "batch")).applyInArrow(run, FOUND_LINE)
+
+
+FOUND_LINE = "query_id long, asset_id long, window long, rung_no int, speed double, playback string, offset double, hits int, first double, last double"
+_LINE_ARROW = pa.schema([("query_id", pa.int64()), ("asset_id", pa.int64()), ("window", pa.int64()), ("rung_no", pa.int32()), ("speed", pa.float64()), ("playback", pa.string()), ("offset", pa.float64()), ("hits", pa.int32()), ("first", pa.float64()), ("last", pa.float64())])
+
+
+def from_lines(lines: DataFrame, options: Options = Options()) -> DataFrame:
+    """Detections of found lines: distinct ones, chains, and the strongest of what overlaps."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = {"query_id": int(pdf.query_id.iloc[0]), "asset_id": int(pdf.asset_id.iloc[0])}
+        found, _ = detections_of(distinct(pdf.drop(columns=list(ids)), options), options)
+        return strongest_first(found.assign(**ids))[[c.split()[0] for c in DETECTION.split(", ")]]
+
+    return lines.groupBy("query_id", "asset_id").applyInPandas(run, DETECTION)
+
+
 def refine(detections: DataFrame, query_hashes: DataFrame, postings: DataFrame, o: Options = Options()) -> DataFrame:
     """Evidence measured again: hits near the alignment against all lists, the densest run of each window.
 
+    The query is taken as its strongest line's rung hears it.
+
     Detections of fewer than ``o.remeasure`` hits pass unchanged, with pass
     ``ladder``; others get windows and hits of the pass ``fitted``, and go if no
     window has a run.
     """
     key = ["query_id", "asset_id", "ord"]
     strong = detections.where(F.col("hits") >= o.remeasure)
-    one_rung = query_hashes.select("query_id", "hash", "qframe").distinct()
-    near = strong.select(*key, "start", "end", "speed", "offset").join(one_rung, "query_id").where(F.col("qframe").between(F.col("start") - o.margin_frames, F.col("end") + o.margin_frames))
+    heard = query_hashes.select("query_id", "rung_no", "hash", "qframe")
+    near = strong.select(*key, "rung_no", "start", "end", "speed", "offset").join(heard, ["query_id", "rung_no"]).where(F.col("qframe").between(F.col("start") - o.margin_frames, F.col("end") + o.margin_frames))
     met = near.join(postings, ["hash", "asset_id"]).withColumn("dev64", F.round((F.col("frame") - (F.col("speed") * F.col("qframe") + F.col("offset"))) * 64).cast("long"))
     met = met.where(F.abs("dev64") <= o.near * 64).withColumn("window", F.floor(F.col("qframe") / WINDOW_FRAMES).cast("long"))
     run = F.count("*").over(Window.partitionBy(*key, "window").orderBy("dev64").rangeBetween(0, int(o.within * 64)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,6 +56,97 @@ def peak_pairs(peaks: DataFrame, keys: Sequence[str], fan_out: int = 2, zone: in
     return out.select(*keys, pair_hash(anchor_level(bin_), db, df).alias("hash"), F.round(frame).cast("long").alias("frame"))
 
 
+def half_up(x: np.ndarray) -> np.ndarray:
+    """Rounded, halves away from zero."""
+    return (np.sign(x) * np.floor(np.abs(x) + 0.5)).astype(np.int64)
+
+
+def pair_arrays(frame64: np.ndarray, bin64: np.ndarray, fan_out: int = 2, zone: int = 63) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`peak_pairs` on the arrays of one sequence: hashes, and the anchors' numbers."""
+    frame, bin_ = frame64 / 64, bin64 / 64
+    level = np.minimum(255, half_up(np.where(bin_ < 50, bin_, 50 + np.log(np.maximum(bin_, 1) / 50) / np.log(1.02))))
+    left, found, out = np.arange(len(frame)), np.zeros(len(frame), np.int64), []
+    for k in range(1, len(frame)):
+        left = left[left < len(frame) - k]
+        df = half_up(frame[left + k] - frame[left])
+        near = df <= zone  # peaks are in the order of frames, so nothing nearer follows
+        left, df = left[near], df[near]
+        if not len(left):
+            break
+        db = half_up(bin_[left + k] - bin_[left])
+        hit = (df >= 1) & (np.abs(db) <= zone)
+        a = left[hit]
+        out.append((level[a] << 13 | (db[hit] + 63) << 6 | df[hit], a))
+        found[a] += 1
+        left = left[found[left] < fan_out]
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([h for h, _ in out]), np.concatenate([a for _, a in out])
+
+
+#: Frames of a block of a query: twelve windows.
+BLOCK_FRAMES = 7500
+
+
+def query_blocks(peaks: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
+    """``peaks (query_id, seq, frame64, bin64)`` with ``block``; the beginning of a block also ends the one before, for its last anchors' partners."""
+    over = 64 * 128  # the zone, at the slowest speeds too
+    block = F.floor(F.col("frame64") / (64 * block_frames)).cast("long")
+    before = F.floor((F.col("frame64") - over) / (64 * block_frames)).cast("long")
+    return peaks.select("query_id", "seq", "frame64", "bin64", F.explode(F.sequence(F.least(F.greatest(before, F.lit(0)), block), block)).alias("block"))
+
+
+def block_hashes(peaks: pa.Table, rungs: list[tuple[int, float, str]], fan_out: int = 2, block_frames: int = BLOCK_FRAMES):
+    """For each query and block its number and an iterator over rungs: ``rung_no, speed, playback, hashes, qframe`` of the block's own anchors."""
+    peaks = peaks.sort_by([("query_id", "ascending"), ("block", "ascending"), ("seq", "ascending")])
+    query, block, f, b = (peaks.column(c).to_numpy() for c in ("query_id", "block", "frame64", "bin64"))
+    edge = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (block[1:] != block[:-1]), True])
+
+    def heard(f, b, number):
+        for rung, speed, playback in rungs:
+            hashes, anchor = pair_arrays(half_up(f * speed), half_up(b / (speed if playback == "turntable" else 1.0)), fan_out)
+            own = f[anchor] // (64 * block_frames) == number
+            yield rung, speed, playback, hashes[own], half_up(half_up(f[anchor[own]] * speed) / 64) / speed
+
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        yield int(query[lo]), heard(f[lo:hi], b[lo:hi], block[lo])
+
+
+def ladder_hashes(peaks: DataFrame, ladder: DataFrame, fan_out: int = 2, block_frames: int = BLOCK_FRAMES) -> DataFrame:
+    """``(query_id, rung_no, speed, playback, hash, qframe)`` of a query's peaks at every rung.
+
+    ``peaks (query_id, seq, frame64, bin64)``, in the order of ``seq`` and of frames.
+    A task takes a block of the query with the second that follows it, which holds
+    all partners of its anchors, and hashes it under every rung: rungs multiply
+    what comes out, not what is shuffled. A ladder has tens of rungs and goes
+    along with the function.
+    """
+    rungs = [(r.rung_no, float(r.speed), r.playback) for r in ladder.collect()]
+    schema = pa.schema([("query_id", pa.int64()), ("rung_no", pa.int32()), ("speed", pa.float64()), ("playback", pa.string()), ("hash", pa.int32()), ("qframe", pa.float64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = []
+        for query, points in block_hashes(group, rungs, fan_out, block_frames):
+            for rung, speed, playback, hashes, qframe in points:
+                n = len(hashes)
+                parts.append(pa.table([pa.array(np.full(n, query)), pa.array(np.full(n, rung, np.int32)), pa.array(np.full(n, speed)), pa.repeat(pa.scalar(playback), n), pa.array(hashes.astype(np.int32)), pa.array(qframe)], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    return query_blocks(peaks, block_frames).groupBy("query_id", "block").applyInArrow(run, "query_id long, rung_no int, speed double, playback string, hash int, qframe double")
+
+
+def asset_hashes(peaks: DataFrame, fan_out: int = 2) -> DataFrame:
+    """Postings ``(hash, asset_id, frame)`` of stored peaks, an asset at a time."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("seq")
+        f = group.column("frame64").to_numpy()
+        hashes, anchor = pair_arrays(f, group.column("bin64").to_numpy(), fan_out)
+        return pa.table({"hash": pa.array(hashes.astype(np.int32)), "asset_id": pa.repeat(group.column("asset_id")[0], len(hashes)), "frame": pa.array(half_up(f[anchor] / 64))})
+
+    return peaks.select("asset_id", "seq", "frame64", "bin64").groupBy("asset_id").applyInArrow(run, "hash int, asset_id long, frame long")
+
+
 def rescaled(peaks: DataFrame, ladder: DataFrame) -> DataFrame:
     """Stored peaks as heard at each rung of ``ladder (rung_no, speed, playback)``: time by tempo, and pitch if on a turntable."""
     pitch = F.when(F.col("playback") == "turntable", F.col("speed")).otherwise(1.0)

@@ -51,7 +51,7 @@ def top_false(detections: DataFrame, credit: DataFrame, k: int = 10) -> DataFram
     return detections.join(credit, ["set_id", "det"], "left_anti").withColumn("place", rank).where(F.col("place") <= k)
 
 
-def seconds_classes(seconds: DataFrame, truth: DataFrame, labels: DataFrame, width: int = 60) -> DataFrame:
+def seconds_classes(seconds: DataFrame, truth: DataFrame, labels: DataFrame, width: int = 600) -> DataFrame:
     """One class for each second ``(set_id, s)``, judged at its middle, in half seconds to stay whole.
 
     ``truth (set_id, start, end, track, indexed)`` is half open, ``labels (set_id,
@@ -60,8 +60,15 @@ def seconds_classes(seconds: DataFrame, truth: DataFrame, labels: DataFrame, wid
     unlabelled.
     """
     at = F.col("s") * 2 + 1
-    t = truth.withColumn("s", F.explode(F.sequence(F.floor(F.col("start")).cast("long"), F.ceil(F.col("end")).cast("long")))).where((at >= F.col("start") * 2) & (at < F.col("end") * 2))
-    l = labels.withColumn("s", F.explode(F.sequence(F.floor(F.col("start")).cast("long"), F.ceil(F.col("end")).cast("long")))).where((at >= F.col("start") * 2) & (at <= F.col("end") * 2))  # noqa: E741
+    points = seconds.select("set_id", "s", F.floor(F.col("s") / width).cast("long").alias("__bin"))
+
+    def during(spans: DataFrame, closed: bool) -> DataFrame:
+        """Seconds with the spans they are in; spans are cut into bins of ``width``."""
+        cut = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / width).cast("long"), F.floor(F.col("end") / width).cast("long"))))
+        within = at <= F.col("end") * 2 if closed else at < F.col("end") * 2
+        return points.join(cut, ["set_id", "__bin"]).where((at >= F.col("start") * 2) & within).drop("__bin")
+
+    t, l = during(truth, False), during(labels, True)  # noqa: E741
     playing = t.groupBy("set_id", "s").agg(F.max(F.col("indexed").cast("int")).alias("indexed"))
     right = l.join(t.select("set_id", "s", "track"), ["set_id", "s", "track"], "left_semi")
     wrong = l.where("rank = 2").join(t.select("set_id", "s", "track"), ["set_id", "s", "track"], "left_anti").select("set_id", "s").distinct().withColumn("wrong", F.lit(1))

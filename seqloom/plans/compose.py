@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.scalars import FRAMES_PER_SECOND, level_rank
 from seqloom.operators import align, graph, index, intervals, plays, repeats
+from seqloom.session import materialise
 from seqloom.sources import audio
 
 
@@ -23,21 +24,45 @@ def ingest(spark: SparkSession, root: str, known: DataFrame | None = None) -> tu
 
 def build_index(peaks: DataFrame, fan_out: int = 2) -> DataFrame:
     """Postings of stored peaks."""
-    return index.peak_pairs(peaks, ["asset_id"], fan_out).select("hash", "asset_id", "frame")
+    return index.asset_hashes(peaks, fan_out)
 
 
 def query_hashes(peaks: DataFrame, ladder: DataFrame, fan_out: int = 2) -> DataFrame:
     """Hashes of a query's peaks ``(query_id, seq, frame64, bin64)`` as heard at each rung; frames are the query's own."""
-    scaled = index.rescaled(peaks, ladder)
-    pairs = index.peak_pairs(scaled, ["query_id", "rung_no", "speed", "playback"], fan_out)
-    return pairs.withColumn("qframe", F.col("frame") / F.col("speed")).drop("frame")
+    return index.ladder_hashes(peaks, ladder, fan_out)
+
+
+def synthetic_library(spark: SparkSession, assets: int, seconds: int = 400, rate: int = 37) -> DataFrame:
+    """Peaks of made-up assets, the same on every run: places and bins are hashes of the asset and the number."""
+    n = seconds * rate
+    df = spark.range(assets * n).select(F.expr(f"id div {n}").alias("asset_id"), (F.col("id") % n).cast("int").alias("seq"))
+    step = 4000 // rate
+    noise = lambda salt, most: F.pmod(F.xxhash64("asset_id", "seq", F.lit(salt)), F.lit(most))
+    return df.select("asset_id", "seq", (F.col("seq") * step + noise(1, step)).cast("long").alias("frame64"), (320 + noise(2, 31_000)).cast("int").alias("bin64"))
+
+
+def synthetic_mix(library: DataFrame, plan: DataFrame) -> DataFrame:
+    """Peaks of queries that play stretches of the library: ``plan (query_id, asset_id, from_s, length_s, speed, at_s)``, on a turntable."""
+    from pyspark.sql.window import Window
+
+    met = library.join(F.broadcast(plan), "asset_id").where((F.col("frame64") >= F.col("from_s") * 4000) & (F.col("frame64") < (F.col("from_s") + F.col("length_s")) * 4000))
+    out = met.select("query_id", F.round((F.col("frame64") - F.col("from_s") * 4000) / F.col("speed") + F.col("at_s") * 4000).cast("long").alias("frame64"), F.round(F.col("bin64") * F.col("speed")).cast("int").alias("bin64"))
+    seq = F.row_number().over(Window.partitionBy("query_id").orderBy("frame64", "bin64")) - 1
+    return out.withColumn("seq", seq)
 
 
 def identify(query_peaks: DataFrame, postings: DataFrame, ladder: DataFrame, share: float = 0.01, options: align.Options = align.Options()) -> DataFrame:
-    """Plays of every query: the fullest lists set aside for the first pass, all lists for the second."""
-    hashes = query_hashes(query_peaks, ladder)
+    """Plays of every query: the fullest lists set aside for the first pass, all lists for the second.
+
+    The first pass searches the index shard by shard. The second hashes the query
+    only as the rungs hear it that won a detection; first-pass detections are tens
+    a query and cut the plan.
+    """
     stats = index.hash_stats(postings)
-    found = align.align(hashes, index.without_fullest(postings, stats, index.fullest_threshold(stats, share)), options)
+    kept = index.without_fullest(postings, stats, index.fullest_threshold(stats, share))
+    found = materialise(align.from_lines(align.shard_lines(query_peaks, kept, ladder, options), options), "detections", compact=True)
+    rungs = [r.rung_no for r in found.select("rung_no").distinct().collect()]
+    hashes = query_hashes(query_peaks, ladder.where(F.col("rung_no").isin(rungs or [-1])))
     found = align.suppress(align.refine(found, hashes, postings, options), options.speed_gap)
     seconds = lambda c: F.col(c) / FRAMES_PER_SECOND
     timed = found.withColumns({c: seconds(c) for c in ("start", "end", "track_start", "track_end")})

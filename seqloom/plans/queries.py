@@ -118,6 +118,17 @@ def survival_join(spark, sf_dir):
     return align.near_hits(q, doc_pairs(spark, sf_dir).withColumnRenamed("pos", "frame").select("hash", "frame").distinct()).groupBy("item_id").agg(F.count("*").alias("met"))
 
 
+@query()
+def identify_synthetic(spark, sf_dir):
+    """The whole search on made-up audio peaks: a library that grows with the data, a mix of ten stretches, 41 speeds and both playbacks."""
+    assets = max(4, t(spark, sf_dir, "customer").count() // 60)
+    plan = [(0, k * 7 % assets, 30, 55, (0.95, 1.0, 1.03, 1.06)[k % 4], 60 * k) for k in range(10)]
+    plan = spark.createDataFrame(plan, "query_id long, asset_id long, from_s int, length_s int, speed double, at_s int")
+    made = compose.synthetic_library(spark, assets)
+    found = compose.identify(compose.synthetic_mix(made, plan), compose.build_index(made), index.speed_ladder(spark))
+    return named(found.select("query_id", "asset_id", "start", "end", "level", "hits", "windows", "speed", "playback"))
+
+
 # -- index -----------------------------------------------------------------------
 
 

@@ -105,6 +105,27 @@ def test_identify_finds_the_planted_track(spark, speed):
     assert all(r.asset_id == 1 or r.hits < 30 for r in found)
 
 
+@pytest.mark.parametrize("shards,batch", [(1, 10**6), (3, 700)])
+def test_sharded_lines_are_those_of_the_join(spark, shards, batch):
+    p, q = planted(spark, 1.02)
+    ladder = index.speed_ladder(spark, 0.99, 0.01, 5, ["turntable", "key-locked"])
+    postings = compose.build_index(p)
+    sharded = align.from_lines(align.shard_lines(q, postings, ladder, shards=shards, batch_peaks=batch))
+    joined = align.align(compose.query_hashes(q, ladder), postings)
+    rows = lambda df: sorted((r.asset_id, r.hits, r.windows, round(r.start, 3), round(r.end, 3), round(r.speed, 6), r.rung_no) for r in df.collect())
+    assert rows(sharded) == rows(joined) and rows(joined)
+
+
+def test_made_up_mix_is_identified(spark):
+    from seqloom.plans.queries import QUERIES
+
+    got = {(r.asset_id, r.start_s // 60): r for r in QUERIES["identify_synthetic"](spark, "/root/testdata/sf0.001").collect()}
+    for k in range(10):
+        asset, speed = k * 7 % 4, (0.95, 1.0, 1.03, 1.06)[k % 4]
+        near = [r for r in got.values() if r.asset_id == asset and r.start_s - 1 <= 60 * k and r.end_s >= 60 * k + 46]
+        assert near and near[0]["level"] == "confident" and abs(near[0].speed - speed) < 0.002
+
+
 def test_peak_pairs_match_a_plain_loop(spark):
     rng = random.Random(2)
     peaks = [(0, i, f, rng.randint(5 * 64, 499 * 64)) for i, f in enumerate(sorted(rng.randint(0, 64 * 400) for _ in range(150)))]
@@ -121,6 +142,12 @@ def test_peak_pairs_match_a_plain_loop(spark):
                 n += 1
     got = [(r.hash, r.frame) for r in index.peak_pairs(df, ["asset_id"]).collect()]
     assert sorted(got) == sorted(want)
+    assert sorted((r.hash, r.frame) for r in index.asset_hashes(df).collect()) == sorted(want)
+    q = df.withColumnRenamed("asset_id", "query_id")
+    rungs = spark.createDataFrame([(0, 1.0, "turntable"), (1, 0.93, "turntable"), (2, 1.07, "key-locked")], "rung_no int, speed double, playback string")
+    blocks = index.ladder_hashes(q, rungs, block_frames=100)
+    rows = index.peak_pairs(index.rescaled(q, rungs), ["query_id", "rung_no", "speed"])
+    assert sorted((r.rung_no, r.hash, round(r.qframe, 6)) for r in blocks.collect()) == sorted((r.rung_no, r.hash, round(r.frame / r.speed, 6)) for r in rows.collect())
 
 
 def test_fullest_cut_keeps_ties_and_none(spark):
