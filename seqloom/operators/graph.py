@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,49 +64,58 @@ def with_verdicts(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return joined.withColumn("same", F.coalesce("__same", "same")).drop("__a", "__b", "__same")
 
 
-def separated(links: DataFrame, apart: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+def separated(links: DataFrame, apart: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components of ``links (a, b, density)`` in which no pair of ``apart (a, b)`` is together, and the links cut for it.
 
-    While a component holds such a pair, the sparsest link on a shortest chain
-    between the two is cut; each round cuts at most one link of every component,
-    and only the links of violating components are handled as groups.
+    While a component holds such a pair, in the pairs' order, the sparsest link on
+    a shortest chain between the two is cut. Components without such a pair are
+    not looked at; one that has some is handled as one group of links.
     """
-    kept = materialise(links.select(*(x.alias(n) for x, n in zip(unordered(F.col("a"), F.col("b")), ("a", "b"))), "density"), "links", compact=True)
-    cuts = kept.limit(0)
-    for _ in range(max_rounds):
-        parts = materialise(connected_components(kept, "a", "b"), "parts", compact=True)
-        x, y = parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        wrong = apart.join(x, "a").join(y, "b").where("ca = cb").groupBy(F.col("ca").alias("component")).agg(F.min(F.struct("a", "b")).alias("pair"))
-        wrong = materialise(wrong, "wrong", compact=True)
-        if not wrong.limit(1).count():
-            return parts, cuts
-        own = kept.join(x, "a").withColumnRenamed("ca", "component").join(wrong, "component").select("component", "a", "b", "density", F.col("pair.a").alias("from"), F.col("pair.b").alias("to"))
-        cut = own.groupBy("component").applyInPandas(_sparsest_on_chain, kept.schema)
-        cuts = materialise(cuts.unionByName(cut), "cuts", compact=True)
-        kept = materialise(links.select(*(x.alias(n) for x, n in zip(unordered(F.col("a"), F.col("b")), ("a", "b"))), "density").join(cuts.select("a", "b"), ["a", "b"], "left_anti"), "links", compact=True)
-    raise RuntimeError(f"pairs stay together after {max_rounds} cuts")
-
-
-def _sparsest_on_chain(pdf):
-    """Breadth first from one end to the other, neighbours in order; of the chain's links the one of least density."""
-    near = {}
-    for r in pdf.itertuples():
-        near.setdefault(r.a, []).append(r.b)
-        near.setdefault(r.b, []).append(r.a)
-    start, goal = pdf["from"].iloc[0], pdf["to"].iloc[0]
-    came, queue = {start: None}, [start]
-    while queue and goal not in came:
-        node = queue.pop(0)
-        for n in sorted(near.get(node, [])):
-            if n not in came:
-                came[n] = node
-                queue.append(n)
-    chain, node = [], goal
-    while came[node] is not None:
-        chain.append(tuple(sorted((node, came[node]))))
-        node = came[node]
-    own = pdf[[(a, b) in set(chain) for a, b in zip(pdf.a, pdf.b)]]
-    return own.sort_values(["density", "a", "b"]).head(1)[["a", "b", "density"]]
+    kept = links.select(*(x.alias(n) for x, n in zip(unordered(F.col("a"), F.col("b")), ("a", "b"))), "density")
+    kept = materialise(kept.groupBy("a", "b").agg(F.max("density").alias("density")), "links", compact=True)
+    parts = materialise(connected_components(kept, "a", "b"), "parts", compact=True)
+    x, y = parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    wrong = materialise(apart.select("a", "b").join(x, "a").join(y, "b").where("ca = cb").select(F.col("ca").alias("component"), F.col("a").alias("one"), F.col("b").alias("other")), "wrong", compact=True)
+    own = kept.join(x, "a").withColumnRenamed("ca", "component").join(wrong.select("component").distinct(), "component", "left_semi").select("component", "a", "b", "density")
+    cuts = materialise(own.groupBy("component").cogroup(wrong.groupBy("component")).applyInPandas(_cut_apart, kept.schema), "cuts", compact=True)
+    return connected_components(kept.join(cuts.select("a", "b"), ["a", "b"], "left_anti"), "a", "b"), cuts
+
+
+def _cut_apart(links, pairs):
+    """The links to cut so that no pair is connected any more."""
+    density = {(a, b): d for a, b, d in zip(links.a, links.b, links.density)} if len(links) else {}
+    near: dict = {}
+    for a, b in density:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def chain(start, goal):
+        """Links of a shortest chain, breadth first with neighbours in order; None if there is none."""
+        came, queue = {start: None}, deque([start])
+        while queue and goal not in came:
+            node = queue.popleft()
+            for n in sorted(near.get(node, ())):
+                if n not in came:
+                    came[n] = node
+                    queue.append(n)
+        if goal not in came:
+            return None
+        out, node = [], goal
+        while came[node] is not None:
+            out.append(tuple(sorted((node, came[node]))))
+            node = came[node]
+        return out
+
+    cut = []
+    for start, goal in sorted(zip(pairs.one, pairs.other)) if len(pairs) else ():
+        while found := (chain(start, goal) if start != goal else None):
+            a, b = min(found, key=lambda x: (density[x], x))
+            near[a].discard(b)
+            near[b].discard(a)
+            cut.append((a, b, density[a, b]))
+    import pandas as pd
+
+    return pd.DataFrame(cut, columns=["a", "b", "density"])
 
 
 def families(recordings: DataFrame, titles: DataFrame, relations: DataFrame) -> DataFrame:
