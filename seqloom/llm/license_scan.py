@@ -15,12 +15,14 @@ scan over documents is built-in functions, joins and aggregates.
 
 from __future__ import annotations
 
+import json
 import random
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.session import materialise
@@ -240,6 +242,14 @@ def trained(penalty: float = 2e-4, seed: int = 13) -> tuple[list[str], list[str]
     return families, grams, w, b, float(min(losses, key=losses.get))
 
 
+def _table(spark: SparkSession, schema: str, rows: Iterable[tuple]) -> DataFrame:
+    """A table of the values given, as part of the plan."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    one = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{one}>>")))
+
+
 def scan(docs: DataFrame, likely: float = LIKELY, confirmed: float = CONFIRMED) -> DataFrame:
     """Paragraphs of ``docs (doc_id, text)`` with an anchor word: ``doc_id, paragraph, family, probability, similarity, confirmed``.
 
@@ -264,8 +274,8 @@ def scan(docs: DataFrame, likely: float = LIKELY, confirmed: float = CONFIRMED)
     for n, (_, _, own) in enumerate(templates):
         for g in own:
             rows.setdefault(g, (g, None, []))[2].append(n)
-    model = F.broadcast(spark.createDataFrame(list(rows.values()), "gram string, weights array<double>, templates array<int>"))
-    sizes = F.broadcast(spark.createDataFrame([(n, f, len(own)) for n, (f, _, own) in enumerate(templates)], "template int, of string, size int"))
+    model = F.broadcast(_table(spark, "gram string, weights array<double>, templates array<int>", rows.values()))
+    sizes = F.broadcast(_table(spark, "template int, of string, size int", ((n, f, len(own)) for n, (f, _, own) in enumerate(templates))))
     hits = lines.select("row_id", F.explode(grams_column(words_column(F.col("line")))).alias("gram")).join(model, "gram")
     sums = hits.groupBy("row_id").agg(*(F.coalesce(F.sum(F.get("weights", F.lit(k))), F.lit(0.0)).alias(f"z{k}") for k in range(len(families))))
     z = F.array(*(((F.coalesce(F.col(f"z{k}"), F.lit(0.0)) + float(b)) / temperature) for k, b in enumerate(biases)))

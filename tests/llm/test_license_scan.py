@@ -84,4 +84,4 @@ def test_corpus_notices(spark):
 
 def test_scan_is_native(spark):
     plan = ls.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
