@@ -74,6 +74,18 @@ def test_lm_score_bounds(spark):
     assert lm_score.score_documents(docs_of(spark, [], []), F.lit(False)).count() == 0
 
 
+@pytest.mark.parametrize("low", [lm_score.LOW, 1])
+def test_lm_score_keeps_rare_grams(spark, monkeypatch, low):
+    """Grams that are not in the head count as those that are, whatever its size and the parts."""
+    monkeypatch.setattr(lm_score, "LOW", low)
+    monkeypatch.setattr(lm_score, "PART", 40)
+    plain = [(t or "").encode() for t in TEXTS]
+    train = [t for i, t in enumerate(plain) if i % 3 != 1]
+    for size in (0, 15):
+        got = {r.doc_id: r.score for r in lm_score.score_documents(docs_of(spark), F.col("doc_id") % 3 == 1, max_nodes=size).collect()}
+        assert all(got[i] == pytest.approx(ppm(train, t, 5), abs=1e-4) for i, t in enumerate(plain))
+
+
 def reach(fps, ids, radius):
     label = list(range(len(fps)))
     changed = True
