@@ -1,6 +1,8 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line. Its features are word 1-, 2- and 3-grams of the notices
+A paragraph is a line, or the joined lines of a block, as notices are often wrapped
+over several lines; a line without letters and digits, such as an empty comment,
+ends a block. Its features are word 1-, 2- and 3-grams of the notices
 below that hold a word by which notices are known (an anchor), so a paragraph
 without an anchor has no feature and is unknown by construction; only the others
 are scored. A multinomial logistic regression with an L1 penalty is trained on
@@ -153,13 +155,17 @@ ANCHORS = [
 ]
 #: What stands between words: everything but ASCII letters, digits, and a dot between digits.
 BREAKS = "[^a-z0-9.]+|\\.(?![0-9])|(?<![0-9])\\."
+#: A version right behind a name is a word of its own: GPLv3, LGPL2.1.
+VERSIONED = "(?<![a-z0-9])(gpl|lgpl|agpl|mpl|bsd|apache)(?=v?[0-9])"
+#: Before each line without letters and digits.
+BLOCK_ENDS = "(?<=\n)(?=[^\\p{L}\\p{N}\n]*(?:\n|\\z))"
 LONGEST = 3
 #: Templates are known by their n-grams of all words; a smaller share of one than this is no confirmation.
 CONFIRMED, LIKELY = 0.5, 0.5
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in re.split(BREAKS, text.lower()) if w]
+    return [w for w in re.split(BREAKS, re.sub(VERSIONED, r"\1 ", text.lower())) if w]
 
 
 def grams_of(words: list[str]) -> set[str]:
@@ -167,7 +173,7 @@ def grams_of(words: list[str]) -> set[str]:
 
 
 def words_column(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), BREAKS), "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), VERSIONED, "$1 "), BREAKS), "")
 
 
 def grams_column(words: Column) -> Column:
@@ -253,7 +259,9 @@ def _table(spark: SparkSession, schema: str, rows: Iterable[tuple]) -> DataFrame
 def scan(docs: DataFrame, likely: float = LIKELY, confirmed: float = CONFIRMED) -> DataFrame:
     """Paragraphs of ``docs (doc_id, text)`` with an anchor word: ``doc_id, paragraph, family, probability, similarity, confirmed``.
 
-    ``paragraph`` counts lines from 0. ``family`` is the likeliest, or ``unknown``
+    ``paragraph`` counts lines from 0. A block of lines gives one more row, at its
+    first line, where together they are confirmed as a family that none of them is
+    confirmed as alone. ``family`` is the likeliest, or ``unknown``
     where that is the unknown class or has a calibrated ``probability`` below
     ``likely``; ``similarity`` is the greatest share of the n-grams of one of the
     family's templates that the paragraph holds (0 for unknown), and ``confirmed``
@@ -265,8 +273,16 @@ def scan(docs: DataFrame, likely: float = LIKELY, confirmed: float = CONFIRMED)
     spark = docs.sparkSession
     families, grams, weights, biases, temperature = trained()
     anchors = F.array(*map(F.lit, ANCHORS))
-    known = lambda text: F.arrays_overlap(F.split(F.lower(text), BREAKS), anchors)
-    lines = docs.select("doc_id", "text").where(known(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line")).where(known(F.col("line")))
+    known = lambda text: F.arrays_overlap(words_column(text), anchors)
+    some = docs.select("doc_id", "text").where(known(F.col("text"))).withColumn("doc", F.monotonically_increasing_id())
+    alone = some.select("doc_id", "doc", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line")).withColumn("last", F.lit(None).cast("int"))
+    several = some.withColumn("pieces", F.split("text", BLOCK_ENDS, -1))
+    several = several.withColumn("ends", F.transform("pieces", lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))))
+    several = several.select("doc_id", "doc", "ends", F.posexplode("pieces").alias("piece", "line")).where(F.col("line").rlike("[\\p{L}\\p{N}][^\n]*\n[^\n]*[\\p{L}\\p{N}]"))
+    before = F.aggregate(F.slice("ends", 1, F.col("piece")), F.lit(0), lambda a, n: a + n)
+    several = several.withColumn("first", before + F.when(F.col("line").rlike("^[^\\p{L}\\p{N}\n]*\n"), 1).otherwise(0))
+    several = several.select("doc_id", "doc", F.col("first").alias("paragraph"), "line", (before + F.get("ends", F.col("piece"))).alias("last"))
+    lines = alone.unionByName(several).where(known(F.col("line")))
     lines = materialise(lines.withColumn("row_id", F.monotonically_increasing_id()), "license-lines")
     # the tables below are made of the notices and as small as these
     templates = [(f, i, sorted(grams_of(words_of(t)))) for f, texts in NOTICES.items() for i, t in enumerate(texts)]
@@ -279,13 +295,18 @@ def scan(docs: DataFrame, likely: float = LIKELY, confirmed: float = CONFIRMED)
     hits = lines.select("row_id", F.explode(grams_column(words_column(F.col("line")))).alias("gram")).join(model, "gram")
     sums = hits.groupBy("row_id").agg(*(F.coalesce(F.sum(F.get("weights", F.lit(k))), F.lit(0.0)).alias(f"z{k}") for k in range(len(families))))
     z = F.array(*(((F.coalesce(F.col(f"z{k}"), F.lit(0.0)) + float(b)) / temperature) for k, b in enumerate(biases)))
-    scored = lines.select("row_id", "doc_id", "paragraph").join(sums, "row_id", "left").select("row_id", "doc_id", "paragraph", z.alias("z"))
+    scored = lines.select("row_id", "doc_id", "doc", "paragraph", "last").join(sums, "row_id", "left").select("row_id", "doc_id", "doc", "paragraph", "last", z.alias("z"))
     scored = scored.withColumn("top", F.array_max("z")).withColumn("best", F.array_position("z", F.col("top")))
     total = F.aggregate(F.transform("z", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, v: a + v)
-    scored = scored.select("row_id", "doc_id", "paragraph", (1 / total).alias("probability"), F.element_at(F.array(*map(F.lit, families)), F.col("best").cast("int")).alias("best"))
+    scored = scored.select("row_id", "doc_id", "doc", "paragraph", "last", (1 / total).alias("probability"), F.element_at(F.array(*map(F.lit, families)), F.col("best").cast("int")).alias("best"))
     scored = scored.withColumn("family", F.when(F.col("probability") >= likely, F.col("best")).otherwise(UNKNOWN))
     shared = hits.select("row_id", F.explode("templates").alias("template")).groupBy("row_id", "template").agg(F.count("*").alias("n"))
     shared = shared.join(sizes, "template").groupBy("row_id", "of").agg(F.max(F.col("n") / F.col("size")).alias("similarity"))
     joined = scored.alias("s").join(shared.alias("t"), (F.col("s.row_id") == F.col("t.row_id")) & (F.col("s.family") == F.col("t.of")), "left")
     similarity = F.coalesce("similarity", F.lit(0.0))
-    return joined.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", similarity.alias("similarity"), (similarity >= confirmed).alias("confirmed"))
+    out = joined.select("doc_id", "doc", F.col("paragraph").cast("long").alias("paragraph"), "last", "family", "probability", similarity.alias("similarity"), (similarity >= confirmed).alias("confirmed"))
+    out = materialise(out, "license-paragraphs")
+    one, blocks = out.where("last is null"), out.where("last is not null and confirmed and family <> 'unknown'").alias("b")
+    found = one.where("confirmed").select("doc", "family", "paragraph").alias("l")
+    inside = (F.col("b.doc") == F.col("l.doc")) & (F.col("b.family") == F.col("l.family")) & F.col("l.paragraph").between(F.col("b.paragraph"), F.col("b.last"))
+    return one.unionByName(blocks.join(found, inside, "left_anti")).drop("doc", "last")

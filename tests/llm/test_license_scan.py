@@ -1,6 +1,7 @@
 """The license scan against its model in plain Python, and on alterations it was not trained on."""
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -82,6 +83,21 @@ def test_corpus_notices(spark):
     assert {k: got.get(k) for k in want} == want and set(got) - set(want) == set()
 
 
+def test_wrapped_notices(spark):
+    """Notices wrapped as in source headers and licence files, and a version that is part of the name."""
+    mit, gpl = ls.NOTICES["mit"][3], ls.NOTICES["gpl"][3]
+    docs = [
+        (1, "intro\n\n" + textwrap.fill(mit, 72) + "\n\n" + "Mit dem Zug\nnach Hause\n"),
+        (2, "x = 1\n#\n" + "\n".join("# " + x for x in textwrap.wrap(gpl, 70)) + "\n#\n# more\n"),
+        (3, "Released under GPLv3"),
+        (4, "The MIT License (MIT)\nand a line"),
+        (5, textwrap.fill(mit, 30)),
+    ]
+    rows = ls.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.paragraph, r.family) for r in rows if r.confirmed} >= {(1, 2, "mit"), (2, 2, "gpl"), (4, 0, "mit"), (5, 0, "mit")}
+    assert [(r.paragraph, r.family) for r in rows if r.doc_id == 4] == [(0, "mit")] and [r.paragraph for r in rows if r.doc_id == 3] == [0]
+
+
 def test_scan_is_native(spark):
     plan = ls.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
