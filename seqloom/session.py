@@ -26,7 +26,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where a session has none (tests, local mode) a temporary one is set once.
+    Where a local session has none (tests) a temporary one is set once; on a
+    cluster no such folder would be shared, so there it must be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -34,17 +35,29 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Bytes, as the planner estimates them, that a partition of a compacted table may have.
+FILE_BYTES = 16 << 20
+
+
 def few_files(df: DataFrame) -> DataFrame:
-    """``df`` in at most four partitions for each core, for results of joins and aggregates that are small next to their input."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """``df`` in one partition for each ``FILE_BYTES`` of the planner's estimate, and at least four for each core.
+
+    The estimate of an aggregate or join is not less than its input's, so the
+    partitions grow with the data; where there are fewer of them already nothing is done.
+    """
+    bytes_ = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(min(max(least, -(-bytes_ // FILE_BYTES)), (1 << 31) - 1))
 
 
 def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back; ``compact`` into few files.
+    """Writes ``df`` as Parquet into the shared folder and reads it back; ``compact`` into no more files than its size asks for.
 
     The plan is cut there: a lost executor costs a reread, and the size of what
     was written is known to the planner.
