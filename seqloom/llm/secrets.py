@@ -13,8 +13,10 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +48,10 @@ CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 LEAST = 0.5
 
 
-@dataclass(frozen=True)
-class Literal:
-    start: int
-    end: int
-    value: str
+#: Characters of a value that are kept as they are; of a longer one its make-up is.
+KEPT_CHARS = 4096
+#: Length at which the make-up of a value stops growing, as a value that doubles with each line would.
+MOST_CHARS = 1e15
 
 
 def name_score(name: str) -> float:
@@ -59,18 +60,69 @@ def name_score(name: str) -> float:
     return min(1.0, score) * (0.3 if ABOUT_WORDS & set(words) else 1.0)
 
 
-def literal_score(value: str) -> float:
+@dataclass(frozen=True)
+class Makeup:
+    """What the score needs to know of a value too long to keep: its length, and how often each low byte of a character occurs."""
+
+    length: float
+    counts: np.ndarray
+    kinds: int
+    spaced: bool
+
+    @classmethod
+    def of(cls, value: str) -> "Makeup":
+        codes = np.frombuffer(value.encode("utf-32-le", "replace"), np.uint32)
+        kinds = sum(bit for bit, f in KINDS_OF if any(map(f, value)))
+        return cls(float(len(value)), np.bincount(codes & 255, minlength=256).astype(float), kinds, any(map(str.isspace, value)))
+
+    def __add__(self, other: "Makeup") -> "Makeup":
+        length = self.length + other.length
+        shrink = min(1.0, MOST_CHARS / length) if length else 1.0
+        return Makeup(length * shrink, (self.counts + other.counts) * shrink, self.kinds | other.kinds, self.spaced or other.spaced)
+
+
+KINDS_OF = ((1, str.islower), (2, str.isupper), (4, str.isdigit), (8, lambda c: not c.isalnum()))
+
+
+def _scored(length: float, bits: float, kinds: int) -> float:
+    return min(1.0, 0.15 * kinds + bits / 6 + (0.2 if length >= 12 else 0.0))
+
+
+def literal_score(value: str | Makeup) -> float:
     """0 for placeholders and short or plain words, to 1 for long mixed ones."""
+    if isinstance(value, Makeup):
+        share = value.counts[value.counts > 0] / max(1.0, value.length)
+        return 0.0 if value.spaced else _scored(value.length, float(-(share * np.log2(share)).sum()), value.kinds.bit_count())
     if len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
         return 0.0
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, 0.15 * kinds + bits / 6 + (0.2 if len(value) >= 12 else 0.0))
+    return _scored(len(value), bits, sum(any(map(f, value)) for _, f in KINDS_OF))
+
+
+@dataclass(eq=False)
+class Value:
+    """What a name stands for: spans of literals and values assigned before, in order, and all of it as one text."""
+
+    spans: list[tuple[int, int]]
+    parts: list["Value"]
+    text: str | Makeup
+    score: float = 0.0
+
 
+def _joined_text(pieces: list[str | Makeup]) -> str | Makeup:
+    if all(isinstance(p, str) for p in pieces) and sum(map(len, pieces)) <= KEPT_CHARS:
+        return "".join(pieces)
+    made = [p if isinstance(p, Makeup) else Makeup.of(p) for p in pieces]
+    return sum(made[1:], made[0])
 
-def pairs(text: str):
-    """``(name, literals)`` of each assignment in order, constants propagated; ``a = b = "x"`` gives both names."""
-    known: dict[str, tuple[Literal, ...]] = {}
+
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """``(name, value)`` of each assignment in order, constants propagated; ``a = b = "x"`` gives both names.
+
+    A value refers to the values that it is made of, so it takes no more room than its own line,
+    however often what it refers to is doubled.
+    """
+    known: dict[str, Value] = {}
     at = 0
     while m := TARGET.search(text, at):
         names = [m["name"]]
@@ -78,34 +130,53 @@ def pairs(text: str):
             m = n
             names.append(m["name"])
         at = m.end()
-        found: list[Literal] = []
+        spans, parts, pieces = [], [], []
         while part := PART.match(text, at):
             at, value = part.end(), part.group()
             if part["quoted"]:
-                found.append(Literal(part.start() + 1, part.end() - 1, value[1:-1]))
+                spans.append((part.start() + 1, part.end() - 1))
+                pieces.append(value[1:-1])
             elif all(v in known for v in value.split("+")):
-                found += (p for v in value.split("+") for p in known[v])
+                parts += (known[v] for v in value.split("+"))
+                pieces += (known[v].text for v in value.split("+"))
             else:
-                found.append(Literal(part.start(), part.end(), value))
+                spans.append((part.start(), part.end()))
+                pieces.append(value)
             if not (more := PLUS.match(text, at)):
                 break
             at = more.end()
-        if found:
+        if pieces:
+            # a name of a name is the same value
+            value = parts[0] if len(parts) == 1 and not spans else Value(spans, parts, _joined_text(pieces))
             for name in names:
-                known[name] = tuple(found)
-                yield name, tuple(found)
+                known[name] = value
+                yield name, value
 
 
 def literals(text: str) -> dict[tuple[int, int], float]:
-    """Spans of reported literals and their scores; a value of several parts is scored as a whole."""
+    """Spans of reported literals and their scores; a value of several parts is scored as a whole.
+
+    The score of a value reaches everything that it is made of: values are looked at
+    from the last to the first, so each hands on the greatest score it got.
+    """
     out: dict[tuple[int, int], float] = {}
     if "=" not in text and ":" not in text:
         return out
-    for name, parts in pairs(text):
-        if (s := name_score(name)) and (s := s * literal_score("".join(p.value for p in parts))) >= LEAST:
-            for p in parts:
-                if p.end > p.start:
-                    out[p.start, p.end] = max(s, out.get((p.start, p.end), 0.0))
+    values: dict[int, Value] = {}
+    names: dict[str, float] = {}
+    for name, value in pairs(text):
+        values.setdefault(id(value), value)
+        if name not in names:
+            names[name] = name_score(name)
+        if (s := names[name]) and (s := s * literal_score(value.text)) >= LEAST:
+            value.score = max(value.score, s)
+    for value in reversed(values.values()):
+        if value.score:
+            for part in value.parts:
+                part.score = max(part.score, value.score)
+            for span in value.spans:
+                if span[1] > span[0]:
+                    out[span] = max(value.score, out.get(span, 0.0))
     return out
 
 

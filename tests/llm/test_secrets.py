@@ -63,3 +63,40 @@ def test_linear_time():
     for text in (("a" * 200_000 + " = ") * 3, '"' * 200_001 + 'x="' + "\\" * 100_000, "token" + " " * 200_000, "a=" * 100_000):
         secrets.literals(text), secrets.base_spans(text)
     assert time.time() - began < 10
+
+
+def test_values_that_double():
+    """Constants that refer to constants take the time of their text, and reach back to the first literal."""
+    for line in ("a{1} = a{0} + a{0}", "a{1} = a{0}+a{0}", "a{1} = a{0} + 'Zx9'"):
+        began = time.time()
+        text = "a0 = 'qW3eR5tY7uI9'\n" + "\n".join(line.format(i, i + 1) for i in range(200)) + "\npassword = a200\n"
+        assert text[6:18] == "qW3eR5tY7uI9" and (6, 18) in secrets.literals(text)
+        long = "a0 = 'qW3eR5tY7uI9'\n" + "\n".join(line.format(i, i + 1) + f"\nsecret_{i} = a{i}" for i in range(5000))
+        assert (6, 18) in secrets.literals(long)
+        assert time.time() - began < 2
+
+
+def plain_literals(text):
+    """The lexer's values as plain texts, for texts without doubling."""
+    known, out = {}, {}
+    for name, value in secrets.pairs(text):
+        def spans(v):
+            return v.spans + [s for p in v.parts for s in spans(p)]
+        known[name] = spans(value)
+        score = secrets.name_score(name) * secrets.literal_score("".join(text[a:b] for a, b in sorted(known[name])))
+        if score >= secrets.LEAST:
+            for s in known[name]:
+                out[s] = max(score, out.get(s, 0.0))
+    return {s: v for s, v in out.items() if s[1] > s[0]}
+
+
+def test_scores_reach_all_parts():
+    rng = random.Random(7)
+    for _ in range(200):
+        lines = []
+        for i in range(12):
+            right = rng.choice([f"'{rng.randbytes(5).hex()}Q'", f"v{rng.randint(0, 9)}", "plain", f"'{rng.randint(0, 99)}' + 'aB{rng.randint(0, 9999)}'"])
+            lines.append(f"{rng.choice(['password', 'note', 'api_key', f'v{i}'])} = {right}")
+        text = "\n".join(lines)
+        got = secrets.literals(text)
+        assert got == plain_literals(text)
