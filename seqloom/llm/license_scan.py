@@ -1,15 +1,16 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line, or the joined lines of a block, as notices are often wrapped
-over several lines; a line without letters and digits, such as an empty comment,
-ends a block. Its features are word 1-, 2- and 3-grams of the notices
-below that hold a word by which notices are known (an anchor), so a paragraph
-without an anchor has no feature and is unknown by construction; only the others
-are scored. A multinomial logistic regression with an L1 penalty is trained on
-the notices, on pieces and alterations of them, and on sentences that use the
-same words otherwise, which with everything else form the unknown class. A
-temperature fitted on alterations left out of training calibrates it. A family
-found is confirmed where enough of one of its templates' n-grams are there.
+A paragraph is a block of lines, ended by a line without letters and digits (a blank
+one, an empty comment); marks of comments are no words, so they don't count. A notice
+may also be one line among others, so the lines of a block are scored as well. The
+features of a paragraph are word 1-, 2- and 3-grams of the notices below. A
+multinomial logistic regression with an L1 penalty is trained on the notices, on
+pieces and alterations of them, and on an unknown class: sentences that use the same
+words otherwise, and the notices' words in any order. The penalty leaves a sparse
+set of n-grams that matter; a paragraph that has none of them has the odds of the
+empty one, which is unknown, so it needs no scoring. A temperature fitted on
+alterations left out of training calibrates the odds. A family found is confirmed
+where enough of one of its templates' n-grams are there.
 
 Training works on the notices only and ends with a table of bounded size. The
 scan over documents is built-in functions, joins and aggregates.
@@ -65,6 +66,7 @@ NOTICES: dict[str, list[str]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "Released under the GPLv3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
@@ -148,11 +150,10 @@ OTHER = [
     "The license of the poet is to bend the rules of grammar.",
     "The version of the story in this work is licensed by memory alone.",
 ]
-#: Words by which notices are known; a paragraph without one is not scored.
-ANCHORS = [
-    "license", "licensed", "licenses", "licence", "licenced", "licensing", "sublicense", "unlicense", "copyright", "copyrighted", "gnu", "gpl", "lgpl", "agpl", "mpl", "apache", "bsd", "isc", "cc0", "cc", "spdx", "creative", "commons",
-    "redistribution", "redistributions", "redistribute", "permission", "warranty", "warranties", "merchantability", "unencumbered", "reserved", "proprietary", "reproduced", "domain", "distribute", "distributed", "copying", "waived",
-]
+#: Words that name a licence and so are not drawn for the unknown class.
+NAMES = {"spdx", "apache", "gpl", "lgpl", "agpl", "mpl", "cc0", "unlicense", "isc", "mit", "bsd"}
+#: Words that prose and notices share.
+PLAIN = ["license", "licensed", "licenses", "copyright", "permission", "warranty", "reserved", "public", "domain", "software", "the", "of", "to", "in", "and", "a", "this", "is", "or", "under", "with"]
 #: What stands between words: everything but ASCII letters, digits, and a dot between digits.
 BREAKS = "[^a-z0-9.]+|\\.(?![0-9])|(?<![0-9])\\."
 #: A version right behind a name is a word of its own: GPLv3, LGPL2.1.
@@ -176,13 +177,19 @@ def words_column(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(text), VERSIONED, "$1 "), BREAKS), "")
 
 
-def grams_column(words: Column) -> Column:
-    """All distinct n-grams of an array of words."""
+def grams_column(text: Column) -> Column:
+    """All distinct n-grams of a text's words.
 
-    def of(n: int) -> Column:
-        return F.transform(words, lambda _, i: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, n), " ")))
+    The words go through an array of one, as an element of which they are worked
+    out once and not again for each of them.
+    """
+
+    def of(words: Column, n: int) -> Column:
+        last = F.size(words) - n
+        return F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(n))))
 
-    return F.array_distinct(F.array_compact(F.concat(*map(of, range(1, LONGEST + 1)))))
+    every = F.transform(F.array(words_column(text)), lambda words: F.concat(words, *(of(words, n) for n in range(2, LONGEST + 1))))
+    return F.array_distinct(F.get(every, F.lit(0)))
 
 
 def alterations(text: str, rng: random.Random, n: int) -> list[list[str]]:
@@ -201,24 +208,25 @@ def alterations(text: str, rng: random.Random, n: int) -> list[list[str]]:
 
 
 @lru_cache(maxsize=2)
-def trained(penalty: float = 2e-4, seed: int = 13) -> tuple[list[str], list[str], np.ndarray, np.ndarray, float]:
+def trained(penalty: float = 1e-4, seed: int = 13) -> tuple[list[str], list[str], np.ndarray, np.ndarray, float]:
     """Families (unknown last), grams, weights (grams x families), biases and temperature, from the notices alone."""
     rng = random.Random(seed)
     families = [*NOTICES, UNKNOWN]
-    anchors = set(ANCHORS)
-    grams = sorted({g for texts in NOTICES.values() for t in texts for g in grams_of(words_of(t)) if anchors & set(g.split())})
+    grams = sorted({g for texts in NOTICES.values() for t in texts for g in grams_of(words_of(t))})
     index = {g: i for i, g in enumerate(grams)}
     examples, held = [], []
     for k, family in enumerate(families):
         for text in NOTICES.get(family, OTHER):
-            some = [words_of(text)] * 6 + alterations(text, rng, 18)
+            some = [words_of(text)] * 6 + alterations(text, rng, 40)
             examples += [(w, k) for w in some]
             held += [(w, k) for w in alterations(text, rng, 8)]
     unknown = len(families) - 1
-    every = sorted(w for w in {x for texts in NOTICES.values() for t in texts for x in words_of(t)} if w not in ("spdx", "apache", "gpl", "lgpl", "agpl", "mpl", "cc0"))
-    for some in (examples, held):  # the words in any order say nothing
-        some += [([rng.choice(every) for _ in range(rng.randint(1, 12))], unknown) for _ in range(300)]
-        some += [([rng.choice(ANCHORS[:9])], unknown) for _ in range(30)] + [([], unknown)] * 30
+    texts = [words_of(t) for own in NOTICES.values() for t in own]
+    every = sorted({x for t in texts for x in t} - NAMES)
+    for some in (examples, held):  # the words in any order, and the words of prose between others, say nothing
+        some += [([rng.choice(every) for _ in range(rng.randint(1, 60))], unknown) for _ in range(600)]
+        some += [(rng.sample([w for w in t if w not in NAMES], k=len([w for w in t if w not in NAMES])), unknown) for t in texts for _ in range(3)]
+        some += [([w], unknown) for w in PLAIN for _ in range(2)] + [([], unknown)] * 60
 
     def matrix(some):
         x = np.zeros((len(some), len(grams)), np.float32)
@@ -256,57 +264,81 @@ def _table(spark: SparkSession, schema: str, rows: Iterable[tuple]) -> DataFrame
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{one}>>")))
 
 
-def scan(docs: DataFrame, likely: float = LIKELY, confirmed: float = CONFIRMED) -> DataFrame:
-    """Paragraphs of ``docs (doc_id, text)`` with an anchor word: ``doc_id, paragraph, family, probability, similarity, confirmed``.
-
-    ``paragraph`` counts lines from 0. A block of lines gives one more row, at its
-    first line, where together they are confirmed as a family that none of them is
-    confirmed as alone. ``family`` is the likeliest, or ``unknown``
-    where that is the unknown class or has a calibrated ``probability`` below
-    ``likely``; ``similarity`` is the greatest share of the n-grams of one of the
-    family's templates that the paragraph holds (0 for unknown), and ``confirmed``
-    whether it reaches ``confirmed``. Paragraphs without an anchor word are
-    unknown and give no row, and so do null and empty texts. Null ids stay;
-    repeated rows each give their rows; other columns are not read. An empty table
-    gives no rows.
-    """
-    spark = docs.sparkSession
-    families, grams, weights, biases, temperature = trained()
-    anchors = F.array(*map(F.lit, ANCHORS))
-    known = lambda text: F.arrays_overlap(words_column(text), anchors)
-    some = docs.select("doc_id", "text").where(known(F.col("text"))).withColumn("doc", F.monotonically_increasing_id())
-    alone = some.select("doc_id", "doc", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line")).withColumn("last", F.lit(None).cast("int"))
-    several = some.withColumn("pieces", F.split("text", BLOCK_ENDS, -1))
-    several = several.withColumn("ends", F.transform("pieces", lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))))
-    several = several.select("doc_id", "doc", "ends", F.posexplode("pieces").alias("piece", "line")).where(F.col("line").rlike("[\\p{L}\\p{N}][^\n]*\n[^\n]*[\\p{L}\\p{N}]"))
-    before = F.aggregate(F.slice("ends", 1, F.col("piece")), F.lit(0), lambda a, n: a + n)
-    several = several.withColumn("first", before + F.when(F.col("line").rlike("^[^\\p{L}\\p{N}\n]*\n"), 1).otherwise(0))
-    several = several.select("doc_id", "doc", F.col("first").alias("paragraph"), "line", (before + F.get("ends", F.col("piece"))).alias("last"))
-    lines = alone.unionByName(several).where(known(F.col("line")))
-    lines = materialise(lines.withColumn("row_id", F.monotonically_increasing_id()), "license-lines")
-    # the tables below are made of the notices and as small as these
-    templates = [(f, i, sorted(grams_of(words_of(t)))) for f, texts in NOTICES.items() for i, t in enumerate(texts)]
+@lru_cache(maxsize=2)
+def _model_rows() -> tuple[list[tuple], list[tuple], list[str]]:
+    """``(gram, weights, templates)`` of what the scan looks up, ``(template, family, size)``, and the grams that weigh anything."""
+    _, grams, weights, _, _ = trained()
+    templates = [(f, sorted(grams_of(words_of(t)))) for f, texts in NOTICES.items() for t in texts]
     rows = {g: (g, [float(v) for v in weights[i]], []) for i, g in enumerate(grams) if weights[i].any()}
-    for n, (_, _, own) in enumerate(templates):
+    heavy = list(rows)
+    for n, (_, own) in enumerate(templates):
         for g in own:
             rows.setdefault(g, (g, None, []))[2].append(n)
-    model = F.broadcast(_table(spark, "gram string, weights array<double>, templates array<int>", rows.values()))
-    sizes = F.broadcast(_table(spark, "template int, of string, size int", ((n, f, len(own)) for n, (f, _, own) in enumerate(templates))))
-    hits = lines.select("row_id", F.explode(grams_column(words_column(F.col("line")))).alias("gram")).join(model, "gram")
+    return list(rows.values()), [(n, f, len(own)) for n, (f, own) in enumerate(templates)], heavy
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """``(doc_id, doc, first, last, text)``: the blocks of a document's lines, and the lines of blocks that have several; ``doc`` is the row.
+
+    ``first`` and ``last`` count lines from 0. Lines without letters and digits are in no unit.
+    """
+    some = docs.select("doc_id", "text").withColumn("doc", F.monotonically_increasing_id()).withColumn("pieces", F.split("text", BLOCK_ENDS, -1))
+    # what stands before a block: for each piece the line ends of the pieces before it
+    ends = F.transform("pieces", lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
+    starts = F.aggregate("ends", F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    some = some.withColumn("ends", ends).withColumn("starts", starts)
+    blocks = some.select("doc_id", "doc", "starts", F.posexplode("pieces").alias("piece", "block")).where(F.col("block").rlike("[\\p{L}\\p{N}]"))
+    before = F.get("starts", F.col("piece")) + F.when(F.col("block").rlike("^[^\\p{L}\\p{N}\n]*\n"), 1).otherwise(0)
+    lines = F.split(F.regexp_replace("block", "^[^\\p{L}\\p{N}\n]*\n|\n\\z", ""), "\n", -1)
+    blocks = blocks.select("doc_id", "doc", before.alias("first"), lines.alias("lines"))
+    whole = F.struct(F.lit(0).alias("at"), F.size("lines").alias("n"), F.array_join("lines", "\n").alias("text"))
+    each = F.transform("lines", lambda line, i: F.struct(i.alias("at"), F.lit(1).alias("n"), line.alias("text")))
+    every = F.when(F.size("lines") > 1, F.array_append(each, whole)).otherwise(F.array(whole))
+    out = blocks.select("doc_id", "doc", "first", F.explode(every).alias("u"))
+    return out.select("doc_id", "doc", (F.col("first") + F.col("u.at")).alias("first"), (F.col("first") + F.col("u.at") + F.col("u.n") - 1).alias("last"), F.col("u.text").alias("text"))
+
+
+def scan(docs: DataFrame, likely: float = LIKELY, confirmed: float = CONFIRMED) -> DataFrame:
+    """Notices in ``docs (doc_id, text)``: ``doc_id, paragraph, lines, family, probability, similarity, confirmed``.
+
+    ``paragraph`` is its first line, counted from 0, and ``lines`` how many it has:
+    a block, or one line of a block. ``family`` is the likeliest if its calibrated
+    ``probability`` is ``likely`` or more; paragraphs of the unknown class give no
+    row. ``similarity`` is the greatest share of the n-grams of one of the family's
+    templates that the paragraph holds, and ``confirmed`` whether it reaches
+    ``confirmed``. Of a block and its lines with one family the lines stay where
+    any of them is confirmed or the block isn't, else the block does. Null and
+    empty texts give no row. Null ids stay; repeated rows each give their rows;
+    other columns are not read. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    families, _, _, biases, temperature = trained()
+    rows, templates, heavy = _model_rows()
+    of = [F.lit(f) for f in families]
+    # the tables are made of the notices and as small as these
+    known = [r[0] for r in rows]
+    found = units(docs).withColumn("grams", F.filter(grams_column(F.col("text")), lambda g: g.isin(known)))
+    found = found.where(F.exists("grams", lambda g: g.isin(heavy))).drop("text")
+    found = materialise(found.withColumn("row_id", F.monotonically_increasing_id()), "license-paragraphs")
+    model = F.broadcast(_table(spark, "gram string, weights array<double>, templates array<int>", rows))
+    sizes = F.broadcast(_table(spark, "template int, of string, size int", templates))
+    hits = found.select("row_id", F.explode("grams").alias("gram")).join(model, "gram")
     sums = hits.groupBy("row_id").agg(*(F.coalesce(F.sum(F.get("weights", F.lit(k))), F.lit(0.0)).alias(f"z{k}") for k in range(len(families))))
-    z = F.array(*(((F.coalesce(F.col(f"z{k}"), F.lit(0.0)) + float(b)) / temperature) for k, b in enumerate(biases)))
-    scored = lines.select("row_id", "doc_id", "doc", "paragraph", "last").join(sums, "row_id", "left").select("row_id", "doc_id", "doc", "paragraph", "last", z.alias("z"))
-    scored = scored.withColumn("top", F.array_max("z")).withColumn("best", F.array_position("z", F.col("top")))
+    z = F.array(*((F.col(f"z{k}") + float(b)) / temperature for k, b in enumerate(biases)))
+    scored = sums.select("row_id", z.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate(F.transform("z", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, v: a + v)
-    scored = scored.select("row_id", "doc_id", "doc", "paragraph", "last", (1 / total).alias("probability"), F.element_at(F.array(*map(F.lit, families)), F.col("best").cast("int")).alias("best"))
-    scored = scored.withColumn("family", F.when(F.col("probability") >= likely, F.col("best")).otherwise(UNKNOWN))
-    shared = hits.select("row_id", F.explode("templates").alias("template")).groupBy("row_id", "template").agg(F.count("*").alias("n"))
-    shared = shared.join(sizes, "template").groupBy("row_id", "of").agg(F.max(F.col("n") / F.col("size")).alias("similarity"))
-    joined = scored.alias("s").join(shared.alias("t"), (F.col("s.row_id") == F.col("t.row_id")) & (F.col("s.family") == F.col("t.of")), "left")
+    best = F.get(F.array(*of), (F.array_position("z", F.col("top")) - 1).cast("int"))
+    scored = scored.select("row_id", (1 / total).alias("probability"), best.alias("family")).where((F.col("probability") >= likely) & (F.col("family") != UNKNOWN))
+    shared = hits.join(scored, "row_id").select("row_id", "family", F.explode("templates").alias("template")).groupBy("row_id", "family", "template").agg(F.count("*").alias("n"))
+    shared = shared.join(sizes, "template").where("of = family").groupBy("row_id").agg(F.max(F.col("n") / F.col("size")).alias("similarity"))
     similarity = F.coalesce("similarity", F.lit(0.0))
-    out = joined.select("doc_id", "doc", F.col("paragraph").cast("long").alias("paragraph"), "last", "family", "probability", similarity.alias("similarity"), (similarity >= confirmed).alias("confirmed"))
-    out = materialise(out, "license-paragraphs")
-    one, blocks = out.where("last is null"), out.where("last is not null and confirmed and family <> 'unknown'").alias("b")
-    found = one.where("confirmed").select("doc", "family", "paragraph").alias("l")
-    inside = (F.col("b.doc") == F.col("l.doc")) & (F.col("b.family") == F.col("l.family")) & F.col("l.paragraph").between(F.col("b.paragraph"), F.col("b.last"))
-    return one.unionByName(blocks.join(found, inside, "left_anti")).drop("doc", "last")
+    out = found.drop("grams").join(scored, "row_id").join(shared, "row_id", "left").select("doc_id", "doc", "first", "last", "family", "probability", similarity.alias("similarity"), (similarity >= confirmed).alias("confirmed"))
+    out = materialise(out, "license-notices")
+    one, blocks = out.where("first = last").alias("l"), out.where("first < last").alias("b")
+    inside = (F.col("b.doc") == F.col("l.doc")) & (F.col("b.family") == F.col("l.family")) & F.col("l.first").between(F.col("b.first"), F.col("b.last"))
+    # a block stays where no line says the same as well; lines stay unless their block does
+    kept = blocks.where("confirmed").join(one.where("confirmed"), inside, "left_anti")
+    rest = one.where("confirmed").unionByName(one.where("not confirmed").alias("l").join(kept.alias("b"), inside, "left_anti"))
+    loose = blocks.where("not confirmed").join(one, inside, "left_anti")
+    every = kept.unionByName(rest).unionByName(loose)
+    return every.select("doc_id", F.col("first").cast("long").alias("paragraph"), (F.col("last") - F.col("first") + 1).cast("long").alias("lines"), "family", "probability", "similarity", "confirmed")
