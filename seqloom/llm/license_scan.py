@@ -177,19 +177,20 @@ def words_column(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(text), VERSIONED, "$1 "), BREAKS), "")
 
 
-def grams_column(text: Column) -> Column:
-    """All distinct n-grams of a text's words.
+def grams_column(words: Column, known: list[str]) -> Column:
+    """The distinct n-grams of an array of words that are among those ``known``; a null word is in none.
 
     The words go through an array of one, as an element of which they are worked
     out once and not again for each of them.
     """
 
     def of(words: Column, n: int) -> Column:
-        last = F.size(words) - n
-        return F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(n))))
+        starts = F.sequence(F.lit(0), F.size(words) - 1)
+        begun = F.filter(F.when(F.size(words) > 0, starts).otherwise(F.array().cast("array<int>")), lambda i: F.get(words, i).isNotNull() & F.get(words, i + n - 1).isNotNull())
+        return F.transform(begun, lambda i: F.concat(*(x for k in range(n) for x in (F.lit(" "), F.get(words, i + k))[k == 0 :])))
 
-    every = F.transform(F.array(words_column(text)), lambda words: F.concat(words, *(of(words, n) for n in range(2, LONGEST + 1))))
-    return F.array_distinct(F.get(every, F.lit(0)))
+    every = F.transform(F.array(words), lambda words: F.concat(words, *(of(words, n) for n in range(2, LONGEST + 1))))
+    return F.array_distinct(F.filter(F.get(every, F.lit(0)), lambda g: g.isin(known)))
 
 
 def alterations(text: str, rng: random.Random, n: int) -> list[list[str]]:
@@ -266,7 +267,7 @@ def _table(spark: SparkSession, schema: str, rows: Iterable[tuple]) -> DataFrame
 
 @lru_cache(maxsize=2)
 def _model_rows() -> tuple[list[tuple], list[tuple], list[str]]:
-    """``(gram, weights, templates)`` of what the scan looks up, ``(template, family, size)``, and the grams that weigh anything."""
+    """``(gram, weights, templates)`` of what the scan looks up, ``(template, family, size)``, and the grams that weigh anything; all of the notices."""
     _, grams, weights, _, _ = trained()
     templates = [(f, sorted(grams_of(words_of(t)))) for f, texts in NOTICES.items() for t in texts]
     rows = {g: (g, [float(v) for v in weights[i]], []) for i, g in enumerate(grams) if weights[i].any()}
@@ -277,25 +278,28 @@ def _model_rows() -> tuple[list[tuple], list[tuple], list[str]]:
     return list(rows.values()), [(n, f, len(own)) for n, (f, own) in enumerate(templates)], heavy
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """``(doc_id, doc, first, last, text)``: the blocks of a document's lines, and the lines of blocks that have several; ``doc`` is the row.
+def units(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``(doc_id, doc, first, last, words)``: the blocks of a document's lines, and the lines of blocks that have several; ``doc`` is the row.
 
-    ``first`` and ``last`` count lines from 0. Lines without letters and digits are in no unit.
+    ``first`` and ``last`` count lines from 0. Words outside the vocabulary are
+    null. Lines without letters and digits are in no unit; units without a word of
+    the vocabulary are left out.
     """
     some = docs.select("doc_id", "text").withColumn("doc", F.monotonically_increasing_id()).withColumn("pieces", F.split("text", BLOCK_ENDS, -1))
     # what stands before a block: for each piece the line ends of the pieces before it
     ends = F.transform("pieces", lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
-    starts = F.aggregate("ends", F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
-    some = some.withColumn("ends", ends).withColumn("starts", starts)
-    blocks = some.select("doc_id", "doc", "starts", F.posexplode("pieces").alias("piece", "block")).where(F.col("block").rlike("[\\p{L}\\p{N}]"))
-    before = F.get("starts", F.col("piece")) + F.when(F.col("block").rlike("^[^\\p{L}\\p{N}\n]*\n"), 1).otherwise(0)
+    blocks = some.withColumn("ends", ends).select("doc_id", "doc", "ends", F.posexplode("pieces").alias("piece", "block")).where(F.col("block").rlike("[\\p{L}\\p{N}]"))
+    before = F.aggregate(F.slice("ends", 1, F.col("piece")), F.lit(0), lambda a, n: a + n) + F.when(F.col("block").rlike("^[^\\p{L}\\p{N}\n]*\n"), 1).otherwise(0)
     lines = F.split(F.regexp_replace("block", "^[^\\p{L}\\p{N}\n]*\n|\n\\z", ""), "\n", -1)
-    blocks = blocks.select("doc_id", "doc", before.alias("first"), lines.alias("lines"))
-    whole = F.struct(F.lit(0).alias("at"), F.size("lines").alias("n"), F.array_join("lines", "\n").alias("text"))
-    each = F.transform("lines", lambda line, i: F.struct(i.alias("at"), F.lit(1).alias("n"), line.alias("text")))
+    known = F.transform(lines, lambda line: F.transform(words_column(line), lambda w: F.when(w.isin(vocabulary), w)))
+    blocks = blocks.select("doc_id", "doc", "ends", "piece", "block", known.alias("lines"))
+    blocks = blocks.where(F.exists("lines", lambda x: F.exists(x, lambda w: w.isNotNull()))).select("doc_id", "doc", before.alias("first"), "lines")
+    whole = F.struct(F.lit(0).alias("at"), F.size("lines").alias("n"), F.flatten("lines").alias("words"))
+    each = F.transform("lines", lambda words, i: F.struct(i.alias("at"), F.lit(1).alias("n"), words.alias("words")))
+    each = F.filter(each, lambda u: F.exists(u["words"], lambda w: w.isNotNull()))
     every = F.when(F.size("lines") > 1, F.array_append(each, whole)).otherwise(F.array(whole))
     out = blocks.select("doc_id", "doc", "first", F.explode(every).alias("u"))
-    return out.select("doc_id", "doc", (F.col("first") + F.col("u.at")).alias("first"), (F.col("first") + F.col("u.at") + F.col("u.n") - 1).alias("last"), F.col("u.text").alias("text"))
+    return out.select("doc_id", "doc", (F.col("first") + F.col("u.at")).alias("first"), (F.col("first") + F.col("u.at") + F.col("u.n") - 1).alias("last"), F.col("u.words").alias("words"))
 
 
 def scan(docs: DataFrame, likely: float = LIKELY, confirmed: float = CONFIRMED) -> DataFrame:
@@ -317,8 +321,8 @@ def scan(docs: DataFrame, likely: float = LIKELY, confirmed: float = CONFIRMED)
     of = [F.lit(f) for f in families]
     # the tables are made of the notices and as small as these
     known = [r[0] for r in rows]
-    found = units(docs).withColumn("grams", F.filter(grams_column(F.col("text")), lambda g: g.isin(known)))
-    found = found.where(F.exists("grams", lambda g: g.isin(heavy))).drop("text")
+    found = units(docs, sorted({w for g in known for w in g.split()})).withColumn("grams", grams_column(F.col("words"), known)).drop("words")
+    found = found.where(F.exists("grams", lambda g: g.isin(heavy)))
     found = materialise(found.withColumn("row_id", F.monotonically_increasing_id()), "license-paragraphs")
     model = F.broadcast(_table(spark, "gram string, weights array<double>, templates array<int>", rows))
     sizes = F.broadcast(_table(spark, "template int, of string, size int", templates))
