@@ -1,12 +1,20 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last two lines decides after which lines a
-chunk ends, so an insertion moves boundaries only around itself. A line of
-``long_words`` words or more is a chunk of its own. Chunks of several lines (with
-``min_words`` words), and long lines, are compared over all documents: first by
-hash, then those with a repeated hash byte by byte. What a boundary has cut is
-caught by a second, overlapping kind of chunk, every two neighbouring lines (with
-``min_words`` words).
+A rolling hash over the hashes of two neighbouring lines (those with words) puts one
+boundary of a chunk there: if it is even, chunks may end behind the second line, if
+odd, they may begin with the first. From each line on, a chunk goes to the first such
+end by which it has ``min_words`` words; up to each line, one comes from the last such
+beginning. So a chunk depends on nothing but its own lines, an insertion moves no
+boundary but those next to it, and the lines of a repeated passage, its edges
+included, lie in chunks that the copies share: any two neighbours with ``min_words``
+words do, and all but one in some hundred lines of longer passages of very short
+lines. No chunk has more than ``most_lines``
+lines: in a stretch without ends all pairs are beginnings, and the chunks that come
+from these cover it.
+
+A line of ``long_words`` words or more is a paragraph that was never wrapped, and a
+chunk of its own besides. Chunks are compared over all documents: first by hash, then
+those with a repeated hash byte by byte.
 
 A line goes if it lies in a chunk whose bytes occur earlier: in a document of a
 smaller id, or further up in the same one. The first occurrence of a line lies
@@ -26,37 +34,47 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import small_batches, texts
 from seqloom.session import materialise
 
-LONG_WORDS, MIN_WORDS, DIVISOR = 50, 10, 3
+LONG_WORDS, MIN_WORDS, MOST_LINES = 50, 10, 32
 #: Hashes that may be broadcast (8 bytes each), and marks of lines (1 byte each) of documents (24 bytes each).
 BROADCAST_HASHES, BROADCAST_MARKS, BROADCAST_DOCS = 2_000_000, 16_000_000, 500_000
 #: Stands for a null id: it comes last.
 LAST = (1 << 63) - 1
 
 
-def ends(lines: list[bytes], words: list[int], long_words: int, divisor: int) -> list[int]:
-    """Where chunks end (exclusive)."""
-    out, before = [], 0
-    for i, line in enumerate(lines):
-        here = int.from_bytes(hashlib.md5(line).digest()[:4], "big")
-        if (31 * before + here) % divisor == 0 or words[i] >= long_words or i + 1 == len(lines) or words[i + 1] >= long_words:
-            out.append(i + 1)
-        before = here
+def spans(words: list[int], even: list[bool], long_words: int, min_words: int, most_lines: int) -> set[tuple[int, int]]:
+    """First and last line of each chunk; ``even[i]`` is of the lines ``i - 1`` and ``i``."""
+    n, out = len(words), {(i, i) for i, w in enumerate(words) if w >= long_words}
+    for i in range(n):
+        total = words[i]
+        for j in range(i + 1, min(n, i + most_lines)):
+            total += words[j]
+            if total >= min_words and even[j]:
+                out.add((i, j))
+                break
+        total = words[i]
+        for j in range(i - 1, max(-1, i - most_lines), -1):
+            total += words[j]
+            if total >= min_words and not even[j + 1]:
+                out.add((j, i))
+                break
     return out
 
 
-def chunks(text: bytes, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, divisor: int = DIVISOR):
-    """``(start, lines, bytes)`` of the chunks of a text that count, both kinds, each span once."""
-    lines = text.split(b"\n")
-    words = [len(line.split()) for line in lines]
-    spans, start = set(), 0
-    for end in ends(lines, words, long_words, divisor):
-        n = sum(words[start:end])
-        if n >= long_words or end - start > 1 and n >= min_words:
-            spans.add((start, end))
-        start = end
-    spans |= {(i, i + 2) for i in range(len(lines) - 1) if words[i] + words[i + 1] >= min_words}
-    for a, b in sorted(spans):
-        yield a, b - a, b"\n".join(lines[a:b])
+def chunks(text: bytes, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, most_lines: int = MOST_LINES):
+    """``(start, lines, bytes)`` of the chunks of a text in order, each span once."""
+    every = text.split(b"\n")
+    words = [len(line.split()) for line in every]
+    at = [i for i, w in enumerate(words) if w]
+    if not at:
+        return
+    words, even, before = [words[i] for i in at], [], 0
+    for i in at:
+        here = int.from_bytes(hashlib.md5(every[i]).digest()[:4], "big")
+        even.append((31 * before + here) >> 16 & 1 == 0)
+        before = here
+    for a, b in sorted(spans(words, even, long_words, min_words, most_lines)):
+        a, b = at[a], at[b] + 1
+        yield a, b - a, b"\n".join(every[a:b])
 
 
 def _hash(chunk: bytes, bits: int) -> int:
@@ -120,9 +138,9 @@ def _marked(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(marks, pa.list_(pa.bool_()))], names=["doc", "key", "gone"])
 
 
-def removals(docs: DataFrame, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, divisor: int = DIVISOR, hash_bits: int = 64) -> DataFrame:
+def removals(docs: DataFrame, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, most_lines: int = MOST_LINES, hash_bits: int = 64) -> DataFrame:
     """``(doc, key, gone array<boolean>)`` of the documents that lose lines; ``doc`` and ``key`` as of :func:`keyed`."""
-    options = (long_words, min_words, divisor)
+    options = (long_words, min_words, most_lines)
     rows = keyed(small_batches(docs)).select("doc", "key", "text").where("text is not null")
     listed = materialise(rows.mapInArrow(_listed(options, hash_bits), _LISTED), "chunks")
     repeated = materialise(listed.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1").select("hash"), "repeated", compact=True)
@@ -148,7 +166,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "key": F.xxhash64("text")})
 
 
-def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, divisor: int = DIVISOR, hash_bits: int = 64, removed: str = "lines_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, most_lines: int = MOST_LINES, hash_bits: int = 64, removed: str = "lines_removed") -> DataFrame:
     """``docs`` with ``text`` less the lines that repeat what stands earlier, and how many were ``removed``; every row stays.
 
     A document that is a copy loses all its lines and keeps an empty text. A null
@@ -158,7 +176,7 @@ def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, min_words: int =
     order; one with the name of the new one is replaced. An empty table gives no rows.
     """
     columns = [c for c in docs.columns if c != removed]
-    gone = removals(docs, long_words, min_words, divisor, hash_bits).withColumnsRenamed({"doc": "__doc", "key": "__key", "gone": "__gone"})
+    gone = removals(docs, long_words, min_words, most_lines, hash_bits).withColumnsRenamed({"doc": "__doc", "key": "__key", "gone": "__gone"})
     size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
     if size[0] <= BROADCAST_DOCS and size[1] <= BROADCAST_MARKS:
         gone = F.broadcast(gone)

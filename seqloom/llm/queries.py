@@ -78,13 +78,13 @@ ORACLES: dict[str, str] = {
         ), h AS (
             SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l
         ), r AS (
-            SELECT *, (31 * coalesce(lag(h) OVER d, 0) + h) % 3 AS roll, lead(w) OVER d AS w_next, lead(line) OVER d AS line_next FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+            SELECT *, row_number() OVER d AS p, sum(w) OVER d AS upto, (31 * coalesce(lag(h) OVER d, 0) + h) // 65536 % 2 = 0 AS even FROM h WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)
         ), c AS (
-            SELECT *, coalesce(sum(CASE WHEN roll = 0 OR w >= 50 OR w_next IS NULL OR w_next >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM r
+            SELECT doc_id, i AS a, i AS b FROM r WHERE w >= 50
+            UNION SELECT x.doc_id, x.i, min(y.i) FROM r x JOIN r y ON x.doc_id = y.doc_id AND y.p BETWEEN x.p + 1 AND x.p + 31 AND y.even AND y.upto - x.upto + x.w >= 10 GROUP BY x.doc_id, x.i
+            UNION SELECT y.doc_id, max(x.i), y.i FROM r y JOIN (SELECT doc_id, i, p, upto, w, lead(even) OVER (PARTITION BY doc_id ORDER BY i) AS even FROM r) x ON x.doc_id = y.doc_id AND x.p BETWEEN y.p - 31 AND y.p - 1 AND NOT x.even AND y.upto - x.upto + x.w >= 10 GROUP BY y.doc_id, y.i
         ), u AS (
-            SELECT doc_id, min(i) AS a, max(i) AS b, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, chunk HAVING sum(w) >= 50 OR count(*) > 1 AND sum(w) >= 10
-            UNION
-            SELECT doc_id, i, i + 1, line || chr(10) || line_next FROM c WHERE w_next IS NOT NULL AND w + w_next >= 10
+            SELECT c.doc_id, a, b, string_agg(line, chr(10) ORDER BY i) AS body FROM c JOIN l ON l.doc_id = c.doc_id AND l.i BETWEEN a AND b GROUP BY c.doc_id, a, b
         ), late AS (
             SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS k FROM u
         ), gone AS (

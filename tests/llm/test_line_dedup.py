@@ -65,6 +65,40 @@ def test_boundaries_resist_shifts():
     assert len(a & b) >= len(a) - 3
 
 
+def test_chunks_do_not_depend_on_what_is_around():
+    """The lines of a passage of 50 words between other lines are in chunks that both copies have, whatever their length, edges included."""
+    rng = random.Random(8)
+    lost = lines = 0
+    for most in (1, 2, 4, 12, 40, 45):
+        for _ in range(200):
+            passage = []
+            while sum(len(x.split()) for x in passage) < 50:
+                passage.append(b" ".join(b"p%d" % rng.randint(0, 99999) for _ in range(rng.randint(1, most))))
+            texts = [[b"own %d line" % rng.randint(0, 1 << 40) for _ in range(rng.randint(0, 5))] for _ in range(4)]
+            found = [{c for _, _, c in ld.chunks(b"\n".join([*x, *passage, *y]))} for x, y in (texts[:2], texts[2:])]
+            covered = {line for c in found[0] & found[1] for line in c.split(b"\n")}
+            lines += len(passage)
+            lost += len(set(passage) - covered)
+    assert lost < lines / 500
+
+
+def test_stretches_without_ends():
+    """Equal lines have one rolling hash; the chunks stay short and cover all of them."""
+    for line in (b"x", b"ab cd", b"one line of words", b""):
+        for n in (1, 2, 40, 5000):
+            got = list(ld.chunks(b"\n".join([line] * n + [b"last"])))
+            assert all(k <= ld.MOST_LINES for _, k, _ in got) and len(got) <= 2 * n + 2
+            if line and n > 30:
+                assert {i for a, k, _ in got for i in range(a, a + k)} >= set(range(n))
+
+
+def test_blank_lines_within_a_chunk(spark):
+    text = "first line of five words\n\n   \nsecond line of five words\n\nthird line, five words too"
+    rows = [(1, text), (2, "other\n\n" + text + "\n"), (3, "\n\n")]
+    got = {r.doc_id: (r.text, r.lines_removed) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (text, 0), 2: ("other\n\n", 6), 3: ("\n\n", 0)}
+
+
 def test_sql_says_the_same(spark):
     import duckdb
 
