@@ -1,4 +1,13 @@
-"""Exact top-k inner-product search over an impact-ordered index, score at a time."""
+"""Exact top-k inner-product search over an impact-ordered index, score at a time.
+
+A component's posting list is cut into segments of equal quantised value. A query
+goes through the segments of all components by descending impact, the greatest size
+of a product in the segment, and adds up each row's products. What a row has still
+ahead is bounded twice: by the impact reached times the components to come, and by
+the norms of the query and the row over these (Cauchy and Schwarz). Rows that can't
+reach the k-th score found so far drop out; once few are left, which the bounds prove
+for all others, these are scored exactly.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Quantised impacts of a component within a block.
-LEVELS = 8
-#: Share of the posting segments after which the stop is tested, and again after each next one.
-TESTS = (0.4, 0.6, 0.8)
+from seqloom.session import materialise
+
+#: Quantised values of a component within a block.
+LEVELS = 32
+#: Share of the postings after which the stop is tested.
+TESTS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
+#: Rows that are scored at once for a first bar, and share of rows that it pays to score instead of going on.
+FIRST, FEW = 32, 1 / 16
+#: No score known yet.
+NO_BAR = -(1 << 62)
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -25,62 +40,72 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
 
 
 class ImpactIndex:
-    """Posting segments of one block of vectors: for each component and quantised value the rows holding it."""
+    """Posting segments of one block of vectors: for each component and quantised value the rows holding it, and their values."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, levels: int = LEVELS):
         by = np.argsort(ids, kind="stable")  # ties in score go to the smaller id
         self.ids, self.x = ids[by], x[by]
-        self.rows, dims, low, high = [], [], [], []
-        for d in range(x.shape[1]):
-            col = self.x[:, d]
-            lo, hi = int(col.min()), int(col.max())
-            level = (col - lo) * levels // (hi - lo + 1)
-            order = np.argsort(level, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(level[order])) + 1):
-                self.rows.append(rows)
-                dims.append(d)
-                low.append(int(col[rows].min()))
-                high.append(int(col[rows].max()))
-        self.dims, self.low, self.high = np.array(dims, np.int64), np.array(low, np.int64), np.array(high, np.int64)
-
-    def top(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The ``k`` best ``(score, id)`` but for the row ``own``.
-
-        Segments go by descending impact, the gain of their best possible value
-        over the least the component can give. A row's lower bound grows by the
-        least gain of each segment it is in. The search stops when no more rows
-        than it would pay to rescore can still reach the k-th lower bound;
-        exactly these are rescored, so the result is exact whenever it stops.
+        n, dims = x.shape
+        low, high = self.x.min(0), self.x.max(0)
+        level = (self.x - low) * levels // (high - low + 1)
+        code = (np.arange(dims) * levels + level).T.ravel()  # component by component
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+        self.begin, self.end = first, np.r_[first[1:], n * dims]
+        self.rows, self.dim = (order % n).astype(np.int32), code[order][first] // levels
+        self.values = self.x.T.ravel()[order].astype(np.float64)
+        self.most = np.maximum.reduceat(np.abs(self.values), first)
+        self.norms = (self.x.astype(np.float64) ** 2).sum(1)
+        #: Postings gone through and rows scored exactly, of all that there were.
+        self.done, self.postings, self.scored, self.held = 0, 0, 0, 0
+
+    def top(self, q: np.ndarray, own: int, k: int, bar: int = NO_BAR) -> list[tuple[int, int]]:
+        """The ``k`` best ``(score, id)`` but for rows of the id ``own``; those below ``bar``, a score that k others have, may be left out.
+
+        The search stops when no more rows than it pays to score can still reach the bar.
+        Sums of products of integers are exact as long as they fit 53 bits; the bounds
+        allow for what they lose beyond, and the scores given are 64-bit integers.
         """
         n, dims = self.x.shape
-        a, b = q[self.dims] * self.low, q[self.dims] * self.high
-        least, most = np.minimum(a, b), np.maximum(a, b)
-        floor = np.full(dims, np.iinfo(np.int64).max)
-        np.minimum.at(floor, self.dims, least)
-        gain_low, gain_high = least - floor[self.dims], most - floor[self.dims]
-        order = np.argsort(-gain_high, kind="stable")
-        tests = sorted({int(len(order) * t) for t in TESTS} | {len(order)})
-        acc, done, possible = np.zeros(n, np.int64), 0, np.arange(n)
-        slack = np.zeros(dims, np.int64)
-        np.maximum.at(slack, self.dims, gain_high - gain_low)
-        for stop in tests:
-            for s in order[done:stop]:
-                if gain_low[s]:
-                    acc[self.rows[s]] += gain_low[s]
-            done = stop
-            ahead = np.zeros(dims, np.int64)
-            np.maximum.at(ahead, self.dims[order[done:]], gain_high[order[done:]])
-            # a component adds to a row at most what is ahead, or the width of its segment if it was done
-            reach = int(np.maximum(ahead, slack).sum())
-            m = min(k + int(np.count_nonzero(self.ids == own)), n)  # the query's own rows may be among them
-            bar = int(np.partition(acc, n - m)[n - m])
-            possible = np.flatnonzero(acc + reach >= bar)
-            if len(possible) <= max(64, n // 16):
+        mine = self.ids == own
+        k = min(k, n - int(mine.sum()))
+        if not k:
+            return []
+        weight = np.abs(q[self.dim]) * self.most
+        order = np.argsort(-weight, kind="stable")
+        size = (self.end - self.begin)[order]
+        upto = np.cumsum(size)
+        loss = 1 + 1e-12 * dims * float(weight.max(initial=0))
+        acc, left, q_left, x_left = np.zeros(n), np.full(n, float(dims)), np.full(n, float((q.astype(np.float64) ** 2).sum())), self.norms.copy()
+        possible, done = np.flatnonzero(~mine), 0
+        self.postings += n * dims
+        self.held += len(possible)
+        for share in TESTS:
+            stop = int(np.searchsorted(upto, share * n * dims))
+            some = order[done:stop]
+            if len(some):
+                count = self.end[some] - self.begin[some]
+                at = np.repeat(self.begin[some] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                rows, x, y = self.rows[at], self.values[at], np.repeat(q[self.dim[some]].astype(np.float64), count)
+                acc += np.bincount(rows, x * y, n)
+                left -= np.bincount(rows, minlength=n)
+                q_left -= np.bincount(rows, y * y, n)
+                x_left -= np.bincount(rows, x * x, n)
+                self.done += len(at)
+                done = stop
+            ahead = float(weight[order[done]]) if done < len(order) else 0.0
+            reach = acc + np.minimum(np.sqrt(np.maximum(q_left, 0) * np.maximum(x_left, 0)) * (1 + 1e-9), left * ahead) + loss
+            best = possible[np.argsort(-acc[possible], kind="stable")[: k + FIRST]] if len(possible) > k + FIRST else possible
+            if len(best) >= k:
+                self.scored += len(best)
+                bar = max(bar, int(np.sort(self.x[best] @ q)[-k]))
+            possible = possible[reach[possible] >= bar]
+            if len(possible) <= max(k + FIRST, n * FEW):
                 break
-        possible = possible[self.ids[possible] != own]
         scores = self.x[possible] @ q
+        self.scored += len(possible)
         best = np.lexsort((self.ids[possible], -scores))[:k]
-        return [(int(scores[i]), int(self.ids[possible[i]])) for i in best]
+        return [(int(scores[i]), int(self.ids[possible[i]])) for i in best if scores[i] >= bar]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -107,8 +132,8 @@ def _search(k: int, levels: int):
             if not width:
                 x, q = np.zeros((len(left), 1), np.int64), np.zeros((len(right), 1), np.int64)
             index = ImpactIndex(left.column("vec_id").to_numpy(), x, levels)
-            for qid, vector in zip(right.column("vec_id").to_pylist(), q):
-                for score, vec in index.top(vector, qid, k):
+            for qid, vector, bar in zip(right.column("vec_id").to_pylist(), q, right.column("bar").to_pylist()):
+                for score, vec in index.top(vector, qid, k, bar):
                     out["query_id"].append(qid)
                     out["vec_id"].append(vec)
                     out["score"].append(score)
@@ -123,18 +148,31 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     ``is_query`` is a condition on the integer column ``vec_id``. Components become
     ``floor(scale * x)``. Every block of candidates meets every block of queries
     once, in a task of its own that holds at most one of each; the k best of each
-    meeting are merged by rank. Ties go to the smaller id. A null id, a null
-    vector, or one with a null or non-finite component takes no part; an empty
-    vector scores zero and a shorter one counts as filled with zeros. Rows with
-    equal ids are candidates each, and one query by the least of their vectors; none
-    is a candidate for a query of its own id. Fewer than ``k``
-    candidates give what there is; an empty table gives no rows; other columns are not read.
+    meeting are merged by rank. Where there are several blocks the first one goes
+    ahead, and the k-th score that a query has there is its bar in all others. Ties
+    go to the smaller id. A null id, a null vector, or one with a null or non-finite
+    component takes no part; an empty vector scores zero and a shorter one counts as
+    filled with zeros. Rows with equal ids are candidates each, and one query by the
+    least of their vectors; none is a candidate for a query of its own id. Fewer than
+    ``k`` candidates give what there is; an empty table gives no rows; other columns
+    are not read.
     """
     v = quantised(vectors, id_col, vec_col, scale)
     rows, asked = v.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     blocks, q_blocks = max(1, math.ceil(rows / block_rows)), max(1, math.ceil(asked / query_rows))
-    left = v.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = v.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    part = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(_search(k, levels), "query_id long, vec_id long, score long")
+    queries = v.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)).cast("int"))
+    held = v.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+
+    def met(first: int, last: int, asked: DataFrame) -> DataFrame:
+        left = held.where(F.col("b").between(first, last)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+        right = asked.select(*(F.col(c).alias(c) for c in asked.columns)).withColumn("b", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+        return left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(_search(k, levels), "query_id long, vec_id long, score long")
+
+    part = met(0, 0, queries.withColumn("bar", F.lit(NO_BAR)))
+    if blocks > 1:
+        part = materialise(part, "top-first", compact=True)
+        bars = part.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
+        asked = queries.join(bars, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "qb", F.coalesce("least", F.lit(NO_BAR)).alias("bar"))
+        part = part.unionByName(met(1, blocks - 1, asked))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

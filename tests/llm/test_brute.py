@@ -196,3 +196,36 @@ def test_top_k(spark):
         want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     assert [tuple(r) for r in got] == want
     assert topk.exact_top_k(df.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def corpus_vectors():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    return t.column("vec_id").to_numpy(), np.floor(256 * np.array(t.column("embedding").to_pylist(), float)).astype(np.int64)
+
+
+def test_top_k_stops_on_proof():
+    """The search ends before the last segment and scores few rows, with brute force's result."""
+    ids, x = corpus_vectors()
+    index = topk.ImpactIndex(ids, x)
+    for q in np.flatnonzero(ids % 50 == 0):
+        scores = x @ x[q]
+        want = sorted(((-int(s), int(i)) for s, i in zip(scores, ids) if i != ids[q]))[:5]
+        assert [(-s, i) for s, i in index.top(x[q], int(ids[q]), 5)] == want
+        bar = -want[2][0]
+        assert [(-s, i) for s, i in index.top(x[q], int(ids[q]), 5, bar)][:3] == want[:3]
+    assert index.done < 0.75 * index.postings and index.scored < 0.2 * index.held
+
+
+@pytest.mark.parametrize("scale,width", [(1, 3), (3, 1), (1 << 22, 9)])
+def test_top_k_ties_and_large_values(scale, width):
+    rng = np.random.default_rng(width)
+    x = rng.integers(-3, 4, (500, width)) * scale
+    x[100:200] = x[0]
+    ids = rng.permutation(500)
+    index = topk.ImpactIndex(ids, x, levels=4)
+    for q in range(0, 300, 7):
+        scores = x @ x[q]
+        want = sorted(((-int(s), int(i)) for s, i in zip(scores, ids) if i != ids[q]))[:5]
+        assert [(-s, i) for s, i in index.top(x[q], int(ids[q]), 5)] == want
