@@ -66,6 +66,58 @@ def test_quality(spark):
     assert right > 0.93
 
 
+def test_exchange_draws_from_all_rows(spark, monkeypatch):
+    """Every unlabelled row is scored in each round, and what is handed on comes from all sources and parts of the table."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    plain = quality.even_rates
+    monkeypatch.setattr(quality, "even_rates", lambda counts, n: seen.append((counts.copy(), n, plain(counts, n))) or seen[-1][2])
+    quality.fit(docs.repartition(5), labels, most=100, rounds=1)
+    table = docs.select("doc_id", "text", "source", "lang", "n_chars").toPandas()
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pandas(table)
+    assert quality._views(batch)[0].shape[0] == len(table)
+    assert sum(c.sum() for c, _, _ in seen[:2]) > len(table) // 4  # the text view is sure of many of all the rows
+    for counts, n, rates in seen:
+        assert (rates <= 1).all() and (rates[counts == 0] == 0).all()
+        assert (counts * rates).sum() == pytest.approx(min(n, counts.sum()))
+
+
+def test_packed_views_are_the_views():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"place": [1, 2, 3], "good": pa.array([None, 1, 0], pa.int32()), "text": ["Some text, of words!", None, "x"], "source": ["a", None, "b"], "lang": ["en", "de", None], "n_chars": [20, None, -4]})
+    (packed,) = quality._pack([batch])
+    t, m = quality._unpacked(packed.column("views"))[1]
+    wt, wm = quality._views(batch)
+    assert np.allclose(t, wt, atol=1e-6) and (m == wm).all() and (m.sum(1) == 3).all()
+
+
+def plain_logistic_accuracy(docs, labels):
+    """One regression on both views side by side, by a plain loop, on the same split."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pandas(docs.reset_index(drop=True))
+    x = np.hstack(quality._views(batch)).astype(float)
+    y = np.array([labels.get(i, -1) for i in docs.doc_id])
+    x = (x - x.mean(0)) / np.maximum(x.std(0), 0.02)
+    train, rest = (y >= 0) & (docs.doc_id % 3 != 0), (y >= 0) & (docs.doc_id % 3 == 0)
+    w = np.zeros(x.shape[1] + 1)
+    xt = np.hstack([x, np.ones((len(x), 1))])
+    for _ in range(300):
+        p = 1 / (1 + np.exp(-xt[train] @ w))
+        w -= 0.05 * (xt[train].T @ (p - y[train]) / train.sum() + 1e-3 * w)
+    return ((xt[rest] @ w > 0) == (y[rest] == 1)).mean()
+
+
+def test_quality_is_no_worse_than_one_plain_model(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels.where("doc_id % 3 <> 0"), most=1000).join(labels.where("doc_id % 3 = 0"), "doc_id")
+    right = got.agg(F.avg((F.col("keep") == (F.col("quality") == 1)).cast("int"))).first()[0]
+    assert right > plain_logistic_accuracy(docs.toPandas(), {r.doc_id: r.quality for r in labels.collect()}) - 0.01
+
+
 def test_quality_edges(spark):
     rows = [(1, "good text here and more", "s", "en", 20), (1, "good text here and more", "s", "en", 20), (None, None, None, None, None), (3, "", "s", "en", -1), (4, "BAD!! BAD!! BAD!!", "t", "en", 3), (5, "BAD!! WORSE!!", "t", "en", 3), (6, "fine words in a row", None, "fr", 1 << 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").withColumn("keep", F.lit(7))
