@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a plain version, on the rows that the stage before it kept."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,6 @@ import corpus_pipeline
 from seqloom.llm import bpe, quality, simhash
 from seqloom.llm import decontaminate as dc
 from seqloom.session import materialise
-from tests.llm.test_brute import plain_fingerprint, reach
 from tests.llm.test_decontaminate import plain_score
 from tests.llm.test_line_dedup import plain as plain_lines
 
@@ -30,7 +30,7 @@ def test_stages(spark):
     assert sorted(rows[1]) == sorted((r.doc_id, r.text) for r in scored.collect()) and len(rows[1]) < len(rows[0])
     assert sorted(rows[2], key=str) == sorted(((i, t) for i, t, _ in plain_lines(rows[1])), key=str)
     ids = [i for i, _ in rows[2]]
-    group = reach([plain_fingerprint(t) for _, t in rows[2]], ids, 4)
+    group = plain_groups([t for _, t in rows[2]], ids)
     assert sorted(i for i, _ in rows[3]) == sorted(i for i, g in zip(ids, group) if i == g) and len(rows[3]) < len(rows[2])
     bench = [dc.words_of(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bad = {i for i, t in rows[3] for b in bench if plain_bound(dc.words_of(t), b) and plain_score(b, dc.words_of(t)) >= len(b)}
@@ -41,6 +41,66 @@ def test_stages(spark):
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} == {tuple(r) for r in tables[5].collect()}
 
 
+def plain_sets(texts):
+    out = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        out.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def plain_groups(texts, ids, similarity=0.8):
+    """The least id of all that similarities of shingle sets join, by comparing every two."""
+    sets = plain_sets(texts)
+    label = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if label[i] != label[j] and (a == b or len(a & b) >= similarity * len(a | b) > 0):
+                label = [label[i] if x == label[j] else x for x in label]
+    return [min(ids[j] for j in range(len(ids)) if label[j] == label[i]) for i in range(len(ids))]
+
+
+def varied(rng, words, share):
+    return [f"v{rng.randint(0, 9999)}" if rng.random() < share else w for w in words]
+
+
+def test_near_duplicates_at_the_similarity(spark, monkeypatch):
+    """Groups are those of every-pair comparison, in tiles as well; a chain of copies is one group."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([6, 12, 40, 150, 600]))]
+        texts += [" ".join(varied(rng, base, rng.choice([0, 0.005, 0.01, 0.02, 0.05]))) for _ in range(rng.choice([1, 2, 6]))]
+        if rng.random() < 0.3:  # each differs a little from the one before
+            for _ in range(8):
+                base = varied(rng, base, 0.01)
+                texts.append(" ".join(base))
+    texts += [None, "", " \n", "a b", "A  b", texts[0]]
+    rng.shuffle(texts)
+    ids = rng.sample(range(10_000), len(texts))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    want = {i for i, g in zip(ids, plain_groups(texts, ids)) if i == g}
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == want and len(want) < len(ids) - 20
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", 300)
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == want
+
+
+def test_keys_and_bits_find_what_is_similar():
+    """How often two sets of 0.8 share no key, or differ in more bits than are looked at."""
+    rng = np.random.default_rng(2)
+    missed = far = 0
+    for _ in range(400):
+        n = int(rng.integers(20, 400))
+        same = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        more = rng.integers(0, 1 << 63, max(2, n // 4), dtype=np.uint64)
+        a, b = np.unique(np.r_[same, more[: len(more) // 2]]), np.unique(np.r_[same, more[len(more) // 2 :]])
+        missed += not set(simhash.band_keys(a)) & set(simhash.band_keys(b))
+        far += bin(simhash.majority(a) ^ simhash.majority(b)).count("1") > simhash.FAR
+    assert missed <= 4 and far == 0
+
+
 def plain_bound(words, item):
     """Only equal words add to a score; enough to leave most pairs out of the slow program."""
     return 2 * sum(w in set(words) for w in item) >= len(item)
