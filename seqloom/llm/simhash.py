@@ -278,8 +278,8 @@ BANDS, ROWS = 12, 4
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bits in which fingerprints of similar sets never differ; sets smaller than ``FEW`` shingles are compared whatever theirs.
 FAR, FEW = 24, 16
-#: Shingles of the sets that one tile of a group holds.
-TILE_SHINGLES = 500_000
+#: Sets, and shingles of them, that one tile of a group holds.
+TILE_SETS, TILE_SHINGLES = 512, 200_000
 
 
 def band_keys(distinct: np.ndarray) -> list[int]:
@@ -406,7 +406,7 @@ def similar_sets(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     stars = keyed.join(shared, "key").where("set <> first").select(F.col("first").alias("u"), F.col("set").alias("v")).distinct()
     group = materialise(connected_components(stars), "candidate-sets", compact=True)
     member = group.select(F.col("node").alias("set"), F.col("component").alias("group")).join(nodes.select("set", "size", "least"), "set")
-    tiles = member.groupBy("group").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("s"))
+    tiles = member.groupBy("group").agg(F.ceil(F.greatest(F.sum("size") / TILE_SHINGLES, F.count("*") / TILE_SETS)).cast("int").alias("s"))
     member = materialise(member.join(tiles, "group"), "tiles", compact=True)
     few = member.count() <= BROADCAST_IDS
     if few:  # only documents whose id is that of a candidate are read again, else all are
