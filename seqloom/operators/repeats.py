@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.graph import connected_components
+from seqloom.operators.index import fullest_threshold, hash_stats
 from seqloom.operators.intervals import merged
+from seqloom.session import materialise
 
 
 def repeat_hits(hashes: DataFrame, keys: Sequence[str], lag: int, most: int = 40, cell: int = 312, step: int = 2) -> DataFrame:
@@ -72,18 +74,59 @@ def pieces(spans: DataFrame, keys: Sequence[str], length: int, step: int) -> Dat
     return cut.select(*keys, "start", F.least(F.col("end"), F.col("start") + length).alias("end"))
 
 
-def self_matches(pairs_table: DataFrame, id_col: str, most: int = 40, least_share: float = 0.2) -> DataFrame:
-    """Pairs of items that share hash pairs on one offset: ``a, b, offset, hits, share`` of the shorter.
+def equal_items(pairs_table: DataFrame, id_col: str) -> DataFrame:
+    """``(id, representative)``: of items with the same hashes ``(id, hash, pos)`` at the same places the least one stands for all."""
+    h = lambda salt: F.xxhash64("hash", "pos", F.lit(salt))
+    digest = pairs_table.groupBy(id_col).agg(F.count("*").alias("__n"), F.bit_xor(h(0)).alias("__x"), F.sum(h(1).bitwiseAND((1 << 32) - 1)).alias("__s"))
+    least = digest.groupBy("__n", "__x", "__s").agg(F.min(id_col).alias("representative"))
+    return digest.join(least, ["__n", "__x", "__s"]).select(id_col, "representative")
 
-    ``pairs_table (id, hash, pos)``; hashes in more than ``most`` places are left
-    out, which bounds the pairs of each list.
+
+def representatives(pairs_table: DataFrame, id_col: str, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items with what stands for them, the postings ``(id, hash, pos)`` of those that do, and these in lists of several with whether the list is ``full``.
+
+    Hashes are 64-bit numbers here. The ``share`` of lists that are longest are full.
     """
-    lists = pairs_table.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("hash")
-    few = pairs_table.join(lists, "hash")
-    a, b = few.select("hash", F.col(id_col).alias("a"), F.col("pos").alias("pa")), few.select("hash", F.col(id_col).alias("b"), F.col("pos").alias("pb"))
-    votes = a.join(b, "hash").where("a < b").groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("offset")).agg(F.count("*").alias("hits"))
+    every = materialise(pairs_table.select(id_col, F.xxhash64("hash").alias("hash"), F.col("pos").cast("long").alias("pos")), "match-postings")
+    members = materialise(equal_items(every, id_col), "equal-items", compact=True)
+    copies = members.where(F.col(id_col) != F.col("representative")).select(id_col)
+    postings = every.join(copies, id_col, "left_anti")
+    stats = materialise(hash_stats(postings), "match-lists", compact=True)
+    full = F.coalesce(F.col("len") > F.col("threshold"), F.lit(False))
+    lists = stats.where("len > 1").crossJoin(F.broadcast(fullest_threshold(stats, share))).select("hash", full.alias("full"))
+    return members, postings, materialise(postings.join(lists, "hash"), "match-marked")
+
+
+def measured(candidates: DataFrame, left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
+    """``(a, b, offset, hits)`` of each pair ``(a, b)`` by all hashes: the offset that most share, of several the least."""
+    x = candidates.join(left.select(F.col(id_col).alias("a"), "hash", F.col("pos").alias("pa")), "a")
+    votes = x.join(right.select(F.col(id_col).alias("b"), "hash", F.col("pos").alias("pb")), ["b", "hash"])
+    votes = votes.groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("offset")).agg(F.count("*").alias("hits"))
     best = votes.groupBy("a", "b").agg(F.max(F.struct("hits", (-F.col("offset")).alias("o"))).alias("x"))
-    size = pairs_table.groupBy(id_col).agg(F.count("*").alias("size"))
-    out = best.join(size.select(F.col(id_col).alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col(id_col).alias("b"), F.col("size").alias("sb")), "b")
-    share = F.col("x.hits") / F.least("sa", "sb")
-    return out.select("a", "b", (-F.col("x.o")).cast("long").alias("offset"), F.col("x.hits").alias("hits"), share.alias("share")).where(F.col("share") >= least_share)
+    return best.select("a", "b", (-F.col("x.o")).alias("offset"), F.col("x.hits").alias("hits"))
+
+
+def self_matches(pairs_table: DataFrame, id_col: str, share: float = 0.01, least_hits: int = 3, least_share: float = 0.2, searched: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """Pairs of items that share hashes on one offset, ``a, b, offset, hits, share`` of the shorter; and ``(id, representative)`` of all.
+
+    ``pairs_table (id, hash, pos)``. Equal items are one: pairs are of representatives,
+    so copies make none. Two items are measured, by all their hashes, if they meet on
+    one offset ``least_hits`` times and ``searched`` of as often as the result asks for: in the lists but for the fullest ``share``,
+    where all holders meet, or in a full one, where each meets the first holder, so
+    a list makes no more pairs than it has places however many items hold it.
+    """
+    members, postings, marked = representatives(pairs_table, id_col, share)
+    kept, full = marked.where("not full").drop("full"), marked.where("full").drop("full")
+    a, b = kept.select("hash", F.col(id_col).alias("a"), F.col("pos").alias("pa")), kept.select("hash", F.col(id_col).alias("b"), F.col("pos").alias("pb"))
+    first = full.groupBy("hash").agg(F.min(F.struct(F.col(id_col).alias("a"), F.col("pos").alias("pa"))).alias("first")).select("hash", "first.a", "first.pa")
+    met = a.join(b, "hash").where("a < b")
+    met = met.unionByName(full.select("hash", F.col(id_col).alias("b"), F.col("pos").alias("pb")).join(first, "hash").where("a < b"))
+    votes = met.groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("offset")).agg(F.count("*").alias("hits"))
+    met = votes.where(F.col("hits") >= least_hits).groupBy("a", "b").agg(F.max("hits").alias("hits"))
+    size = postings.groupBy(id_col).agg(F.count("*").alias("size"))
+    met = met.join(size.select(F.col(id_col).alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col(id_col).alias("b"), F.col("size").alias("sb")), "b")
+    candidates = met.where(F.col("hits") >= searched * least_share * F.least("sa", "sb")).select("a", "b", F.least("sa", "sb").alias("shorter"))
+    candidates = materialise(candidates, "match-candidates", compact=True)
+    best = measured(candidates.select("a", "b"), postings, postings, id_col).join(candidates, ["a", "b"])
+    part = F.col("hits") / F.col("shorter")
+    return best.select("a", "b", "offset", "hits", part.alias("share")).where(F.col("share") >= least_share), members

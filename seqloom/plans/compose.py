@@ -69,10 +69,12 @@ def identify(query_peaks: DataFrame, postings: DataFrame, ladder: DataFrame, sha
     return plays.plays(timed.withColumn("rank", level_rank(F.col("hits"), F.col("windows"), F.col("pass"))))
 
 
-def duplicate_clusters(pair_table: DataFrame, id_col: str, same: float = 0.8, most: int = 40) -> tuple[DataFrame, DataFrame]:
-    """Pairs of items that share ``same`` of the shorter's hashes on one offset, and their components."""
-    pairs = repeats.self_matches(pair_table, id_col, most)
-    return pairs, graph.connected_components(pairs.where(F.col("share") >= same), "a", "b")
+def duplicate_clusters(pair_table: DataFrame, id_col: str, same: float = 0.8, share: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """Pairs of unequal items (see :func:`repeats.self_matches`), and the components of equal items and of those that share ``same`` of the shorter's hashes on one offset."""
+    pairs, members = repeats.self_matches(pair_table, id_col, share)
+    pairs = materialise(pairs, "self-matches", compact=True)
+    equal = members.where(F.col(id_col) != F.col("representative")).select(F.col("representative").alias("a"), F.col(id_col).alias("b"))
+    return pairs, graph.connected_components(pairs.where(F.col("share") >= same).select("a", "b").unionByName(equal), "a", "b")
 
 
 def second_chance(plays_: DataFrame, hashes: DataFrame, postings: DataFrame, low: float, high: float, options: align.Options = align.Options()) -> DataFrame:

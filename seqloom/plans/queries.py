@@ -470,16 +470,26 @@ def repeat_groups(spark, sf_dir):
     return repeats.repeat_groups(hits, ["doc_id"], 10, 64)
 
 
-MATCHES = f"""{DP}, few AS (SELECT hash FROM dp GROUP BY hash HAVING count(*) BETWEEN 2 AND 40), v AS (SELECT p.doc_id AS a, q.doc_id AS b, q.pos - p.pos AS "offset", count(*) AS hits FROM dp p JOIN dp q ON p.hash = q.hash AND p.doc_id < q.doc_id WHERE p.hash IN (SELECT hash FROM few) GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY hits DESC, "offset") AS k FROM v), s AS (SELECT doc_id, count(*) AS n FROM dp GROUP BY 1), m AS (SELECT a, b, "offset", hits, hits / least(x.n, y.n) AS share FROM r JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE k = 1 AND hits / least(x.n, y.n) >= 0.2)"""
+#: Equal documents are one; the fullest lists of what is left.
+ALONE = f"""{DP}, sig AS (SELECT doc_id, string_agg(hash || '@' || pos, ' ' ORDER BY pos, hash) AS s FROM dp GROUP BY 1), cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM sig), rp AS (SELECT dp.* FROM dp JOIN cls USING (doc_id) WHERE rep = dp.doc_id),
+    st AS (SELECT hash, count(*) AS len, min(doc_id * 1000000 + pos) AS head FROM rp GROUP BY hash), {CUT}, li AS (SELECT hash, head // 1000000 AS c, head % 1000000 AS cp, coalesce(len > threshold, false) AS is_full FROM st, cut WHERE len > 1), ok AS (SELECT rp.* FROM rp JOIN li USING (hash) WHERE NOT is_full)"""
+MATCHES = f"""{ALONE}, v AS (SELECT p.doc_id AS a, q.doc_id AS b, q.pos - p.pos AS o, count(*) AS n FROM ok p JOIN ok q ON p.hash = q.hash AND p.doc_id < q.doc_id GROUP BY ALL UNION ALL SELECT c, rp.doc_id, pos - cp, count(*) FROM rp JOIN li USING (hash) WHERE is_full AND c < rp.doc_id GROUP BY ALL),
+    s AS (SELECT doc_id, count(*) AS n FROM rp GROUP BY 1),
+    cand AS (SELECT DISTINCT a, b FROM (SELECT a, b, o, sum(n) AS met FROM v GROUP BY a, b, o) JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE met >= 3 AND met >= 0.25 * 0.2 * least(x.n, y.n)), w AS (SELECT a, b, q.pos - p.pos AS "offset", count(*) AS hits FROM cand JOIN rp p ON p.doc_id = a JOIN rp q ON q.doc_id = b AND q.hash = p.hash GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY hits DESC, "offset") AS k FROM w), m AS (SELECT a, b, "offset", hits, hits / least(x.n, y.n) AS share FROM r JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE k = 1 AND hits / least(x.n, y.n) >= 0.2)"""
+
+
+@query(f"""WITH {ALONE} SELECT doc_id, rep AS representative FROM cls""")
+def equal_items(spark, sf_dir):
+    return repeats.equal_items(doc_pairs(spark, sf_dir), "doc_id")
 
 
 @query(f"""WITH {MATCHES} SELECT a, b, "offset", hits, share FROM m""")
 def self_matches(spark, sf_dir):
-    return repeats.self_matches(doc_pairs(spark, sf_dir), "doc_id")
+    return repeats.self_matches(doc_pairs(spark, sf_dir), "doc_id")[0]
 
 
-@query(f"""WITH RECURSIVE {MATCHES}, l AS (SELECT a, b FROM m WHERE share >= 0.8 UNION SELECT b, a FROM m WHERE share >= 0.8), c AS (SELECT a AS node, a AS component FROM l UNION SELECT l.b, c.component FROM c JOIN l ON l.a = c.node WHERE c.component < l.b)
+@query(f"""WITH RECURSIVE {MATCHES}, e AS (SELECT a, b FROM m WHERE share >= 0.8 UNION SELECT rep, doc_id FROM cls WHERE rep <> doc_id), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c AS (SELECT a AS node, a AS component FROM l UNION SELECT l.b, c.component FROM c JOIN l ON l.a = c.node WHERE c.component < l.b)
     SELECT node, min(component) AS component FROM c GROUP BY node""")
 def duplicate_clusters(spark, sf_dir):
     return compose.duplicate_clusters(doc_pairs(spark, sf_dir), "doc_id")[1]
@@ -859,8 +869,9 @@ def mix_false(spark, sf_dir):
     return harness.false_detections(mixes(spark, sf_dir), mix_detections(spark, sf_dir)).groupBy("mix").agg(F.count("*").alias("false"))
 
 
-@query(f"""WITH {DP}, few AS (SELECT hash FROM dp GROUP BY hash HAVING count(*) BETWEEN 2 AND 40), ok AS (SELECT dp.* FROM dp SEMI JOIN few USING (hash)), e AS (SELECT doc_id, (min(pos) + max(pos)) / 2 AS m FROM ok GROUP BY 1),
-    q AS (SELECT ok.doc_id, hash, pos FROM ok JOIN e ON e.doc_id = ok.doc_id WHERE pos >= m - 50 AND pos < m + 50), v AS (SELECT q.doc_id AS a, ok.doc_id AS b, ok.pos - q.pos AS o, count(*) AS hits FROM q JOIN ok USING (hash) WHERE q.doc_id <> ok.doc_id GROUP BY ALL), m AS (SELECT a, b, max(hits) AS hits FROM v GROUP BY a, b), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) AS k FROM m) SELECT a, b, hits FROM r WHERE k <= 20""")
+@query(f"""WITH {ALONE}, e AS (SELECT doc_id, (min(pos) + max(pos)) / 2 AS m FROM rp GROUP BY 1), q AS (SELECT rp.doc_id, hash, pos FROM rp JOIN e ON e.doc_id = rp.doc_id WHERE pos >= m - 50 AND pos < m + 50),
+    v AS (SELECT q.doc_id AS a, ok.doc_id AS b, ok.pos - q.pos AS o, count(*) AS hits FROM q JOIN ok USING (hash) WHERE q.doc_id <> ok.doc_id GROUP BY ALL), m AS (SELECT a, b, max(hits) AS hits FROM v GROUP BY a, b), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) AS k FROM m),
+    w AS (SELECT a, b, rp.pos - q.pos AS o, count(*) AS hits FROM r JOIN q ON q.doc_id = a JOIN rp ON rp.doc_id = b AND rp.hash = q.hash WHERE k <= 20 GROUP BY ALL) SELECT a, b, max(hits) AS hits FROM w GROUP BY a, b""")
 def library_wide_candidates(spark, sf_dir):
     return harness.candidates(doc_pairs(spark, sf_dir), "doc_id", 100)
 

@@ -323,3 +323,22 @@ def test_statistics_count_empty_lists(spark):
     r = index.index_stats(stats, 100).first()
     full = sorted([0] * 95 + [1, 1, 2, 5, 9])
     assert (r.used, r.postings, r.mean_len, r.p99_len, r.max_len, r.top_postings) == (5, 18, 0.18, full[99], 9, 9)
+
+
+@pytest.mark.parametrize("copies", [41, 5000])
+def test_large_groups_of_copies_are_one_cluster(spark, copies):
+    """Neither equal items nor a large group of almost equal ones fall out for being many."""
+    from seqloom.plans import compose
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words)) for i in range(copies)]
+    near = [f"n{i}" for i in range(80)]
+    rows += [(10_000 + i, " ".join([*near[: i % 70 + 2], f"own{i}", *near[i % 70 + 2 :]])) for i in range(60)]
+    rows += [(20_000 + i, " ".join(f"x{i}y{j}" for j in range(30))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, clusters = compose.duplicate_clusters(compose.document_pairs(docs, "doc_id"), "doc_id", same=0.4)
+    got = {}
+    for r in clusters.collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert got == {0: set(range(copies)), 10_000: {10_000 + i for i in range(60)}}
+    assert pairs.where(f"a < {copies}").count() == 0
