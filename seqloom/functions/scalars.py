@@ -22,18 +22,18 @@ OCTAVES = (125, 250, 500, 1000, 2000, 4000)
 
 
 def parse_timecode(text: Column) -> Column:
-    """Seconds of ``S``, ``M:SS`` or ``H:MM:SS`` with an optional fraction; null for anything else.
+    """Seconds of ``S``, ``M:S`` or ``H:M:S``, the seconds with an optional fraction; null for anything else.
 
-    Below the leading unit, minutes and seconds have two digits under 60.
+    Fields are digits only, of any number; below the leading one they are under 60.
+    Times of 2^64 seconds or more are null.
     """
-    t = F.trim(text)
-    part = lambda pattern, k: F.regexp_extract(t, pattern, k).cast("double")
-    s, ms, hms = r"^(\d+(?:\.\d+)?)$", r"^(\d+):([0-5]\d(?:\.\d+)?)$", r"^(\d+):([0-5]\d):([0-5]\d(?:\.\d+)?)$"
-    return (
-        F.when(t.rlike(s), part(s, 1))
-        .when(t.rlike(ms), part(ms, 1) * 60 + part(ms, 2))
-        .when(t.rlike(hms), part(hms, 1) * 3600 + part(hms, 2) * 60 + part(hms, 3))
-    )
+    whole, last = r"(\d+)", r"(\d+(?:\.\d+)?)"
+    field = lambda pattern, k: F.try_element_at(F.regexp_extract_all(F.trim(text, F.lit(" \t\r\n")), F.lit(pattern), F.lit(k)), F.lit(1)).cast("double")
+    alone = field(f"^{last}$", 1)
+    m, ms = (field(f"^{whole}:{last}$", k) for k in (1, 2))
+    h, hm, hs = (field(f"^{whole}:{whole}:{last}$", k) for k in (1, 2, 3))
+    seconds = F.coalesce(alone, F.when(ms < 60, m * 60 + ms), F.when((hm < 60) & (hs < 60), h * 3600 + hm * 60 + hs))
+    return F.when(seconds < F.lit(float(1 << 64)), seconds)
 
 
 def format_timecode(seconds: Column) -> Column:
@@ -114,12 +114,18 @@ def span_level(hits: Column, span_s: Column, passed: str = "ladder", least_span_
     return level(F.when((hits >= h) & (span_s >= least_span_s), 2).when(hits >= p, 1).otherwise(0))
 
 
-def shortfall(hits: Column, windows: Column, passed: str = "ladder") -> Column:
-    """What a candidate lacks to be confident; null if nothing."""
-    h, w, _ = CONFIDENT[passed]
-    lacks_h = F.when(hits < h, F.concat((h - hits).cast("string"), F.lit(" hits")))
-    lacks_w = F.when(windows < w, F.concat((w - windows).cast("string"), F.lit(" windows")))
-    return F.nullif(F.concat_ws(" and ", lacks_h, lacks_w), F.lit(""))
+def shortfall(hits: Column, windows: Column, passed: Column | str = "ladder") -> Column:
+    """The next level and what a candidate lacks for it under the rule of its pass; empty for a confident one."""
+    passed = F.lit(passed) if isinstance(passed, str) else passed
+
+    def of(name):
+        h, w, p = CONFIDENT[name]
+        more_h = F.when(hits < h, F.concat((h - hits).cast("string"), F.lit(" more hits")))
+        more_w = F.when(windows < w, F.concat((w - windows).cast("string"), F.lit(" more window"), F.when(w - windows == 1, "").otherwise("s")))
+        weak = F.concat(F.lit("possible: "), (p - hits).cast("string"), F.lit(" more hits"))
+        return F.when((hits >= h) & (windows >= w), "").when(hits >= p, F.concat(F.lit("confident: "), F.concat_ws(", ", more_h, more_w))).otherwise(weak)
+
+    return F.when(passed == "fitted", of("fitted")).otherwise(of("ladder"))
 
 
 # -- quantisers --------------------------------------------------------------
@@ -164,13 +170,15 @@ def channel_class(correlation: Column, delay: Column, side_mid_db: Column, silen
         F.when(silent, "one-channel")
         .when(correlation <= -0.8, "inverted")
         .when(delay != 0, "delayed")
-        .when(side_mid_db < -40, "mono")
-        .when(side_mid_db < -20, "narrow")
-        .when(side_mid_db < -10, "wide")
-        .otherwise("very wide")
+        .otherwise(width_class(side_mid_db))
     )
 
 
+def width_class(side_mid_db: Column) -> Column:
+    """How wide a source is by its side over its mid, in dB."""
+    return F.when(side_mid_db <= -40, "mono").when(side_mid_db <= -20, "nearly-mono").when(side_mid_db <= -10, "narrow").otherwise("wide")
+
+
 # -- pair hashes -------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqloom.functions.scalars import format_timecode, level
 from seqloom.operators.intervals import islands, merged, overlap_join, same_passage, same_recording, uncovered
@@ -67,32 +68,38 @@ def entries(plays_: DataFrame) -> DataFrame:
     """Tracklist entries: plays of one track, transitively, with the number of their entry by first start.
 
     Two plays join if they overlap by half of the shorter and are of one recording
-    or have the same track name. A report's plays are tens, and are held together.
+    or have the same track name. Only plays of one island of overlaps can, so an
+    island is what is held together.
     """
+    fields = plays_.select("query_id", "play", "start", "end", "zero", "track")
+    types = {f.name: f.dataType.simpleString() for f in fields.schema.fields}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(pdf.sort_values(["start", "play"], kind="stable").itertuples())
-        group = list(range(len(rows)))
+        group, near = list(range(len(rows))), []
 
         def root(i):
             while group[i] != i:
+                group[i] = group[group[i]]
                 i = group[i]
             return i
 
         for i, a in enumerate(rows):
-            for j in range(i):
+            near = [j for j in near if rows[j].end >= a.start]
+            for j in near:
                 b = rows[j]
                 common = min(a.end, b.end) - max(a.start, b.start)
-                near = abs(a.zero - b.zero) <= 5.0
                 named = a.track is not None and a.track == b.track
-                if common >= 0.5 * min(a.end - a.start, b.end - b.start) and (near or named):
+                if common >= 0.5 * min(a.end - a.start, b.end - b.start) and (abs(a.zero - b.zero) <= 5.0 or named):
                     x, y = sorted((root(i), root(j)))
                     group[y] = x
-        roots = sorted({root(i) for i in range(len(rows))})
-        number = {r: n + 1 for n, r in enumerate(roots)}
-        return pd.DataFrame({"query_id": [r.query_id for r in rows], "play": [r.play for r in rows], "entry": [number[root(i)] for i in range(len(rows))]})
+            near.append(i)
+        first = [rows[root(i)] for i in range(len(rows))]
+        return pd.DataFrame({"query_id": [r.query_id for r in rows], "play": [r.play for r in rows], "first_start": [r.start for r in first], "first_play": [r.play for r in first]})
 
-    return plays_.select("query_id", "play", "start", "end", "zero", "track").groupBy("query_id").applyInPandas(run, "query_id long, play long, entry int")
+    joined = islands(fields, ["query_id"]).groupBy("query_id", "island").applyInPandas(run, f"query_id {types['query_id']}, play {types['play']}, first_start {types['start']}, first_play {types['play']}")
+    number = F.dense_rank().over(Window.partitionBy("query_id").orderBy("first_start", "first_play"))
+    return joined.select("query_id", "play", number.alias("entry"))
 
 
 def gaps(plays_: DataFrame, low: float, high: float, least: float = 45.0) -> DataFrame:
@@ -122,8 +129,9 @@ def entry_starts(df: DataFrame, key: str, share: float = 0.5) -> DataFrame:
                 out.append([r.start, r.end])
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "start": [a for a, _ in out], "end": [b for _, b in out]})
 
+    # what does not overlap never joins, so an island of overlaps is what is held together
     fields = df.select(key, "start", "end")
-    return fields.groupBy(key).applyInPandas(run, fields.schema)
+    return islands(fields, [key]).groupBy(key, "island").applyInPandas(run, fields.schema)
 
 
 def tracklist(entries_: DataFrame, gaps_: DataFrame) -> DataFrame:
@@ -135,8 +143,6 @@ def tracklist(entries_: DataFrame, gaps_: DataFrame) -> DataFrame:
 
 def cue_times(entries_: DataFrame) -> DataFrame:
     """Cue frames (75 a second) of entries ``(query_id, entry, start)``, strictly increasing: a tie moves on by one frame."""
-    from pyspark.sql.window import Window
-
     by = Window.partitionBy("query_id").orderBy("start", "entry")
     frame = F.round(F.col("start") * 75).cast("long")
     n = F.row_number().over(by)

@@ -176,9 +176,10 @@ def index_statistics(spark, sf_dir):
     return index.index_stats(index.hash_stats(doc_pairs(spark, sf_dir)), 1 << 21)
 
 
-@query(f"""WITH {DP} SELECT hash FROM dp WHERE doc_id < 20 INTERSECT SELECT hash FROM dp WHERE doc_id BETWEEN 20 AND 60""")
+@query(f"""WITH {DP} SELECT hash FROM dp JOIN documents USING (doc_id) WHERE lang = 'en' INTERSECT SELECT hash FROM dp JOIN documents USING (doc_id) WHERE lang <> 'en'""")
 def shared_hashes(spark, sf_dir):
-    return index.shared_hashes(doc_pairs(spark, sf_dir), F.col("doc_id") < 20, F.col("doc_id").between(20, 60))
+    p = doc_pairs(spark, sf_dir).join(t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return index.shared_hashes(p, F.col("lang") == "en", F.col("lang") != "en")
 
 
 @query(f"""WITH {DP} SELECT doc_id, count(*) AS postings FROM dp WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY doc_id""")
@@ -186,11 +187,11 @@ def without_assets(spark, sf_dir):
     return index.without_assets(doc_pairs(spark, sf_dir), t(spark, sf_dir, "labels").where("quality = 0"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("postings"))
 
 
-@query("""SELECT doc_id, 'own' AS origin, n_chars FROM documents UNION ALL SELECT item_id, 'items', length(text) FROM benchmark UNION ALL SELECT doc_id, 'copy ' || k, n_chars FROM documents, range(2) r(k) WHERE doc_id < 50""")
+@query("""SELECT doc_id, 'own' AS origin, n_chars FROM documents UNION ALL SELECT item_id, 'items', length(text) FROM benchmark UNION ALL SELECT doc_id, 'copy ' || k, n_chars FROM documents, range(2) r(k)""")
 def padding_union(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", F.lit("own").alias("origin"), "n_chars")
     b = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("items").alias("origin"), F.length("text").cast("long").alias("n_chars"))
-    copies = d.where("doc_id < 50").crossJoin(F.broadcast(spark.range(2))).select("doc_id", F.concat(F.lit("copy "), F.col("id").cast("string")).alias("origin"), "n_chars")
+    copies = d.crossJoin(F.broadcast(spark.range(2))).select("doc_id", F.concat(F.lit("copy "), F.col("id").cast("string")).alias("origin"), "n_chars")
     return compose.union_all([d, b, copies])
 
 
@@ -343,7 +344,9 @@ def densest_runs(spark, sf_dir):
     return best.select("user_id", (-F.col("x.s")).alias("start_s"), F.col("x.run").alias("run"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {IV}, o AS (SELECT *, CAST(length(event_type) AS BIGINT) AS asset_id, CAST(round(value * 100) AS INTEGER) AS hits, row_number() OVER (PARTITION BY user_id, length(event_type) ORDER BY round(value * 100) DESC, event_id) AS n FROM iv),
+    w AS (SELECT user_id, asset_id, n, true AS kept, [{{'a': a, 'b': b}}] AS held FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.asset_id, o.n, len(list_filter(held, lambda x: o.a < x.b AND x.a < o.b)) = 0, CASE WHEN len(list_filter(held, lambda x: o.a < x.b AND x.a < o.b)) = 0 THEN list_append(held, {{'a': o.a, 'b': o.b}}) ELSE held END FROM w JOIN o ON o.user_id = w.user_id AND o.asset_id = w.asset_id AND o.n = w.n + 1)
+    SELECT o.user_id AS query_id, o.asset_id, CAST(a AS DOUBLE) AS start_s, CAST(b AS DOUBLE) AS end_s, 1.0::DOUBLE AS speed, hits, CAST(event_id AS INTEGER) AS ord FROM o JOIN w USING (user_id, asset_id, n) WHERE kept""")
 def nms_strongest(spark, sf_dir):
     """Greedy suppression: of overlapping events of a user and kind the one of greatest value stays."""
     e = events(spark, sf_dir)
@@ -351,7 +354,9 @@ def nms_strongest(spark, sf_dir):
     return named(align.suppress(d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {IV}, o AS (SELECT user_id, a, b, row_number() OVER (PARTITION BY user_id ORDER BY a, b) AS n FROM iv), w AS (SELECT user_id, n, a AS s, b AS e, 1 AS entry FROM o WHERE n = 1
+    UNION ALL SELECT user_id, n, CASE WHEN near THEN s ELSE a END, CASE WHEN near THEN greatest(e, b) ELSE b END, entry + CASE WHEN near THEN 0 ELSE 1 END FROM (SELECT o.*, s, e, entry, least(e, b) - greatest(s, a) >= 0.5 * least(e - s, b - a) AS near FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1))
+    SELECT user_id, min(s) AS start_s, max(e) AS end_s FROM w GROUP BY user_id, entry""")
 def entry_starts(spark, sf_dir):
     return named(plays.entry_starts(events(spark, sf_dir), "user_id"))
 
@@ -379,9 +384,11 @@ def same_audio_merge(spark, sf_dir):
     return same.select("query_id", "asset_id", (F.size("also") + 1).cast("long").alias("assets"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PLAYS}, p AS (SELECT query_id, asset_id * 100000 + CAST(play_no AS BIGINT) AS play, min(a) AS a, max(b) AS b, arg_max(a, (hits, -a)) AS zero FROM i GROUP BY query_id, asset_id, play_no), q AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a, play) AS n FROM p),
+    l AS (SELECT x.query_id, x.n AS x, y.n AS y FROM q x JOIN q y ON x.query_id = y.query_id AND x.n <> y.n AND least(x.b, y.b) - greatest(x.a, y.a) >= 0.5 * least(x.b - x.a, y.b - y.a) AND abs(x.zero - y.zero) <= 5), c AS (SELECT query_id, n, n AS first FROM q UNION SELECT l.query_id, l.y, c.first FROM c JOIN l ON l.query_id = c.query_id AND l.x = c.n WHERE c.first < l.y),
+    f AS (SELECT query_id, n, min(first) AS first FROM c GROUP BY ALL) SELECT query_id, play, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS INTEGER) AS entry FROM f JOIN q USING (query_id, n)""")
 def tracklist_entries(spark, sf_dir):
-    p = event_plays(spark, sf_dir).withColumn("play", F.xxhash64("asset_id", "play_no")).withColumn("track", F.lit(None).cast("string"))
+    p = event_plays(spark, sf_dir).withColumn("play", F.col("asset_id") * 100_000 + F.col("play_no")).withColumn("track", F.lit(None).cast("string"))
     return plays.entries(p)
 
 
@@ -429,7 +436,9 @@ def library_map_sizes(spark, sf_dir):
     return x.join(y, ["seconds", "digest", "size", "n"]).agg(F.count("*").alias("matched"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_type AS t, p_size AS d, p_brand AS z, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS path, p_partkey % 2 AS side FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY side, t, d, z ORDER BY path) AS n FROM p),
+    m AS (SELECT x.path AS a_path, y.path AS b_path FROM r x JOIN r y ON x.t = y.t AND x.d = y.d AND x.z = y.z AND x.n = y.n AND x.side = 0 AND y.side = 1), l AS (SELECT *, row_number() OVER (PARTITION BY side, t, d ORDER BY path) AS n FROM p WHERE path NOT IN (SELECT a_path FROM m) AND path NOT IN (SELECT b_path FROM m))
+    SELECT a_path, b_path FROM m UNION ALL SELECT x.path, y.path FROM l x JOIN l y ON x.t = y.t AND x.d = y.d AND x.n = y.n AND x.side = 0 AND y.side = 1""")
 def library_map(spark, sf_dir):
     p = t(spark, sf_dir, "part").select(F.col("p_type").alias("seconds"), F.col("p_size").alias("digest"), F.col("p_brand").alias("size"), F.format_string("%010d", "p_partkey").alias("path"), "p_partkey")
     return library.library_map(p.where("p_partkey % 2 = 0").drop("p_partkey"), p.where("p_partkey % 2 = 1").drop("p_partkey"))
@@ -464,7 +473,9 @@ def self_repeats(spark, sf_dir):
     return repeats.repeat_hits(doc_pairs(spark, sf_dir).withColumnRenamed("pos", "at"), ["doc_id"], 16, 40, 64, 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE rh AS (WITH {DP}, f AS (SELECT doc_id, hash FROM dp GROUP BY ALL HAVING count(*) BETWEEN 2 AND 40), x AS (SELECT dp.doc_id, dp.hash, pos FROM dp JOIN f ON dp.doc_id = f.doc_id AND dp.hash = f.hash)
+    SELECT p.doc_id, p.pos // 64 AS cell, (q.pos - p.pos) // 2 * 2 AS lag, count(*) AS hits FROM x p JOIN x q ON p.doc_id = q.doc_id AND p.hash = q.hash AND q.pos - p.pos >= 16 GROUP BY ALL), g AS (SELECT doc_id, cell AS x, CAST(floor((cell * 64 + 32 + lag) / 64) AS BIGINT) AS y FROM rh WHERE hits >= 10), l AS (SELECT doc_id, x, y FROM g WHERE x <> y UNION SELECT doc_id, y, x FROM g WHERE x <> y),
+    c AS (SELECT doc_id, x AS cell, x AS least FROM l UNION SELECT l.doc_id, l.y, c.least FROM c JOIN l ON l.doc_id = c.doc_id AND l.x = c.cell WHERE c.least < l.y) SELECT doc_id, cell, doc_id || '/' || lpad(CAST(min(least) AS VARCHAR), 12, '0') AS "group" FROM c GROUP BY doc_id, cell""")
 def repeat_groups(spark, sf_dir):
     hits = self_repeats(spark, sf_dir)
     return repeats.repeat_groups(hits, ["doc_id"], 10, 64)
@@ -498,29 +509,34 @@ def duplicate_clusters(spark, sf_dir):
 # -- graph -----------------------------------------------------------------------
 
 
+#: Priorities of the orders whose links make each tier: all orders together.
+PRIORITIES = (["1-URGENT"], ["2-HIGH"], ["3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
+
+
 def order_links(spark, sf_dir):
+    """Customers and pairs of neighbouring orders."""
     c = t(spark, sf_dir, "orders")
-    link = lambda k, m: c.where(f"o_custkey % {m} = 0 and o_orderkey % 7 = {k}").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1000).alias("b"))
-    return link(0, 3), link(1, 4), link(2, 5)
+    link = lambda *status: c.where(F.col("o_orderpriority").isin(*status)).select(F.col("o_custkey").alias("a"), (-F.expr("o_orderkey div 2")).alias("b"))
+    return tuple(link(*p) for p in PRIORITIES)
 
 
-def LINKS(k, m):  # noqa: N802
-    return f"SELECT o_custkey AS a, o_orderkey % 1000 AS b FROM orders WHERE o_custkey % {m} = 0 AND o_orderkey % 7 = {k}"
+def LINKS(k):  # noqa: N802
+    return f"SELECT o_custkey AS a, -(o_orderkey // 2) AS b FROM orders WHERE o_orderpriority IN ({', '.join(repr(p) for p in PRIORITIES[k])})"
 
 
 def _tier(n, links):
     return f"""l{n} AS (SELECT a, b FROM ({links}) UNION SELECT b, a FROM ({links})), c{n} AS (SELECT a AS node, least(a, b) AS family FROM l{n} WHERE a <> b UNION SELECT l.b, c.family FROM c{n} c JOIN l{n} l ON l.a = c.node WHERE c.family < l.b)"""
 
 
-@query(f"""WITH RECURSIVE {_tier(1, LINKS(0, 3))}, {_tier(2, LINKS(0, 3) + ' UNION ALL ' + LINKS(1, 4))}, {_tier(3, LINKS(0, 3) + ' UNION ALL ' + LINKS(1, 4) + ' UNION ALL ' + LINKS(2, 5))}
+@query(f"""WITH RECURSIVE {_tier(1, LINKS(0))}, {_tier(2, LINKS(0) + ' UNION ALL ' + LINKS(1))}, {_tier(3, LINKS(0) + ' UNION ALL ' + LINKS(1) + ' UNION ALL ' + LINKS(2))}
     SELECT 'recording' AS tier, node, min(family) AS family FROM c1 GROUP BY node UNION ALL SELECT 'title', node, min(family) FROM c2 GROUP BY node UNION ALL SELECT 'relation', node, min(family) FROM c3 GROUP BY node""")
 def families(spark, sf_dir):
     return graph.families(*order_links(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE l AS (SELECT a, b FROM ({LINKS(0, 3)}) UNION SELECT b, a FROM ({LINKS(0, 3)})), f AS (SELECT 3 AS node, 0 AS round UNION SELECT l.b, round + 1 FROM f JOIN l ON l.a = f.node WHERE round < 40) SELECT CAST(node AS BIGINT) AS node, min(round) AS round FROM f GROUP BY node""")
+@query(f"""WITH RECURSIVE l AS (SELECT a, b FROM ({LINKS(0)}) UNION SELECT b, a FROM ({LINKS(0)})), f AS (SELECT c_custkey AS node, 0 AS round FROM customer WHERE c_nationkey = 3 UNION SELECT l.b, round + 1 FROM f JOIN l ON l.a = f.node WHERE round < 40) SELECT CAST(node AS BIGINT) AS node, min(round) AS round FROM f GROUP BY node""")
 def frontier_clusters(spark, sf_dir):
-    seeds = spark.createDataFrame([(3,)], "node long")
+    seeds = t(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("node"))
     return graph.frontier(seeds, order_links(spark, sf_dir)[0], 40)
 
 
@@ -629,7 +645,7 @@ def top_false(spark, sf_dir):
 
 @query(f"""WITH {IV}, tr AS (SELECT user_id % 20 AS set_id, (a - {LOW}) // 60 AS a, (b - {LOW}) // 60 AS b, event_type AS track, value < 60 AS indexed FROM iv WHERE event_type IN ('click', 'view', 'error')),
     lb AS (SELECT user_id % 20 AS set_id, (a - {LOW}) // 60 AS a, (b - {LOW}) // 60 AS b, CASE WHEN event_type = 'signup' THEN 'click' ELSE 'view' END AS track, CASE WHEN value >= 50 THEN 2 ELSE 1 END AS rank FROM iv WHERE event_type IN ('signup', 'purchase')),
-    s AS (SELECT i.set_id, r.s FROM range(20) i(set_id), range(0, 43200, 97) r(s)), p AS (SELECT s.set_id, s.s, max(CAST(indexed AS INTEGER)) AS ix FROM s JOIN tr ON tr.set_id = s.set_id AND s.s * 2 + 1 >= a * 2 AND s.s * 2 + 1 < b * 2 GROUP BY ALL),
+    s AS (SELECT i.set_id, r.s FROM range(20) i(set_id), range(0, 43200) r(s)), p AS (SELECT s.set_id, s.s, max(CAST(indexed AS INTEGER)) AS ix FROM s JOIN tr ON tr.set_id = s.set_id AND s.s * 2 + 1 >= a * 2 AND s.s * 2 + 1 < b * 2 GROUP BY ALL),
     l AS (SELECT s.set_id, s.s, lb.track, rank, EXISTS (SELECT 1 FROM tr WHERE tr.set_id = s.set_id AND tr.track = lb.track AND s.s * 2 + 1 >= tr.a * 2 AND s.s * 2 + 1 < tr.b * 2) AS ok FROM s JOIN lb ON lb.set_id = s.set_id AND s.s * 2 + 1 >= lb.a * 2 AND s.s * 2 + 1 <= lb.b * 2),
     g AS (SELECT set_id, s, bool_or(NOT ok AND rank = 2) AS wrong, max(rank) FILTER (WHERE ok) AS rank FROM l GROUP BY ALL)
     SELECT s.set_id, CASE WHEN coalesce(wrong, false) AND coalesce(ix, 0) = 1 THEN 'mislabelled' WHEN coalesce(wrong, false) THEN 'mislabelled_unindexed' WHEN coalesce(ix, 0) = 0 THEN 'silent' WHEN rank = 2 THEN 'correct' WHEN rank = 1 THEN 'possible' ELSE 'unlabelled' END AS class, count(*) AS seconds
@@ -640,7 +656,7 @@ def seconds_score(spark, sf_dir):
     base = e.select((F.col("user_id") % 20).alias("set_id"), minute("start").alias("start"), minute("end").alias("end"), "event_type", "value")
     truth = base.where("event_type in ('click', 'view', 'error')").select("set_id", "start", "end", F.col("event_type").alias("track"), (F.col("value") < 60).alias("indexed"))
     labels = base.where("event_type in ('signup', 'purchase')").select("set_id", "start", "end", F.when(F.col("event_type") == "signup", "click").otherwise("view").alias("track"), F.when(F.col("value") >= 50, 2).otherwise(1).alias("rank"))
-    seconds = spark.range(20).select(F.col("id").alias("set_id")).crossJoin(spark.range(0, 43200, 97).select(F.col("id").alias("s")))
+    seconds = spark.range(20).select(F.col("id").alias("set_id")).crossJoin(spark.range(0, 43200).select(F.col("id").alias("s")))
     return scoring.seconds_classes(seconds, truth, labels).groupBy("set_id", "class").agg(F.count("*").alias("seconds"))
 
 
@@ -652,7 +668,11 @@ def regress_diff(spark, sf_dir):
     return scoring.sweep_diff(o.where("o_orderkey % 10 <> 3"), new, "o_orderkey", "o_custkey", ["o_orderstatus"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {IV}, e AS (SELECT user_id AS set_id, CAST(length(event_type) AS BIGINT) AS asset_id, event_id AS no, a, b FROM iv), old AS (SELECT *, row_number() OVER (PARTITION BY set_id, asset_id ORDER BY a, no) AS n FROM e WHERE no % 2 = 0),
+    new AS (SELECT set_id, asset_id, list({{'no': no, 'a': a, 'b': b}} ORDER BY no) AS free FROM e WHERE no % 2 = 1 GROUP BY ALL), s AS (SELECT old.*, coalesce(free, []) AS free FROM old LEFT JOIN new ON new.set_id = old.set_id AND new.asset_id = old.asset_id),
+    w AS (SELECT set_id, asset_id, n, no, list_min(list_transform(list_filter(free, lambda x: least(x.b, b) > greatest(x.a, a)), lambda x: {{'c': greatest(x.a, a) - least(x.b, b), 'no': x.no}})).no AS met, free FROM s WHERE n = 1
+    UNION ALL SELECT o.set_id, o.asset_id, o.n, o.no, list_min(list_transform(list_filter(w.free, lambda x: x.no IS DISTINCT FROM w.met AND least(x.b, o.b) > greatest(x.a, o.a)), lambda x: {{'c': greatest(x.a, o.a) - least(x.b, o.b), 'no': x.no}})).no, list_filter(w.free, lambda x: x.no IS DISTINCT FROM w.met) FROM w JOIN old o ON o.set_id = w.set_id AND o.asset_id = w.asset_id AND o.n = w.n + 1)
+    SELECT set_id, asset_id, no AS old_no, met AS new_no FROM w UNION ALL SELECT set_id, asset_id, NULL, no FROM e WHERE no % 2 = 1 AND no NOT IN (SELECT met FROM w WHERE met IS NOT NULL)""")
 def scan_diff(spark, sf_dir):
     e = events(spark, sf_dir).select(F.col("user_id").alias("set_id"), F.length("event_type").cast("long").alias("asset_id"), F.col("event_id").alias("no"), "start", "end")
     return scoring.scan_diff(e.where("no % 2 = 0"), e.where("no % 2 = 1"))
@@ -704,9 +724,9 @@ def theil_sen_slope(spark, sf_dir):
     return s.withColumn("slope", F.round("slope", 12))
 
 
-@query("""WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 200), l AS (SELECT a.vec_id, g.lag, corr(a.v, b.v) AS c FROM c a, range(-8, 9) g(lag), c b WHERE b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0 AND b.i = a.i + g.lag GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, lag) AS k FROM l) SELECT vec_id, CAST(lag AS INTEGER) AS lag, round(c, 6) AS corr FROM r WHERE k = 1""")
+@query("""WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), l AS (SELECT a.vec_id, g.lag, corr(a.v, b.v) AS c FROM c a, range(-8, 9) g(lag), c b WHERE b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0 AND b.i = a.i + g.lag GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, lag) AS k FROM l) SELECT vec_id, CAST(lag AS INTEGER) AS lag, round(c, 6) AS corr FROM r WHERE k = 1""")
 def best_lag(spark, sf_dir):
-    cells = t(spark, sf_dir, "embeddings").where("vec_id < 200").select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    cells = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
     a = cells.where("vec_id % 2 = 0")
     b = cells.where("vec_id % 2 = 1").withColumn("vec_id", F.col("vec_id") - 1)
     return fits.best_lag(a, b, ["vec_id"], 8).withColumn("corr", F.round("corr", 6))
@@ -728,17 +748,19 @@ def title_normalize(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", sc.normalise(F.col("url")).alias("name"))
 
 
-@query("""WITH e AS (SELECT event_id, CAST(floor(value * 40) AS BIGINT) AS s FROM events) SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' ELSE (s // 60) || ':' END || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS code, CAST(s AS DOUBLE) AS seconds FROM e""")
+@query("""WITH e AS (SELECT event_id, CAST(floor(value * 40) AS BIGINT) AS s FROM events) SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' ELSE (s // 60) || ':' END || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS code, CAST(s AS DOUBLE) AS seconds, CASE WHEN s % 97 < 60 THEN CAST(s % 89 * 60 + s % 97 AS DOUBLE) END AS short FROM e""")
 def timecodes(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select("event_id", sc.format_timecode(F.col("value") * 40).alias("code"))
-    return e.select("event_id", "code", sc.parse_timecode(F.col("code")).alias("seconds"))
+    e = t(spark, sf_dir, "events").select("event_id", "value", sc.format_timecode(F.col("value") * 40).alias("code"))
+    s = F.floor(F.col("value") * 40).cast("long")
+    short = F.concat((s % 89).cast("string"), F.lit(":"), (s % 97).cast("string"))  # fields of one digit, and seconds of 60 or more
+    return e.select("event_id", "code", sc.parse_timecode(F.col("code")).alias("seconds"), sc.parse_timecode(short).alias("short"))
 
 
-@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey % 400 AS hits, l_linenumber AS windows, l_returnflag = 'R' AS fit FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN hits >= CASE WHEN fit THEN 240 ELSE 200 END AND windows >= 3 THEN 'confident' WHEN hits >= 60 THEN 'possible' ELSE 'weak' END AS level,
-    nullif(concat_ws(' and ', CASE WHEN hits < 200 THEN (200 - hits) || ' hits' END, CASE WHEN windows < 3 THEN (3 - windows) || ' windows' END), '') AS lacks FROM d""")
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey % 400 AS hits, l_linenumber AS windows, CASE WHEN l_returnflag = 'R' THEN 240 ELSE 200 END AS least FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN hits >= least AND windows >= 3 THEN 'confident' WHEN hits >= 60 THEN 'possible' ELSE 'weak' END AS level,
+    CASE WHEN hits >= least AND windows >= 3 THEN '' WHEN hits >= 60 THEN 'confident: ' || concat_ws(', ', CASE WHEN hits < least THEN (least - hits) || ' more hits' END, CASE WHEN windows = 2 THEN '1 more window' WHEN windows < 3 THEN (3 - windows) || ' more windows' END) ELSE 'possible: ' || (60 - hits) || ' more hits' END AS lacks FROM d""")
 def confidence_levels(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 400).alias("hits"), F.col("l_linenumber").alias("windows"), F.when(F.col("l_returnflag") == "R", "fitted").otherwise("ladder").alias("pass"))
-    return li.select("l_orderkey", "l_linenumber", sc.level(sc.level_rank(F.col("hits"), F.col("windows"), F.col("pass"))).alias("level"), sc.shortfall(F.col("hits"), F.col("windows")).alias("lacks"))
+    return li.select("l_orderkey", "l_linenumber", sc.level(sc.level_rank(F.col("hits"), F.col("windows"), F.col("pass"))).alias("level"), sc.shortfall(F.col("hits"), F.col("windows"), F.col("pass")).alias("lacks"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_retailprice AS hz FROM part), b AS (SELECT *, CASE WHEN hz < 125 THEN 0 WHEN hz < 250 THEN 1 WHEN hz < 500 THEN 2 WHEN hz < 1000 THEN 3 WHEN hz < 2000 THEN 4 WHEN hz < 4000 THEN 5 ELSE 6 END AS band FROM p) SELECT band, count(*) AS peaks, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM b GROUP BY band""")
@@ -759,27 +781,28 @@ def track_names(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", sc.track_name(artist, F.when(n % 4 == 0, "").otherwise("Title"), F.col("url")).alias("name"))
 
 
-@query(r"""WITH f AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages) SELECT page_id, CAST(CASE WHEN regexp_matches(path, '^(?:.*/)?fr(?:/.*)?$') THEN 1 WHEN regexp_matches(path, '^[^/]*/en/[^/]*1[^/]*(?:/.*)?$') THEN 3 WHEN regexp_matches(path, '^(?:.*/)?[^/]*[.]example[.]com/.*$') AND page_id % 2 = 0 THEN NULL ELSE NULL END AS INTEGER) AS line FROM f""")
+@query(r"""WITH f AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages), d AS (SELECT page_id, list_position(string_split(path, '/'), 'fr') AS fr, regexp_matches(path, '^[^/]*/en/[^/]*1[^/]*(/|$)') AS en FROM f)
+    SELECT page_id, CAST(CASE WHEN fr > 0 AND (NOT en OR fr <= 3) THEN 1 WHEN en THEN 3 END AS INTEGER) AS line FROM d""")
 def ignore_patterns(spark, sf_dir):
     path = F.regexp_replace("url", "^https?://", "")
     return t(spark, sf_dir, "pages").select("page_id", library.ignored_by(path, ["fr", "# a comment", "*/en/*1*"]).alias("line"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 'one-channel' WHEN s_acctbal < -800 THEN 'inverted' WHEN s_nationkey % 4 = 1 THEN 'delayed' WHEN s_nationkey * -2.0 < -40 THEN 'mono' WHEN s_nationkey * -2.0 < -20 THEN 'narrow' WHEN s_nationkey * -2.0 < -10 THEN 'wide' ELSE 'very wide' END AS class FROM supplier""")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 'one-channel' WHEN s_acctbal < -800 THEN 'inverted' WHEN s_nationkey % 4 = 1 THEN 'delayed' WHEN s_nationkey * -2.0 <= -40 THEN 'mono' WHEN s_nationkey * -2.0 <= -20 THEN 'nearly-mono' WHEN s_nationkey * -2.0 <= -10 THEN 'narrow' ELSE 'wide' END AS class FROM supplier""")
 def channel_classes(spark, sf_dir):
     c = sc.channel_class(F.col("s_acctbal") / 1000, F.when(F.col("s_nationkey") % 4 == 1, 3).otherwise(0), F.col("s_nationkey") * -2.0, F.col("s_suppkey") % 10 == 0)
     return t(spark, sf_dir, "supplier").select("s_suppkey", c.alias("class"))
 
 
-@query("""WITH l AS (SELECT i AS rung_no, CASE WHEN i < 41 THEN 'turntable' ELSE 'key-locked' END AS playback, round(0.92 + 0.004 * (i % 41), 6) AS speed FROM range(82) r(i)) SELECT p_partkey, CAST(rung_no AS INTEGER) AS rung_no, CAST(round(p_partkey * 64 * speed) AS BIGINT) AS frame64, CAST(round(p_size * 64 / CASE WHEN playback = 'turntable' THEN speed ELSE 1.0 END) AS INTEGER) AS bin64 FROM part, l WHERE p_partkey < 300""")
+@query("""WITH l AS (SELECT i AS rung_no, CASE WHEN i < 41 THEN 'turntable' ELSE 'key-locked' END AS playback, round(0.92 + 0.004 * (i % 41), 6) AS speed FROM range(82) r(i)) SELECT p_partkey, CAST(rung_no AS INTEGER) AS rung_no, CAST(round(p_partkey * 64 * speed) AS BIGINT) AS frame64, CAST(round(p_size * 64 / CASE WHEN playback = 'turntable' THEN speed ELSE 1.0 END) AS INTEGER) AS bin64 FROM part, l""")
 def ladder_rescale(spark, sf_dir):
-    p = t(spark, sf_dir, "part").where("p_partkey < 300").select("p_partkey", (F.col("p_partkey") * 64).alias("frame64"), (F.col("p_size") * 64).alias("bin64"))
+    p = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 64).alias("frame64"), (F.col("p_size") * 64).alias("bin64"))
     return index.rescaled(p, index.speed_ladder(spark)).select("p_partkey", "rung_no", "frame64", "bin64")
 
 
-@query("""SELECT concat_ws(',', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), printf('%.2f', l_extendedprice), '"' || l_returnflag || ',' || l_linestatus || '"') AS line FROM lineitem WHERE l_linenumber = 1""")
+@query("""SELECT concat_ws(',', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), printf('%.2f', l_extendedprice), '"' || l_returnflag || ',' || l_linestatus || '"') AS line FROM lineitem""")
 def csv_sink(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_extendedprice", F.concat_ws(",", "l_returnflag", "l_linestatus").alias("flags"))
+    li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.concat_ws(",", "l_returnflag", "l_linestatus").alias("flags"))
     return sinks.csv_lines(li, {"l_extendedprice": 2})
 
 
@@ -805,22 +828,22 @@ def embedding_points(spark, sf_dir):
     return cells.where(F.col("v").cast("double") >= 0.2).select("asset_id", (F.col("f") * 100 + F.col("b") + 1).alias("seq"), (F.col("f") * 64).alias("frame64"), ((F.col("b") + 1) * 64).alias("bin64"))
 
 
-@query(f"""WITH {CELLS}, d AS (SELECT v.vec_id AS det, v.vec_id // 500 AS asset, v.vec_id % 7 - 3 AS o FROM embeddings v WHERE v.vec_id % 40 = 0), e AS (SELECT det, seq, frame64 - o * 64 AS pt, bin64, asset FROM d JOIN pk USING (asset) WHERE frame64 - o * 64 BETWEEN (det - 10) * 64 AND (det + 10) * 64),
+@query(f"""WITH {CELLS}, d AS (SELECT v.vec_id AS det, v.vec_id // 500 AS asset, v.vec_id % 7 - 3 AS o FROM embeddings v), e AS (SELECT det, seq, frame64 - o * 64 AS pt, bin64, asset FROM d JOIN pk USING (asset) WHERE frame64 - o * 64 BETWEEN (det - 10) * 64 AND (det + 10) * 64),
     s AS (SELECT * FROM (VALUES (0), (-388 * 64), (-312 * 64), (312 * 64), (388 * 64)) x(shift)), h AS (SELECT DISTINCT det, shift, e.seq, floor(pt / 3968) AS sec FROM e, s WHERE EXISTS (SELECT 1 FROM pk q WHERE q.asset = e.asset AND abs(q.frame64 - (pt + shift)) <= 64 AND abs(q.bin64 - e.bin64) <= 64)),
     n AS (SELECT det, count(*) FILTER (WHERE shift = 0) AS found, count(DISTINCT sec) FILTER (WHERE shift = 0) AS support, count(*) FILTER (WHERE shift <> 0) AS ch FROM h GROUP BY det), z AS (SELECT det, count(*) AS reference FROM e GROUP BY det)
     SELECT z.det, reference, coalesce(found, 0) AS found, coalesce(found, 0) / reference AS share, coalesce(support, 0) AS support, coalesce(ch, 0) / reference / 4 AS chance FROM z LEFT JOIN n ON n.det = z.det""")
 def peak_verifier(spark, sf_dir):
     p = embedding_points(spark, sf_dir)
-    v = t(spark, sf_dir, "embeddings").where("vec_id % 40 = 0")
+    v = t(spark, sf_dir, "embeddings")
     d = v.select(F.col("vec_id").alias("det"), F.expr("vec_id div 500").alias("asset_id"), F.expr("vec_id div 500").alias("query_id"), (F.col("vec_id") - 10).alias("start"), (F.col("vec_id") + 10).alias("end"), F.lit(1.0).alias("speed"), (F.col("vec_id") % 7 - 3).alias("offset"))
     return verify.found_share(verify.expected_peaks(d, p), p.withColumnRenamed("asset_id", "query_id"))
 
 
-@query(f"""WITH {CELLS}, d AS (SELECT v.vec_id AS det, v.vec_id // 500 AS asset, v.vec_id % 7 - 3 AS o FROM embeddings v WHERE v.vec_id % 40 = 0), e AS (SELECT frame64 - o * 64 AS pt, bin64, asset FROM d JOIN pk USING (asset) WHERE frame64 - o * 64 BETWEEN (det - 10) * 64 AND (det + 10) * 64)
+@query(f"""WITH {CELLS}, d AS (SELECT v.vec_id AS det, v.vec_id // 500 AS asset, v.vec_id % 7 - 3 AS o FROM embeddings v WHERE label = 3), e AS (SELECT frame64 - o * 64 AS pt, bin64, asset FROM d JOIN pk USING (asset) WHERE frame64 - o * 64 BETWEEN (det - 10) * 64 AND (det + 10) * 64)
     SELECT asset, count(*) AS peaks FROM pk q WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.asset = q.asset AND abs(q.frame64 - pt) <= 64 AND abs(q.bin64 - e.bin64) <= 64) GROUP BY asset""")
 def residual_points(spark, sf_dir):
     p = embedding_points(spark, sf_dir)
-    v = t(spark, sf_dir, "embeddings").where("vec_id % 40 = 0")
+    v = t(spark, sf_dir, "embeddings").where("label = 3")
     d = v.select(F.col("vec_id").alias("det"), F.expr("vec_id div 500").alias("asset_id"), F.expr("vec_id div 500").alias("query_id"), (F.col("vec_id") - 10).alias("start"), (F.col("vec_id") + 10).alias("end"), F.lit(1.0).alias("speed"), (F.col("vec_id") % 7 - 3).alias("offset"))
     left = verify.residual_peaks(p.withColumnRenamed("asset_id", "query_id"), verify.expected_peaks(d, p))
     return left.groupBy(F.col("query_id").alias("asset")).agg(F.count("*").alias("peaks"))
@@ -889,12 +912,12 @@ def rescore(spark, sf_dir):
     return harness.rescored(d, sc.level_rank(F.col("hits"), F.lit(3), "fitted")).groupBy("new_rank", "changed").agg(F.count("*").alias("detections"))
 
 
-@query(f"""WITH {IV}, {GAPS.replace('least(a,', 'least(iv.a,')}, tr AS (SELECT user_id, a AS t0, b AS t1, value < 60 AS ix FROM iv WHERE user_id % 3 = 0), g2 AS (SELECT * FROM gaps WHERE user_id % 3 = 1), x AS (SELECT g2.user_id, g2.a, g2.b, ix, coalesce(greatest(0, least(g2.b, t1) - greatest(g2.a, t0)), 0) AS c FROM g2 LEFT JOIN tr ON tr.user_id + 1 = g2.user_id)
+@query(f"""WITH {IV}, {GAPS.replace('least(a,', 'least(iv.a,')}, tr AS (SELECT user_id, a AS t0, b AS t1, value < 60 AS ix FROM iv), x AS (SELECT gaps.user_id, gaps.a, gaps.b, ix, coalesce(greatest(0, least(gaps.b, t1) - greatest(gaps.a, t0)), 0) AS c FROM gaps LEFT JOIN tr ON tr.user_id + 1 = gaps.user_id)
     SELECT user_id, a AS start_s, b AS end_s, CAST(sum(CASE WHEN ix THEN c ELSE 0 END) AS BIGINT) AS missed, CAST(sum(CASE WHEN NOT ix THEN c ELSE 0 END) AS BIGINT) AS unindexed, count(*) FILTER (WHERE c > 0) AS tracks FROM x GROUP BY ALL""")
 def gaps_against_truth(spark, sf_dir):
     e = events(spark, sf_dir)
-    gaps = intervals.uncovered(e, ["user_id"], LOW, HIGH, 7200).where("user_id % 3 = 1")
-    truth = e.where("user_id % 3 = 0").select((F.col("user_id") + 1).alias("user_id"), F.col("start").alias("t0"), F.col("end").alias("t1"), (F.col("value") < 60).alias("indexed"))
+    gaps = intervals.uncovered(e, ["user_id"], LOW, HIGH, 7200)
+    truth = e.select((F.col("user_id") + 1).alias("user_id"), F.col("start").alias("t0"), F.col("end").alias("t1"), (F.col("value") < 60).alias("indexed"))
     return named(harness.gaps_against_truth(gaps, truth, ["user_id"]))
 
 
@@ -914,9 +937,9 @@ def multi_recording_files(spark, sf_dir):
     return verify.edge_parts(d)
 
 
-@query("""WITH d AS (SELECT l_suppkey AS q, l_partkey % 20 AS f, l_linenumber % 2 AS r, CAST(l_orderkey % 1000 AS BIGINT) AS a, CAST(l_orderkey % 1000 + l_quantity AS BIGINT) AS b, CAST(l_extendedprice AS BIGINT) AS hits FROM lineitem WHERE l_orderkey % 3 = 0)
+@query("""WITH d AS (SELECT l_suppkey AS q, l_partkey % 20 AS f, l_linenumber % 2 AS r, CAST(l_orderkey % 1000 AS BIGINT) AS a, CAST(l_orderkey % 1000 + l_quantity AS BIGINT) AS b, CAST(l_extendedprice AS BIGINT) AS hits FROM lineitem)
     SELECT count(*) AS kept FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.q = d.q AND o.f = d.f AND o.r <> d.r AND d.a < o.b AND o.a < d.b AND (o.hits > d.hits OR (o.hits = d.hits AND o.r < d.r)))""")
 def second_records(spark, sf_dir):
     start = F.col("l_orderkey") % 1000
-    d = t(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 20).alias("file"), (F.col("l_linenumber") % 2).alias("record"), start.alias("start"), (start + F.col("l_quantity")).cast("long").alias("end"), F.round("l_extendedprice").cast("long").alias("hits"))
+    d = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 20).alias("file"), (F.col("l_linenumber") % 2).alias("record"), start.alias("start"), (start + F.col("l_quantity")).cast("long").alias("end"), F.round("l_extendedprice").cast("long").alias("hits"))
     return verify.stronger_record(d).agg(F.count("*").alias("kept"))

@@ -22,33 +22,42 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def pattern_regex(line: str) -> str | None:
-    """An anchored expression for one ignore pattern, or None for blank lines and comments.
+    """An expression for one ignore pattern whose first group is the least part of a path, in whole names, that it matches; None for blank lines and comments.
 
-    ``*`` stays in a folder, ``**`` crosses them, ``?`` is one character; a
-    pattern with a slash is bound to the root, another matches at any depth; a
-    trailing slash or a folder covers what is below. Brackets are literal.
+    ``*`` is any run of characters of a name, and so is ``**`` within one; a whole
+    name ``**`` stands for any number of names, at the end for one at least. ``?``
+    is one character. A pattern with a slash is bound to the root, another matches
+    a name at any depth; one that ends in a slash matches folders only. Brackets
+    are literal.
     """
     line = line.strip()
     if not line or line.startswith("#"):
         return None
+    names = line.strip("/").split("/")
     bound = "/" in line.rstrip("/")
-    body = line.strip("/")
-    out, i = "", 0
-    while i < len(body):
-        if body.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif body.startswith("**", i):
-            out, i = out + ".*", i + 2
+    out = "" if bound else "(?:[^/]+/)*?"
+    for i, name in enumerate(names):
+        last = i + 1 == len(names)
+        if name == "**" and bound:
+            out += "[^/]+" if last else "(?:[^/]+/)*?"
         else:
-            out += {"*": "[^/]*", "?": "[^/]"}.get(body[i], re.escape(body[i]))
-            i += 1
-    return "^" + ("" if bound else "(?:.*/)?") + out + ("/.*" if line.endswith("/") else "(?:/.*)?") + "$"
+            out += "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in name) + ("" if last else "/")
+    return f"^({out})" + ("/" if line.endswith("/") else "(?:/|$)")
 
 
 def ignored_by(path: Column, lines: list[str]) -> Column:
-    """Number (from 1) of the first ignore line that matches; null if none does."""
-    found = [F.when(path.rlike(r), F.lit(n + 1)) for n, line in enumerate(lines) if (r := pattern_regex(line))]
-    return F.coalesce(*found, F.lit(None).cast("int")) if found else F.lit(None).cast("int")
+    """Number (from 1) of the ignore line that leaves out a file; null if none does.
+
+    That is the first one that matches the outermost folder which any matches, or
+    else the first that matches the file.
+    """
+    found = []
+    for n, line in enumerate(lines):
+        if r := pattern_regex(line):
+            part = F.regexp_extract(path, r, 1)
+            depth = F.length(part) - F.length(F.replace(part, F.lit("/"), F.lit("")))
+            found.append(F.when(part != "", F.struct(depth.alias("depth"), F.lit(n + 1).alias("line"))))
+    return F.array_min(F.array_compact(F.array(*found)))["line"] if found else F.lit(None).cast("int")
 
 
 def scan(files: DataFrame, ignore: list[str] = (), extensions: list[str] = EXTENSIONS) -> DataFrame:

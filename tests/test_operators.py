@@ -286,9 +286,10 @@ def test_harmonic_percussive():
 
 
 def test_timecodes(spark):
-    rows = [("59", 59.0), ("1:05", 65.0), ("61:05", 3665.0), ("1:01:05.5", 3665.5), ("1:5", None), ("1:60", None), ("-3", None), ("", None), (None, None), (" 2:00 ", 120.0)]
-    df = spark.createDataFrame(rows, "t string, s double").select("s", sc.parse_timecode(F.col("t")).alias("got"))
-    assert all(r.s == r.got for r in df.collect())
+    rows = [("59", 59.0), ("1:05", 65.0), ("61:05", 3665.0), ("1:01:05.5", 3665.5), ("1:5", 65.0), ("1:2:3", 3723.0), ("0:00", 0.0), ("49:54", 2994.0), ("95.5", 95.5), ("1:05.5", 65.5), (" 2:00 ", 120.0)]
+    rows += [(x, None) for x in ("", None, "1:60", "1:75:00", "a:00", "1:-5", "-3", "1::2", "1:2:3:4", "1:+5", "inf", "1.", ".5", "1:2.5:3", "18446744073709551616", "18446744073709551615:00", "18446744073709551615:59:59", "307445734561825860:59", "9" * 400)]
+    df = spark.createDataFrame(rows, "t string, s double").select("t", "s", sc.parse_timecode(F.col("t")).alias("got"))
+    assert [(r.t, r.got) for r in df.collect() if r.s != r.got] == []
     f = spark.createDataFrame([(0.0,), (65.9,), (3600.0,), (3661.0,)], "s double").select(sc.format_timecode(F.col("s")))
     assert [r[0] for r in f.collect()] == ["0:00", "1:05", "1:00:00", "1:01:01"]
 
@@ -342,3 +343,21 @@ def test_large_groups_of_copies_are_one_cluster(spark, copies):
         got.setdefault(r.component, set()).add(r.node)
     assert got == {0: set(range(copies)), 10_000: {10_000 + i for i in range(60)}}
     assert pairs.where(f"a < {copies}").count() == 0
+
+
+def test_what_lacks_and_widths(spark):
+    rows = [(200, 3, "ladder", ""), (199, 3, "ladder", "confident: 1 more hits"), (240, 2, "fitted", "confident: 1 more window"), (210, 1, "fitted", "confident: 30 more hits, 2 more windows"), (300, 0, "ladder", "confident: 3 more windows"), (59, 9, "ladder", "possible: 1 more hits")]
+    df = spark.createDataFrame(rows, "h int, w int, p string, want string")
+    assert all(r.want == r.got for r in df.select("want", sc.shortfall(F.col("h"), F.col("w"), F.col("p")).alias("got")).collect())
+    widths = spark.createDataFrame([(-41.0,), (-40.0,), (-39.9,), (-20.0,), (-10.0,), (-9.9,)], "db double")
+    assert [r[0] for r in widths.select(sc.width_class(F.col("db"))).collect()] == ["mono", "mono", "nearly-mono", "nearly-mono", "narrow", "wide"]
+
+
+def test_ignore_lines_by_outermost_folder(spark):
+    cases = [("foo**bar", "foo/x/bar", None), ("foo**bar", "a/fooxbar/c", 1), ("a/**/b", "a/b", 1), ("a/**/b", "a/x/y/b/c", 1), ("a/**", "a", None), ("a/**", "a/x", 1), ("**/x", "p/q/x", 1), ("x/", "x", None), ("x/", "p/x/q", 1), ("/x", "p/x", None), ("?.wav", "d/a.wav", 1), ("[a].wav", "a.wav", None)]
+    for line, path, want in cases:
+        got = spark.createDataFrame([(path,)], "path string").select(library.ignored_by(F.col("path"), [line])).first()[0]
+        assert got == want, (line, path)
+    lines = ["# note", "deep", "a", "a/deep/*"]
+    paths = spark.createDataFrame([("a/deep/x",), ("b/deep/a",), ("c",)], "path string")
+    assert [r[0] for r in paths.select(library.ignored_by(F.col("path"), lines)).collect()] == [3, 2, None]
