@@ -42,6 +42,7 @@ class Options:
     near: float = 24.0  # of a measured hit to its alignment
     remeasure: int = 10  # hits from which a detection is measured again
     margin_frames: float = 625.0  # around a detection
+    window_frames: int = WINDOW_FRAMES
 
 
 def lookup(query_hashes: DataFrame, postings: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def align(query_hashes: DataFrame, postings: DataFrame, options: Options = Optio
     ``qframe`` is the query's own frame; a rung hears it at ``qframe * speed``.
     ``postings (hash, asset_id, frame)``.
     """
-    hits = lookup(query_hashes, postings).withColumn("point", F.col("qframe") * F.col("speed")).withColumn("window", F.floor(F.col("qframe") / WINDOW_FRAMES).cast("long"))
+    hits = lookup(query_hashes, postings).withColumn("point", F.col("qframe") * F.col("speed")).withColumn("window", F.floor(F.col("qframe") / options.window_frames).cast("long"))
     hits = possible_lines(hits, ["query_id", "asset_id", "rung_no", "window"], F.col("frame") - F.col("point"), 2 * options.within, options.least)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -226,17 +227,22 @@ def align(query_hashes: DataFrame, postings: DataFrame, options: Options = Optio
     return hits.select(*columns).groupBy("query_id", "asset_id").applyInPandas(run, LINE if trace else DETECTION)
 
 
+#: Postings that one shard of the index holds.
+SHARD_POSTINGS = 2_000_000
+
+
 def shard_lines(query_peaks: DataFrame, postings: DataFrame, ladder: DataFrame, o: Options = Options(), shards: int | None = None, fan_out: int = 2, batch_peaks: int = 2_000_000) -> DataFrame:
     """Lines of every query and asset, ``query_id, asset_id, window, rung_no, speed, playback, offset, hits, first, last``, without moving a hit.
 
     The index is dealt out by asset; every shard gets the peaks of the query, which
     are few, hashes them under every rung, and looks them up in its own lists. Hits
     exist only as arrays of one rung and block of windows at a time; what leaves a
-    task are lines. A shard meets at most about ``batch_peaks`` query peaks at a time.
+    task are lines. A shard should have about ``SHARD_POSTINGS`` postings; it meets at most
+    about ``batch_peaks`` query peaks at a time.
     """
     spark = query_peaks.sparkSession
     rungs = [(r.rung_no, float(r.speed), r.playback) for r in ladder.collect()]
-    shards = shards or spark.sparkContext.defaultParallelism
+    shards = shards or max(spark.sparkContext.defaultParallelism, -(-postings.count() // SHARD_POSTINGS))
     blocks = index.query_blocks(query_peaks)
     batches = max(1, -(-query_peaks.count() // batch_peaks))
     left = postings.select("hash", "asset_id", "frame", F.pmod(F.xxhash64("asset_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
@@ -256,7 +262,7 @@ def shard_lines(query_peaks: DataFrame, postings: DataFrame, ladder: DataFrame,
                     at = np.repeat(first[hashes] - np.cumsum(count) + count, count) + np.arange(count.sum())
                     q = np.repeat(qframe, count)
                     offset = frame[at] - q * speed
-                    window = np.floor(q / WINDOW_FRAMES).astype(np.int64)
+                    window = np.floor(q / o.window_frames).astype(np.int64)
                     group = window * len(assets) + asset[at]
                     order = np.lexsort((q, offset, group))
                     group, offset, q = group[order], offset[order], q[order]
@@ -302,7 +308,7 @@ def refine(detections: DataFrame, query_hashes: DataFrame, postings: DataFrame,
     heard = query_hashes.select("query_id", "rung_no", "hash", "qframe")
     near = strong.select(*key, "rung_no", "start", "end", "speed", "offset").join(heard, ["query_id", "rung_no"]).where(F.col("qframe").between(F.col("start") - o.margin_frames, F.col("end") + o.margin_frames))
     met = near.join(postings, ["hash", "asset_id"]).withColumn("dev64", F.round((F.col("frame") - (F.col("speed") * F.col("qframe") + F.col("offset"))) * 64).cast("long"))
-    met = met.where(F.abs("dev64") <= o.near * 64).withColumn("window", F.floor(F.col("qframe") / WINDOW_FRAMES).cast("long"))
+    met = met.where(F.abs("dev64") <= o.near * 64).withColumn("window", F.floor(F.col("qframe") / o.window_frames).cast("long"))
     run = F.count("*").over(Window.partitionBy(*key, "window").orderBy("dev64").rangeBetween(0, int(o.within * 64)))
     best = met.withColumn("run", run).groupBy(*key, "window").agg(F.max("run").alias("run")).where(F.col("run") >= o.least)
     evidence = best.groupBy(*key).agg(F.count("*").cast("int").alias("windows"), F.sum("run").cast("int").alias("hits"))

@@ -56,11 +56,13 @@ def identify(query_peaks: DataFrame, postings: DataFrame, ladder: DataFrame, sha
 
     The first pass searches the index shard by shard. The second hashes the query
     only as the rungs hear it that won a detection; first-pass detections are tens
-    a query and cut the plan.
+    a query and cut the plan. ``postings`` are gone through several times, so they
+    should be a table, such as a saved index.
     """
-    stats = index.hash_stats(postings)
+    stats = materialise(index.hash_stats(postings), "list-lengths")
     kept = index.without_fullest(postings, stats, index.fullest_threshold(stats, share))
-    found = materialise(align.from_lines(align.shard_lines(query_peaks, kept, ladder, options), options), "detections", compact=True)
+    shards = max(postings.sparkSession.sparkContext.defaultParallelism, -(-postings.count() // align.SHARD_POSTINGS))
+    found = materialise(align.from_lines(align.shard_lines(query_peaks, kept, ladder, options, shards), options), "detections", compact=True)
     rungs = [r.rung_no for r in found.select("rung_no").distinct().collect()]
     hashes = query_hashes(query_peaks, ladder.where(F.col("rung_no").isin(rungs or [-1])))
     found = align.suppress(align.refine(found, hashes, postings, options), options.speed_gap)

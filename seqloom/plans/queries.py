@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from seqloom.functions import scalars as sc
 from seqloom.operators import align, fits, graph, harness, index, intervals, plays, repeats, scoring, verify
 from seqloom.plans import compose
+from seqloom.session import materialise
 from seqloom.sources import library, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,10 +126,37 @@ def identify_synthetic(spark, sf_dir):
     plan = [(0, k * 7 % assets, 30, 55, (0.95, 1.0, 1.03, 1.06)[k % 4], 60 * k) for k in range(10)]
     plan = spark.createDataFrame(plan, "query_id long, asset_id long, from_s int, length_s int, speed double, at_s int")
     made = compose.synthetic_library(spark, assets)
-    found = compose.identify(compose.synthetic_mix(made, plan), compose.build_index(made), index.speed_ladder(spark))
+    postings, mix = materialise(compose.build_index(made), "postings"), materialise(compose.synthetic_mix(made, plan), "mix")
+    found = compose.identify(mix, postings, index.speed_ladder(spark))
     return named(found.select("query_id", "asset_id", "start", "end", "level", "hits", "windows", "speed", "playback"))
 
 
+@query("""WITH n AS (SELECT greatest(4, count(*) // 60) AS assets FROM customer), p AS (SELECT k, k * 7 % assets AS asset_id, [0.95, 1.0, 1.03, 1.06][k % 4 + 1] AS speed FROM n, range(10) r(k))
+    SELECT k AS stretch, asset_id, CAST(speed AS DOUBLE) AS speed, 'confident' AS level, true AS at_its_place FROM p""")
+def identify_planted(spark, sf_dir):
+    """Of the stretches that the mix of :func:`identify_synthetic` plays, which the search names, at which speed, and whether where they are."""
+    assets = max(4, t(spark, sf_dir, "customer").count() // 60)
+    plan = spark.range(10).select(F.col("id").alias("stretch"), (F.col("id") * 7 % assets).alias("asset_id"), F.element_at(F.array(*map(F.lit, (0.95, 1.0, 1.03, 1.06))), (F.col("id") % 4 + 1).cast("int")).alias("planned"), (F.col("id") * 60).alias("at_s"))
+    found = identify_synthetic(spark, sf_dir).where("level = 'confident'").select("asset_id", "start_s", "end_s", F.col("speed").alias("heard"), "level")
+    met = plan.join(found, "asset_id").where((F.abs(F.col("heard") - F.col("planned")) <= 0.002) & (F.col("start_s") < F.col("at_s") + 50) & (F.col("end_s") > F.col("at_s")))
+    near = (F.abs(F.col("start_s") - F.col("at_s")) <= 5) & (F.abs(F.col("end_s") - F.col("at_s") - 55 / F.col("planned")) <= 5)
+    return met.select("stretch", "asset_id", F.col("planned").alias("speed"), "level", near.alias("at_its_place"))
+
+
+@query(f"""WITH {DP}, {IP}, v AS (SELECT item_id, doc_id, dp.pos - ip.pos AS o, count(*) AS hits FROM ip JOIN dp USING (hash) GROUP BY ALL), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY hits DESC, o) AS k FROM v) WHERE k = 1 AND hits >= 3),
+    m AS (SELECT d.item_id, d.doc_id, ip.pos // 16 AS w, dp.pos - (ip.pos + o) AS dev FROM d JOIN ip ON ip.item_id = d.item_id JOIN dp ON dp.doc_id = d.doc_id AND dp.hash = ip.hash WHERE hits >= 10 AND abs(dp.pos - (ip.pos + o)) <= 24),
+    r AS (SELECT item_id, doc_id, max(n) AS run FROM (SELECT *, count(*) OVER (PARTITION BY item_id, doc_id, w ORDER BY dev RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) AS n FROM m) GROUP BY item_id, doc_id, w HAVING max(n) >= 3)
+    SELECT item_id, doc_id, 'fitted' AS pass, count(*) AS windows, CAST(sum(run) AS BIGINT) AS hits FROM r GROUP BY item_id, doc_id UNION ALL SELECT item_id, doc_id, 'ladder', 0, hits FROM d WHERE hits < 10""")
+def refine_passages(spark, sf_dir):
+    """The second pass on passages found by votes: evidence counted again near the alignment, window by window of 16 words."""
+    found = passage_search(spark, sf_dir).where("hits >= 3")
+    d = found.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("asset_id"), F.lit(0).alias("ord"), F.lit(0).alias("rung_no"), F.lit(0.0).alias("start"), F.lit(1e6).alias("end"), F.lit(1.0).alias("speed"), F.col("offset").cast("double").alias("offset"), F.lit(0).alias("windows"), F.col("hits").cast("int").alias("hits"))
+    heard = item_pairs(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.lit(0).alias("rung_no"), "hash", F.col("pos").cast("double").alias("qframe"))
+    p = doc_pairs(spark, sf_dir).select("hash", F.col("doc_id").alias("asset_id"), F.col("pos").cast("long").alias("frame"))
+    out = align.refine(d, heard, p, align.Options(window_frames=16))
+    return out.select(F.col("query_id").alias("item_id"), F.col("asset_id").alias("doc_id"), "pass", F.col("windows").cast("long").alias("windows"), F.col("hits").cast("long").alias("hits"))
+
+
 # -- index -----------------------------------------------------------------------
 
 
