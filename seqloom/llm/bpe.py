@@ -343,13 +343,17 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf_chars: int = 16_384
     and of the decoded text in UTF-8. One row for each row: a null text counts as
     empty (no tokens), a null or repeated ``doc_id`` changes nothing. An empty
     table gives no rows; other columns are not read. Only texts of over
-    ``leaf_chars`` characters are shuffled, as leaves.
+    ``leaf_chars`` characters are shuffled, as leaves. Leaves travel as tokens, which
+    hold their text where the vocabulary is of bytes; texts for any other tokenizer
+    (with a normaliser, or unknown tokens) are encoded whole, each in a task.
     """
     text = Path(tokenizer_path).read_text(encoding="utf-8")
     if len(text.encode()) > MOST_BYTES:
         raise ValueError(f"the tokenizer file has over {MOST_BYTES} bytes")
     vocabulary = docs.sparkSession.sparkContext.broadcast(text)
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not Coder(text).bytes:
+        return rows.mapInArrow(_short(vocabulary), _RESULT)
     is_long = F.coalesce(F.length("text"), F.lit(0)) > leaf_chars
     short = rows.where(~is_long).mapInArrow(_short(vocabulary), _RESULT)
     cut = rows.where(is_long).mapInArrow(_cut(leaf_chars), "row_id long, doc_id long, at long, leaf string")

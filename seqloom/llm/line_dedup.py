@@ -105,20 +105,24 @@ _SPOKEN = _LISTED + ", chunk binary"
 
 
 def _spoken(options, bits, wanted):
-    """The bytes of the chunks whose hash is wanted: those broadcast, or listed in the row."""
+    """The bytes of the chunks whose hash is wanted: those broadcast, in order, or listed in the row."""
 
     def run(batches):
-        some = set(wanted.value.tolist()) if wanted is not None else None
         for batch in batches:
-            lists = batch.column("wanted").to_pylist() if wanted is None else None
-            out = []
-            for i, (doc, key, text) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), texts(batch.column("text")))):
-                own = some if some is not None else set(lists[i])
-                seen: set[bytes] = set()
-                for start, n, chunk in chunks(text, *options):
-                    if (h := _hash(chunk, bits)) in own:
-                        out.append((doc, key, start, n, h, chunk in seen, chunk))
-                        seen.add(chunk)
+            found = [(i, start, n, _hash(chunk, bits), chunk) for i, text in enumerate(texts(batch.column("text"))) for start, n, chunk in chunks(text, *options)]
+            h = np.array([x[3] for x in found], np.int64)
+            if wanted is not None:
+                every = wanted.value
+                at = np.minimum(np.searchsorted(every, h), max(0, len(every) - 1))
+                hit = every[at] == h if len(every) else np.zeros(len(h), bool)
+            else:
+                own = [set(x) for x in batch.column("wanted").to_pylist()]
+                hit = np.array([x[3] in own[x[0]] for x in found], bool)
+            docs, keys, out, seen = batch.column("doc").to_pylist(), batch.column("key").to_pylist(), [], set()
+            for k in np.flatnonzero(hit):
+                i, start, n, value, chunk = found[k]
+                out.append((docs[i], keys[i], start, n, value, (i, chunk) in seen, chunk))
+                seen.add((i, chunk))
             c = list(zip(*out)) or [()] * 7
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=["doc", "key", "start", "n", "hash", "again", "chunk"])
@@ -145,7 +149,7 @@ def removals(docs: DataFrame, long_words: int = LONG_WORDS, min_words: int = MIN
     listed = materialise(rows.mapInArrow(_listed(options, hash_bits), _LISTED), "chunks")
     repeated = materialise(listed.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1").select("hash"), "repeated", compact=True)
     if repeated.count() <= BROADCAST_HASHES:
-        wanted = docs.sparkSession.sparkContext.broadcast(repeated.toArrow().column("hash").to_numpy())
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(repeated.toArrow().column("hash").to_numpy()))
         spoken = rows.mapInArrow(_spoken(options, hash_bits, wanted), _SPOKEN)
     else:
         lists = listed.join(repeated, "hash").groupBy("doc", "key").agg(F.collect_set("hash").alias("wanted"))

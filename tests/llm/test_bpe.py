@@ -72,3 +72,15 @@ def test_encode_decode(spark, coder):
         r = got[i, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()]
         assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.encode_decode(df.where("doc_id < 0"), PATH).count() == 0
+
+
+def test_other_vocabularies_are_encoded_whole(spark):
+    """A tokenizer that changes the text, or has unknown tokens, gives the library's result on long texts too."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = bpe.Coder(open(path, encoding="utf-8").read()).tokenizer
+    texts = [None, "", "Some Words, of a text. " * 200, "日本 é ÀÉ  two  blanks\n" * 100, "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode_decode(df, path, leaf_chars=300).collect():
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
