@@ -218,7 +218,7 @@ def trained(penalty: float = 1e-4, seed: int = 13) -> tuple[list[str], list[str]
     examples, held = [], []
     for k, family in enumerate(families):
         for text in NOTICES.get(family, OTHER):
-            some = [words_of(text)] * 6 + alterations(text, rng, 40)
+            some = [words_of(text)] * 6 + alterations(text, rng, 32)
             examples += [(w, k) for w in some]
             held += [(w, k) for w in alterations(text, rng, 8)]
     unknown = len(families) - 1
@@ -244,7 +244,7 @@ def trained(penalty: float = 1e-4, seed: int = 13) -> tuple[list[str], list[str]
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    for _ in range(400):  # proximal gradient with momentum
+    for _ in range(200):  # proximal gradient with momentum
         gap = (shares(x @ ahead_w + ahead_b) - y) / len(x)
         new_w, new_b = ahead_w - step * (x.T @ gap), ahead_b - step * gap.sum(0)
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * penalty, 0)
