@@ -6,12 +6,15 @@ may also be one line among others, so the lines of a block are scored as well. T
 features of a paragraph are word 1-, 2- and 3-grams of the notices below. A
 multinomial logistic regression with an L1 penalty is trained on the notices, on
 pieces and alterations of them, and on an unknown class: sentences that use the same
-words otherwise, and the notices' words in any order. The penalty leaves a sparse
-set of n-grams that matter; a paragraph that has none of them has the odds of the
-empty one, which is unknown, so it needs no scoring. A temperature fitted on
+words otherwise, and the notices' words in any order. A temperature fitted on
 alterations left out of training calibrates the odds. A family found is confirmed
 where enough of one of its templates' n-grams are there.
 
+What an n-gram can at most add to any family's odds against the unknown class is one
+number, kept to a step above it. A paragraph in which these numbers do not add up to
+the lead that the unknown class starts with can't be of a family, so only the others
+are scored in full.
+
 Training works on the notices only and ends with a table of bounded size. The
 scan over documents is built-in functions, joins and aggregates.
 """
@@ -21,8 +24,8 @@ from __future__ import annotations
 import json
 import random
 import re
-from collections.abc import Iterable
-from functools import lru_cache
+from collections.abc import Callable, Iterable
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,8 +161,6 @@ PLAIN = ["license", "licensed", "licenses", "copyright", "permission", "warranty
 BREAKS = "[^a-z0-9.]+|\\.(?![0-9])|(?<![0-9])\\."
 #: A version right behind a name is a word of its own: GPLv3, LGPL2.1.
 VERSIONED = "(?<![a-z0-9])(gpl|lgpl|agpl|mpl|bsd|apache)(?=v?[0-9])"
-#: Before each line without letters and digits.
-BLOCK_ENDS = "(?<=\n)(?=[^\\p{L}\\p{N}\n]*(?:\n|\\z))"
 LONGEST = 3
 #: Templates are known by their n-grams of all words; a smaller share of one than this is no confirmation.
 CONFIRMED, LIKELY = 0.5, 0.5
@@ -174,23 +175,33 @@ def grams_of(words: list[str]) -> set[str]:
 
 
 def words_column(text: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), VERSIONED, "$1 "), BREAKS), "")
+    versions = reduce(Column.__or__, (F.contains(F.lower(text), F.lit(x)) for x in ("gpl", "mpl", "bsd", "apache")))
+    split = F.when(versions, F.regexp_replace(F.lower(text), VERSIONED, "$1 ")).otherwise(F.lower(text))
+    return F.array_remove(F.split(split, BREAKS), "")
 
 
-def grams_column(words: Column, known: list[str]) -> Column:
-    """The distinct n-grams of an array of words that are among those ``known``; a null word is in none.
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, as the element of an array of one; a plain column would be put in at each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    The words go through an array of one, as an element of which they are worked
-    out once and not again for each of them.
-    """
+
+def known_words(text: Column, vocabulary: list[str]) -> Column:
+    """The words of a text in order, with one null for each run of others."""
+    words = F.transform(words_column(text), lambda w: F.when(w.isin(vocabulary), w))
+    return let(words, lambda words: F.filter(words, lambda w, i: w.isNotNull() | ((i > 0) & F.get(words, i - 1).isNotNull())))
+
+
+def grams_column(words: Column, known: list[str]) -> Column:
+    """The distinct n-grams of an array of words that are among those ``known``; a null word is in none."""
 
     def of(words: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(0), F.size(words) - 1)
-        begun = F.filter(F.when(F.size(words) > 0, starts).otherwise(F.array().cast("array<int>")), lambda i: F.get(words, i).isNotNull() & F.get(words, i + n - 1).isNotNull())
-        return F.transform(begun, lambda i: F.concat(*(x for k in range(n) for x in (F.lit(" "), F.get(words, i + k))[k == 0 :])))
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isNotNull() & F.get(words, i + n - 1).isNotNull())
+        return F.transform(starts, lambda i: F.concat(*(x for k in range(n) for x in (F.lit(" "), F.get(words, i + k))[k == 0 :])))
+
+    def every(words: Column) -> Column:
+        return F.array_distinct(F.filter(F.concat(words, *(of(words, n) for n in range(2, LONGEST + 1))), lambda g: g.isin(known)))
 
-    every = F.transform(F.array(words), lambda words: F.concat(words, *(of(words, n) for n in range(2, LONGEST + 1))))
-    return F.array_distinct(F.filter(F.get(every, F.lit(0)), lambda g: g.isin(known)))
+    return let(words, lambda words: F.when(F.exists(words, lambda w: w.isNotNull()), every(words)).otherwise(F.array().cast("array<string>")))
 
 
 def alterations(text: str, rng: random.Random, n: int) -> list[list[str]]:
@@ -218,7 +229,7 @@ def trained(penalty: float = 1e-4, seed: int = 13) -> tuple[list[str], list[str]
     examples, held = [], []
     for k, family in enumerate(families):
         for text in NOTICES.get(family, OTHER):
-            some = [words_of(text)] * 6 + alterations(text, rng, 32)
+            some = [words_of(text)] * 6 + alterations(text, rng, 40)
             examples += [(w, k) for w in some]
             held += [(w, k) for w in alterations(text, rng, 8)]
     unknown = len(families) - 1
@@ -244,7 +255,7 @@ def trained(penalty: float = 1e-4, seed: int = 13) -> tuple[list[str], list[str]
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    for _ in range(200):  # proximal gradient with momentum
+    for _ in range(300):  # proximal gradient with momentum
         gap = (shares(x @ ahead_w + ahead_b) - y) / len(x)
         new_w, new_b = ahead_w - step * (x.T @ gap), ahead_b - step * gap.sum(0)
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * penalty, 0)
@@ -266,40 +277,70 @@ def _table(spark: SparkSession, schema: str, rows: Iterable[tuple]) -> DataFrame
 
 
 @lru_cache(maxsize=2)
-def _model_rows() -> tuple[list[tuple], list[tuple], list[str]]:
-    """``(gram, weights, templates)`` of what the scan looks up, ``(template, family, size)``, and the grams that weigh anything; all of the notices."""
+def _model_rows() -> tuple[list[tuple], list[tuple]]:
+    """``(gram, weights, templates)`` of what the scan looks up, and ``(template, family, size)``; all of the notices."""
     _, grams, weights, _, _ = trained()
     templates = [(f, sorted(grams_of(words_of(t)))) for f, texts in NOTICES.items() for t in texts]
-    rows = {g: (g, [float(v) for v in weights[i]], []) for i, g in enumerate(grams) if weights[i].any()}
-    heavy = list(rows)
+    rows = {g: (g, [float(v) for v in weights[i]], []) for i, g in enumerate(grams)}
     for n, (_, own) in enumerate(templates):
         for g in own:
-            rows.setdefault(g, (g, None, []))[2].append(n)
-    return list(rows.values()), [(n, f, len(own)) for n, (f, own) in enumerate(templates)], heavy
+            rows[g][2].append(n)
+    return list(rows.values()), [(n, f, len(own)) for n, (f, own) in enumerate(templates)]
+
 
+#: Steps in which the most that an n-gram adds is kept.
+STEP = 0.25
+
+
+@lru_cache(maxsize=2)
+def bounds() -> tuple[dict[float, list[str]], float]:
+    """The n-grams by the most that each adds to a family's odds against the unknown class, a step above it at most; and that class's lead."""
+    _, grams, weights, biases, _ = trained()
+    most = (weights[:, :-1].astype(float) - weights[:, -1:]).max(1)
+    by: dict[float, list[str]] = {}
+    for g, m in zip(grams, most):
+        by.setdefault(float(np.ceil(m / STEP + 1e-6) * STEP), []).append(g)
+    return by, float((biases[-1].astype(float) - biases[:-1]).min())
 
-def units(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``(doc_id, doc, first, last, words)``: the blocks of a document's lines, and the lines of blocks that have several; ``doc`` is the row.
 
-    ``first`` and ``last`` count lines from 0. Words outside the vocabulary are
-    null. Lines without letters and digits are in no unit; units without a word of
-    the vocabulary are left out.
+def may_be_notice(grams: Column) -> Column:
+    by, lead = bounds()
+
+    def adds(g: Column) -> Column:
+        cases = F
+        for most, own in sorted(by.items(), key=lambda x: -len(x[1])):
+            cases = cases.when(g.isin(own), F.lit(most))
+        return cases.otherwise(F.lit(0.0))
+
+    return F.aggregate(grams, F.lit(0.0), lambda total, g: total + adds(g)) >= lead - 1e-3
+
+
+def units(docs: DataFrame, known: list[str]) -> DataFrame:
+    """``(doc_id, doc, first, last, grams)``: the blocks of a document's lines, and the lines of blocks that have several; ``doc`` is the row.
+
+    ``first`` and ``last`` count lines from 0, ``grams`` are those ``known``. Lines
+    without letters and digits are in no unit; units that can't be of a family are
+    left out.
     """
-    some = docs.select("doc_id", "text").withColumn("doc", F.monotonically_increasing_id()).withColumn("pieces", F.split("text", BLOCK_ENDS, -1))
-    # what stands before a block: for each piece the line ends of the pieces before it
-    ends = F.transform("pieces", lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
-    blocks = some.withColumn("ends", ends).select("doc_id", "doc", "ends", F.posexplode("pieces").alias("piece", "block")).where(F.col("block").rlike("[\\p{L}\\p{N}]"))
-    before = F.aggregate(F.slice("ends", 1, F.col("piece")), F.lit(0), lambda a, n: a + n) + F.when(F.col("block").rlike("^[^\\p{L}\\p{N}\n]*\n"), 1).otherwise(0)
-    lines = F.split(F.regexp_replace("block", "^[^\\p{L}\\p{N}\n]*\n|\n\\z", ""), "\n", -1)
-    known = F.transform(lines, lambda line: F.transform(words_column(line), lambda w: F.when(w.isin(vocabulary), w)))
-    blocks = blocks.select("doc_id", "doc", "ends", "piece", "block", known.alias("lines"))
-    blocks = blocks.where(F.exists("lines", lambda x: F.exists(x, lambda w: w.isNotNull()))).select("doc_id", "doc", before.alias("first"), "lines")
-    whole = F.struct(F.lit(0).alias("at"), F.size("lines").alias("n"), F.flatten("lines").alias("words"))
-    each = F.transform("lines", lambda words, i: F.struct(i.alias("at"), F.lit(1).alias("n"), words.alias("words")))
-    each = F.filter(each, lambda u: F.exists(u["words"], lambda w: w.isNotNull()))
-    every = F.when(F.size("lines") > 1, F.array_append(each, whole)).otherwise(F.array(whole))
-    out = blocks.select("doc_id", "doc", "first", F.explode(every).alias("u"))
-    return out.select("doc_id", "doc", (F.col("first") + F.col("u.at")).alias("first"), (F.col("first") + F.col("u.at") + F.col("u.n") - 1).alias("last"), F.col("u.words").alias("words"))
+    vocabulary = sorted({w for g in known for w in g.split()})
+
+    def unit(first: Column, n: Column, words: Column) -> Column:
+        return F.struct(first.alias("first"), (first + n - 1).alias("last"), grams_column(words, known).alias("grams"))
+
+    def block(words: Column, first: Column, n: Column) -> Column:
+        each = lambda own: F.transform(own, lambda w, i: unit(first + i, F.lit(1), w))
+        return let(F.slice(words, first + 1, n), lambda own: F.when(n > 1, F.array_append(each(own), unit(first, n, F.flatten(own)))).otherwise(each(own)))
+
+    def blocks(lines: Column, words: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~F.get(lines, i).rlike("[\\p{L}\\p{N}]"))
+        edges = F.concat(F.array(F.lit(-1)), ends, F.array(F.size(lines)))
+        return let(edges, lambda e: F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: block(words, F.get(e, k) + 1, F.get(e, k + 1) - F.get(e, k) - 1))))
+
+    every = let(F.split("text", "\n", -1), lambda lines: let(F.transform(lines, lambda x: known_words(x, vocabulary)), lambda words: blocks(lines, words)))
+    # what is left out goes within the generator: a filter behind it would work all of this out a second time
+    some = docs.select("doc_id", "text").where("text is not null").withColumn("doc", F.monotonically_increasing_id())
+    out = some.select("doc_id", "doc", F.explode(F.filter(every, lambda u: may_be_notice(u["grams"]))).alias("u"))
+    return out.select("doc_id", "doc", "u.first", "u.last", "u.grams")
 
 
 def scan(docs: DataFrame, likely: float = LIKELY, confirmed: float = CONFIRMED) -> DataFrame:
@@ -317,12 +358,10 @@ def scan(docs: DataFrame, likely: float = LIKELY, confirmed: float = CONFIRMED)
     """
     spark = docs.sparkSession
     families, _, _, biases, temperature = trained()
-    rows, templates, heavy = _model_rows()
-    of = [F.lit(f) for f in families]
+    rows, templates = _model_rows()
     # the tables are made of the notices and as small as these
-    known = [r[0] for r in rows]
-    found = units(docs, sorted({w for g in known for w in g.split()})).withColumn("grams", grams_column(F.col("words"), known)).drop("words")
-    found = found.where(F.exists("grams", lambda g: g.isin(heavy)))
+    of = [F.lit(f) for f in families]
+    found = units(docs, [r[0] for r in rows])
     found = materialise(found.withColumn("row_id", F.monotonically_increasing_id()), "license-paragraphs")
     model = F.broadcast(_table(spark, "gram string, weights array<double>, templates array<int>", rows))
     sizes = F.broadcast(_table(spark, "template int, of string, size int", templates))

@@ -79,6 +79,20 @@ def test_long_lines_take_linear_time(spark):
     assert {r.doc_id for r in ls.scan(df).collect()} <= {1} and time.time() - began < 8
 
 
+def test_what_is_left_out_is_unknown():
+    """Whatever n-grams a paragraph has, what they add at most is no less than what they add to any family."""
+    families, grams, w, b, _ = ls.trained()
+    by, lead = ls.bounds()
+    most = {g: m for m, own in by.items() for g in own}
+    assert set(most) == set(grams)
+    rng = random.Random(1)
+    for _ in range(300):
+        own = rng.sample(range(len(grams)), rng.randint(0, 40))
+        z = sum((w[i].astype(float) for i in own), np.zeros(len(families))) + b
+        if z[:-1].max() >= z[-1]:
+            assert sum(most[grams[i]] for i in own) >= lead - 1e-3
+
+
 def test_held_out_alterations():
     rng = random.Random(99)
     right, n = 0, 0
