@@ -24,9 +24,9 @@ from seqloom.session import materialise
 #: Quantised values of a component within a block.
 LEVELS = 32
 #: Share of the postings after which the stop is tested.
-TESTS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
+TESTS = (0.35, 0.42, 0.5, 0.6, 0.7, 0.8)
 #: Rows that are scored at once for a first bar, and share of rows that it pays to score instead of going on.
-FIRST, FEW = 32, 1 / 16
+FIRST, FEW = 32, 1 / 6
 #: No score known yet.
 NO_BAR = -(1 << 62)
 
