@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes, as the planner estimates them, that a partition of a compacted table may have.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 4 << 20
 
 
 def few_files(df: DataFrame) -> DataFrame:
