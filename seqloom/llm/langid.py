@@ -129,10 +129,15 @@ class Model:
         return out.tolist(), score
 
 
-def fit(rows: DataFrame, per_lang: int = 400, seed: int = 11) -> Model | None:
-    """A model from ``rows (doc_id, text, lang)``, of which at most about ``per_lang`` a language are used, whole."""
+def fit(rows: DataFrame, per_lang: int = 400, most_langs: int = 200, seed: int = 11) -> Model | None:
+    """A model from ``rows (doc_id, text, lang)``, of which at most about ``per_lang`` a language are used, whole.
+
+    The ``most_langs`` languages with most texts are learned: machines are fitted for
+    each two of a family and of families, so labels that are no languages must not be
+    without bound.
+    """
     labelled = rows.where("lang is not null and text is not null and length(text) > 0")
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
     parts = 1 << 20
@@ -179,12 +184,12 @@ def _predict(model_bc):
     return run
 
 
-def identify(docs: DataFrame, held_out: Column, per_lang: int = 400) -> DataFrame:
+def identify(docs: DataFrame, held_out: Column, per_lang: int = 400, most_langs: int = 200) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row of ``docs (doc_id, text, lang)``.
 
-    Learns from rows with a language where ``held_out`` is false, about
-    ``per_lang`` texts a language (``per_lang`` bounds the sample, drawn by a hash
-    of the id); predicts from the whole text alone. ``score`` is the logistic of
+    Learns the ``most_langs`` most frequent languages from rows where ``held_out`` is
+    false, about ``per_lang`` texts each (both bound the sample, drawn by a hash of
+    the id); predicts from the whole text alone. ``score`` is the logistic of
     the least margin by which the family and the language won. A null text, one
     without a letter, or no language to learn from gives ``und`` and zero. Null
     ids count as an empty id text in the split; null languages are not learned
@@ -192,7 +197,7 @@ def identify(docs: DataFrame, held_out: Column, per_lang: int = 400) -> DataFram
     table gives no rows.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held_out.alias("held_out"))
-    model = fit(rows.where(~F.col("held_out")), per_lang)
+    model = fit(rows.where(~F.col("held_out")), per_lang, most_langs)
     return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

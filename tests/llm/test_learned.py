@@ -24,6 +24,48 @@ def test_language_id(spark):
     assert got.where("score < 0 or score > 1").count() == 0 and got.count() == docs.count()
 
 
+def plain_language(model, text):
+    """The family by most wins over the others, then the language within it; n-grams counted one by one."""
+    folded = bytearray(b" " + text + b" ")
+    for i in range(1, len(folded) - 1):
+        b = text[i - 1]
+        folded[i] = b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+        if i > 1 and text[i - 2] == 0xC3 and 0x80 <= b <= 0x9E:
+            folded[i] += 32
+    count = {}
+    for i in range(len(text) + 1):
+        padded = bytes(folded) + b" "
+        for n in (1, 2, 3):
+            g = int.from_bytes(padded[i : i + n], "big")
+            h = ((g * 2654435761 + n * 0x9E3779B9) % (1 << 32) * 0x85EBCA6B) % (1 << 32) >> 19
+            count[h] = count.get(h, 0) + 1
+    total = sum(count.values())
+    margin = {p: sum(n / total * model.weights[h, k] for h, n in count.items()) for k, p in enumerate(model.pairs)}
+
+    def winner(classes):
+        wins = {c: [m if p[0] == c else -m for p, m in margin.items() if c in p and set(p) <= set(classes)] for c in classes}
+        best = max(classes, key=lambda c: sum(m > 0 for m in wins[c]) + 0.5 * linear.sigmoid(np.array(sum(wins[c]))))
+        return best, min(wins[best], default=np.inf)
+
+    family, sure = winner([f"family:{f}" for f in model.families])
+    lang, inner = winner([g for g in model.langs if f"family:{langid.family_of(g)}" == family])
+    return lang, float(min(linear.sigmoid(np.array([sure, inner]))))
+
+
+def test_language_id_against_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = langid.held_out_remainder(F.col("doc_id"))
+    model = langid.fit(docs.withColumn("h", held).where("not h"), per_lang=60)
+    got = {r.doc_id: r for r in langid.identify(docs, held, per_lang=60).collect()}
+    some = [r for r in docs.orderBy("doc_id").limit(80).collect() if r.text and len(r.text) < 3000]
+    for r in some:
+        lang, score = plain_language(model, r.text.encode())
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == (lang, pytest.approx(score, abs=1e-3))
+    assert len(some) > 50
+    few = langid.fit(docs, per_lang=20, most_langs=2)
+    assert len(few.langs) == 2
+
+
 def test_language_id_edges(spark):
     rows = [(i, t, g, 1.0) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("zzz", "xx"), (None, "en"), ("123 !!", "en"), ("", None), ("the dog", None)])]
     rows += [rows[0], (None, "the cat", "en", 2.0)]
