@@ -172,7 +172,8 @@ def stretched_copies(peaks: DataFrame, copies: DataFrame, reverse: bool = False)
 
 def exact_copies(df: DataFrame, n: int, id_col: str) -> DataFrame:
     """``n`` renamed copies of each row."""
-    return df.crossJoin(df.sparkSession.range(n).select(F.col("id").alias("copy_no"))).withColumn(id_col, F.concat(F.col(id_col).cast("string"), F.lit("#"), F.col("copy_no").cast("string")))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n else F.explode(F.array().cast("array<int>"))
+    return df.withColumn("copy_no", numbers).withColumn(id_col, F.concat(F.col(id_col).cast("string"), F.lit("#"), F.col("copy_no").cast("string")))
 
 
 # -- lists ---------------------------------------------------------------------

@@ -971,3 +971,47 @@ def second_records(spark, sf_dir):
     start = F.col("l_orderkey") % 1000
     d = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 20).alias("file"), (F.col("l_linenumber") % 2).alias("record"), start.alias("start"), (start + F.col("l_quantity")).cast("long").alias("end"), F.round("l_extendedprice").cast("long").alias("hits"))
     return verify.stronger_record(d).agg(F.count("*").alias("kept"))
+
+
+@query(f"""WITH {DP} SELECT lang AS set_id, dp.doc_id, count(*) AS postings FROM dp, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) s WHERE dp.doc_id NOT IN (SELECT doc_id FROM documents d WHERE d.lang = s.lang) GROUP BY ALL""")
+def leave_out(spark, sf_dir):
+    """The index each language's documents are searched in when all of that language are left out."""
+    d = t(spark, sf_dir, "documents").where("lang is not null")
+    langs = sorted(r.lang for r in d.select("lang").distinct().collect())  # a handful
+    tracks = d.select(F.col("lang").alias("set_id"), F.array("doc_id").alias("references"))
+    p = doc_pairs(spark, sf_dir).withColumnRenamed("doc_id", "asset_id")
+    out = [harness.leave_out(p, tracks, F.lit(g)).groupBy("asset_id").agg(F.count("*").alias("postings")).withColumn("set_id", F.lit(g)) for g in langs]
+    return compose.union_all(out).withColumnRenamed("asset_id", "doc_id").select("set_id", "doc_id", "postings")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1 AND l_returnflag = 'R')""")
+def without_reported(spark, sf_dir):
+    recordings = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("path"), F.lit(1).alias("size"), F.lit(0).alias("modified"))
+    reports = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("size"), F.lit(0).alias("modified"), F.col("l_returnflag").alias("settings"))
+    return library.without_reported(recordings, reports, "R").select("o_orderkey")
+
+
+@query("""SELECT l_orderkey, l_partkey || '#' || c AS part, c AS copy_no FROM lineitem, range(3) r(c)""")
+def exact_copies(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part"))
+    return index.exact_copies(li, 3, "part").select("l_orderkey", "part", F.col("copy_no").cast("long").alias("copy_no"))
+
+
+STRETCHED = "s AS (SELECT asset, k AS copy_no, CAST(round((CASE WHEN rev THEN top - frame64 ELSE frame64 END) * tf) AS BIGINT) AS frame64, CAST(round(bin64 * bf) AS INTEGER) AS bin64, rev FROM (SELECT *, max(frame64) OVER (PARTITION BY asset) AS top FROM pk), (VALUES (0, 0.5, 2.0, false), (1, 1.25, 8.0, false), (0, 1.0, 6.0, true)) c(k, tf, bf, rev))"
+
+
+@query(f"""WITH {CELLS}, {STRETCHED} SELECT asset AS asset_id, CAST(copy_no AS INTEGER) AS copy_no, rev AS reversed, count(*) AS peaks, CAST(sum(frame64) AS BIGINT) AS frames, CAST(sum(bin64) AS BIGINT) AS bins FROM s WHERE bin64 BETWEEN 320 AND 32000 GROUP BY ALL""")
+def stretched_copies(spark, sf_dir):
+    """Synthetic assets: stretched, and turned round."""
+    p = embedding_points(spark, sf_dir)
+    copies = spark.createDataFrame([(0, 0.5, 2.0), (1, 1.25, 8.0)], "copy_no int, time_factor double, bin_factor double")
+    back = spark.createDataFrame([(0, 1.0, 6.0)], "copy_no int, time_factor double, bin_factor double")
+    both = index.stretched_copies(p, copies).withColumn("reversed", F.lit(False)).unionByName(index.stretched_copies(p, back, reverse=True).withColumn("reversed", F.lit(True)))
+    return both.groupBy("asset_id", "copy_no", "reversed").agg(F.count("*").alias("peaks"), F.sum("frame64").alias("frames"), F.sum("bin64").alias("bins"))
+
+
+@query(f"""WITH {IV}, p AS (SELECT user_id AS query_id, event_id AS play, event_type AS track, a, b, a // 3600 AS zero, value >= 50 AS sure FROM iv) SELECT x.query_id, x.play, string_agg(DISTINCT y.track, ',' ORDER BY y.track) AS titles FROM p x JOIN p y ON x.query_id = y.query_id AND y.sure AND x.play <> y.play AND x.track <> y.track AND least(x.b, y.b) - greatest(x.a, y.a) >= 0.5 * least(x.b - x.a, y.b - y.a) AND x.a < y.b AND y.a < x.b AND abs(x.zero - y.zero) <= 5 GROUP BY ALL""")
+def other_titles(spark, sf_dir):
+    e = events(spark, sf_dir)
+    p = e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("play"), F.col("event_type").alias("track"), "start", "end", F.floor(F.col("start") / 3600).alias("zero"), F.when(F.col("value") >= 50, 2).otherwise(1).alias("rank"))
+    return plays.other_titles(p, 36000).select("query_id", "play", F.concat_ws(",", "titles").alias("titles"))
