@@ -90,6 +90,11 @@ def survey(files: DataFrame, stored: DataFrame) -> DataFrame:
     return f.join(s, "path", "full_outer").select("path", state.alias("state"))
 
 
+def vanished(files: DataFrame, read: DataFrame) -> DataFrame:
+    """Files of the listing ``(path, reason)`` that were to be read and are not among those ``read (path)``."""
+    return files.where("reason is null").join(read.select("path"), "path", "left_anti")
+
+
 def to_index(files: DataFrame, stored: DataFrame, rejected: DataFrame, least: float | None, most: float | None) -> DataFrame:
     """Assets to read: not stored as they are, nor rejected under limits that still reject them.
 

@@ -139,3 +139,46 @@ def test_growing_table(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         streams.growing(stream, str(tmp_path / "t"), str(tmp_path / "ck"), "path", "modified").awaitTermination(120)
     assert {(r.path, r.seconds) for r in streams.current(spark, str(tmp_path / "t"), "path", "modified").collect()} == {("a", 7.0), ("b", 6.0)}
+
+
+def riff(*chunks):
+    body = b"".join(n + len(c).to_bytes(4, "little") + c + b"\0" * (len(c) % 2) for n, c in chunks)
+    return b"RIFF" + (len(body) + 4).to_bytes(4, "little") + b"WAVE" + body
+
+
+def id3(version, *frames):
+    size = lambda n: bytes(n >> 7 * k & 127 for k in (3, 2, 1, 0)) if version == 4 else n.to_bytes(4, "big")
+    body = b"".join(n + size(len(c)) + b"\0\0" + c for n, c in frames) + b"\0" * 20
+    return b"ID3" + bytes([version, 0, 0]) + bytes(len(body) >> 7 * k & 127 for k in (3, 2, 1, 0)) + body
+
+
+def flac(*comments):
+    texts = b"".join(len(c).to_bytes(4, "little") + c for c in comments)
+    block = (4).to_bytes(4, "little") + b"made" + len(comments).to_bytes(4, "little") + texts
+    return b"fLaC" + b"\0\0\0\x02ab" + b"\x84" + len(block).to_bytes(3, "big") + block
+
+
+def test_tags(spark, tmp_path):
+    from seqloom.sources import tags
+
+    info = riff((b"fmt ", b"x" * 16), (b"LIST", b"INFO" + b"INAM" + (4).to_bytes(4, "little") + b"One\0" + b"IART" + (3).to_bytes(4, "little") + b"Ann\0"))
+    files = {
+        "a.wav": (info, ("Ann", "One", None, None, "Ann - One")),
+        "b.mp3": (id3(3, (b"TIT2", b"\x00Caf\xe9"), (b"TXXX", b"\0x"), (b"TALB", b"\x01" + "Ünder".encode("utf-16"))), (None, "Café", "Ünder", None, "Café")),
+        "c.MP3": (id3(4, (b"TPE1", b"\x03Zo\xc3\xab\0more"), (b"TIT2", b"\x03" + b"t" * 200)), ("Zoë", "t" * 200, None, None, "Zoë - " + "t" * 200)),
+        "d.flac": (flac(b"TITLE=Deep", b"artist=Dee", b"ARTIST=Other", b"x=y"), ("Dee", "Deep", None, None, "Dee - Deep")),
+        "e.mp3": (b"\xff\xfb" * 100 + b"TAG" + b"Old".ljust(30, b"\0") + b"Who".ljust(30) + b"\0" * 65, ("Who", "Old", None, None, "Who - Old")),
+        "f.m4a": (b"\0\0\0\x18ftypM4A ", (None, None, None, "no tags", "f")),
+        "g.wav": (b"R", (None, None, None, "no tags", "g")),
+        "h.mp3": (b"ID3\x03\0\0\0\0\x7f\x7fTIT2\0\0", (None, None, None, "no tags", "h")),
+    }
+    for name, (data, _) in files.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "notes.txt").write_text("no audio")
+    got = {r.path.rsplit("/")[-1]: (r.artist, r.title, r.album, r.note, r.name) for r in tags.named(tags.tags(tags.audio_files(spark, str(tmp_path)))).collect()}
+    assert got == {n: want for n, (_, want) in files.items()}
+
+
+def test_vanished_files_are_counted(spark):
+    listed = spark.createDataFrame([("a", None), ("b", None), ("c", "ignored")], "path string, reason string")
+    assert [r.path for r in library.vanished(listed, spark.createDataFrame([("a",)], "path string")).collect()] == ["b"]
