@@ -56,6 +56,20 @@ def few_files(df: DataFrame) -> DataFrame:
     return df.coalesce(min(max(least, -(-bytes_ // FILE_BYTES)), (1 << 31) - 1))
 
 
+#: Folders of tables that each application wrote.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`materialise` wrote in this application, and says how many; results read from them must be saved before."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back; ``compact`` into no more files than its size asks for.
 
@@ -64,5 +78,6 @@ def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     (few_files(df) if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -182,3 +182,13 @@ def test_tags(spark, tmp_path):
 def test_vanished_files_are_counted(spark):
     listed = spark.createDataFrame([("a", None), ("b", None), ("c", "ignored")], "path string, reason string")
     assert [r.path for r in library.vanished(listed, spark.createDataFrame([("a",)], "path string")).collect()] == ["b"]
+
+
+def test_written_tables_can_be_discarded(spark):
+    import os
+
+    from seqloom.session import discard, materialise
+
+    path = materialise(spark.range(3), "kept").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and discard(spark) >= 1
+    assert not os.path.exists(os.path.dirname(path)) and discard(spark) == 0
