@@ -227,6 +227,14 @@ def align(query_hashes: DataFrame, postings: DataFrame, options: Options = Optio
     return hits.select(*columns).groupBy("query_id", "asset_id").applyInPandas(run, LINE if trace else DETECTION)
 
 
+def strongest_traces(lines: DataFrame, limit: int = 12) -> DataFrame:
+    """Of traced lines those of the ``limit`` assets of a query with most hits on a line; ties to the lesser asset."""
+    assets = lines.groupBy("query_id", "asset_id").agg(F.max("hits").alias("__most"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("__most"), "asset_id"))
+    few = assets.withColumn("__rank", rank).where(F.col("__rank") <= limit).select("query_id", "asset_id")
+    return lines.join(few, ["query_id", "asset_id"], "left_semi")
+
+
 #: Postings that one shard of the index holds.
 SHARD_POSTINGS = 2_000_000
 

@@ -50,6 +50,12 @@ def uncovered(df: DataFrame, keys: Keys, low: Column | float, high: Column | flo
     return out.where((F.col("__to") - F.col("__from") >= least) & (F.col("__to") > F.col("__from"))).select(*keys, F.col("__from").alias("start"), F.col("__to").alias("end"))
 
 
+def longest_uncovered(df: DataFrame, keys: Keys, low: Column | float, high: Column | float) -> DataFrame:
+    """The longest stretch of ``low .. high`` that no interval covers, of several the first: keys, ``start``, ``end``."""
+    longest = uncovered(df, keys, low, high).groupBy(*keys).agg(F.max(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col("start")).alias("s"))).alias("x"))
+    return longest.select(*keys, (-F.col("x.s")).alias("start"), (F.col("x.n") - F.col("x.s")).alias("end"))
+
+
 def _bins(df: DataFrame, start: str, end: str, width: float, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / width).cast("long"), F.floor(F.col(end) / width).cast("long"))))
 

@@ -267,6 +267,11 @@ def gaps_uncovered(spark, sf_dir):
     return named(intervals.uncovered(events(spark, sf_dir), ["user_id"], LOW, HIGH, 7200))
 
 
+@query(f"""WITH {IV}, {GAPS.replace('least(a,', 'least(iv.a,').replace('b - a >= 7200', 'b > a')}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY b - a DESC, a) AS k FROM gaps) SELECT user_id, a AS start_s, b AS end_s FROM r WHERE k = 1""")
+def longest_uncovered(spark, sf_dir):
+    return named(intervals.longest_uncovered(events(spark, sf_dir), ["user_id"], LOW, HIGH))
+
+
 CONSECUTIVE = "cs AS (SELECT user_id, a, lead(a) OVER (PARTITION BY user_id ORDER BY a) AS b FROM iv), ci AS (SELECT * FROM cs WHERE b IS NOT NULL)"
 
 

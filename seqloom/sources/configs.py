@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,25 @@ REPORT = """schema_version int, query struct<path: string, size: long, modified:
 SCHEMA_VERSION = 3
 
 
+#: Tracks have at most 17 minutes unless said otherwise.
+DEFAULTS = {"playback": "both", "min_track": 0.0, "max_track": 17 * 60.0, "peaks_dir": "work/peaks", "library": None}
+
+
+def settings(given: Mapping[str, object], environment: Mapping[str, object] | None = None, file: str | None = None, defaults: Mapping[str, object] = DEFAULTS) -> dict[str, object]:
+    """Each setting as it is given, else by the environment, else by the TOML ``file``, else by default; a null says nothing.
+
+    An unknown name in the file, and a shortest track that is not below the longest, are errors.
+    """
+    said = tomllib.loads(Path(file).read_text(encoding="utf-8")) if file else {}
+    if strange := sorted(set(said) - set(defaults)):
+        raise ValueError(f"{file} has unknown settings: {', '.join(strange)}")
+    layers = (given, environment or {}, said, defaults)
+    out = {name: next((layer[name] for layer in layers if layer.get(name) is not None), None) for name in defaults}
+    if "min_track" in out and "max_track" in out and not out["min_track"] < out["max_track"]:
+        raise ValueError(f"no file can be a track: the shortest, {out['min_track']} s, is not below the longest, {out['max_track']} s")
+    return out
+
+
 def read_manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``(set_id, title, audio, position, artist, name, start_s, references)`` of TOML manifests; one small file each."""
     rows = []

@@ -192,3 +192,24 @@ def test_written_tables_can_be_discarded(spark):
     path = materialise(spark.range(3), "kept").inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path) and discard(spark) >= 1
     assert not os.path.exists(os.path.dirname(path)) and discard(spark) == 0
+
+
+def test_settings_by_layer(tmp_path):
+    path = tmp_path / "settings.toml"
+    path.write_text('playback = "turntable"\nmin_track = 5.0\n')
+    got = configs.settings({"min_track": None, "peaks_dir": "x"}, {"playback": "key-locked"}, str(path))
+    assert got == {**configs.DEFAULTS, "playback": "key-locked", "min_track": 5.0, "peaks_dir": "x"}
+    assert configs.settings({}) == configs.DEFAULTS
+    with pytest.raises(ValueError, match="no file can be a track"):
+        configs.settings({"min_track": configs.DEFAULTS["max_track"]})
+    path.write_text("speed = 3\n")
+    with pytest.raises(ValueError, match="unknown settings: speed"):
+        configs.settings({}, file=str(path))
+
+
+def test_strongest_traces(spark):
+    from seqloom.operators.align import strongest_traces
+
+    rows = [(1, 7, 30), (1, 7, 5), (1, 8, 30), (1, 9, 12), (2, 9, 1)]
+    got = strongest_traces(spark.createDataFrame(rows, "query_id int, asset_id int, hits int"), 2).collect()
+    assert sorted(map(tuple, got)) == [(1, 7, 5), (1, 7, 30), (1, 8, 30), (2, 9, 1)]
