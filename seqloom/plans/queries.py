@@ -974,7 +974,7 @@ def multi_recording_files(spark, sf_dir):
     SELECT count(*) AS kept FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.q = d.q AND o.f = d.f AND o.r <> d.r AND d.a < o.b AND o.a < d.b AND (o.hits > d.hits OR (o.hits = d.hits AND o.r < d.r)))""")
 def second_records(spark, sf_dir):
     start = F.col("l_orderkey") % 1000
-    d = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 20).alias("file"), (F.col("l_linenumber") % 2).alias("record"), start.alias("start"), (start + F.col("l_quantity")).cast("long").alias("end"), F.round("l_extendedprice").cast("long").alias("hits"))
+    d = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 20).alias("file"), (F.col("l_linenumber") % 2).alias("record"), start.alias("start"), F.rint(start + F.col("l_quantity")).cast("long").alias("end"), F.rint("l_extendedprice").cast("long").alias("hits"))  # halves to even, as the SQL's CAST
     return verify.stronger_record(d).agg(F.count("*").alias("kept"))
 
 
