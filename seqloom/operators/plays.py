@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,20 +121,29 @@ def records_in_gaps(gaps_: DataFrame, repeats: DataFrame, width: float = 600.0)
 
 
 def entry_starts(df: DataFrame, key: str, share: float = 0.5) -> DataFrame:
-    """Starts of entries in order: an interval joins the last entry if it overlaps by ``share`` of the shorter; the end grows."""
+    """Starts of entries in order: an interval joins the last entry if it overlaps by ``share`` of the shorter; the end grows.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.sort_values(["start", "end"], kind="stable").itertuples():
-            if out and min(out[-1][1], r.end) - max(out[-1][0], r.start) >= share * min(out[-1][1] - out[-1][0], r.end - r.start):
-                out[-1][1] = max(out[-1][1], r.end)
-            else:
-                out.append([r.start, r.end])
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "start": [a for a, _ in out], "end": [b for _, b in out]})
-
-    # what does not overlap never joins, so an island of overlaps is what is held together
+    Keys stream through their task one after the other in order of start; nothing but the last entry is held.
+    """
     fields = df.select(key, "start", "end")
-    return islands(fields, [key]).groupBy(key, "island").applyInPandas(run, fields.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, types = None, None
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, types)], [key, "start", "end"])
+        for batch in batches:
+            types, out = [c.type for c in batch.columns], []
+            for k, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if last and k == last[0] and None not in (a, b, *last[1:]) and min(last[2], b) - max(last[1], a) >= share * min(last[2] - last[1], b - a):
+                    last[2] = max(last[2], b)
+                else:
+                    if last:
+                        out.append(last)
+                    last = [k, a, b]
+            yield table(out)
+        if last:
+            yield table([last])
+
+    return fields.repartition(key).sortWithinPartitions(key, "start", "end").mapInArrow(run, fields.schema)
 
 
 def tracklist(entries_: DataFrame, gaps_: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import duckdb
 
-from seqloom.operators import index
+from seqloom.operators import index, plays
 from seqloom.plans.queries import ORACLES, QUERIES
 
 
@@ -22,3 +22,20 @@ def test_statistics_of_more_lists_than_buckets(spark):
     r = index.index_stats(spark.createDataFrame(list(enumerate(lens)), "hash int, len long"), 100).first()
     lens.sort()
     assert (r.used, r.postings, r.mean_len, r.p99_len, r.max_len, r.top_postings) == (130, 237, 2.37, lens[99], 40, sum(lens[99:]))
+
+
+def test_entry_starts_of_many_keys_and_long_ones(spark):
+    """40,000 users of two islands, and one of 20,000 intervals in one island, that span batches; a group of Python's for each island takes minutes."""
+    many = spark.range(40_000).selectExpr("id AS k", "inline(arrays_zip(array(0L, 4L, 100L), array(10L, 30L, 110L))) AS (start, end)")
+    long = spark.range(20_000).selectExpr("-1L AS k", "id * 3 AS start", "id * 3 + 2 + id * 7919 % 11 AS end")
+    found = plays.entry_starts(many.unionByName(long), "k")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    want, last = [], None
+    for a, b in ((i * 3, i * 3 + 2 + i * 7919 % 11) for i in range(20_000)):
+        if last and min(last[1], b) - max(last[0], a) >= 0.5 * min(last[1] - last[0], b - a):
+            last[1] = max(last[1], b)
+        else:
+            want.append(last := [a, b])
+    assert sorted([r.start, r.end] for r in got if r.k == -1) == want
+    assert {(r.k, r.start, r.end) for r in got if r.k >= 0} == {(k, a, b) for k in range(40_000) for a, b in ((0, 30), (100, 110))}
