@@ -111,13 +111,26 @@ def gaps(plays_: DataFrame, low: float, high: float, least: float = 45.0) -> Dat
     return uncovered(sure, ["query_id"], low, high, least)
 
 
-def records_in_gaps(gaps_: DataFrame, repeats: DataFrame, width: float = 600.0) -> DataFrame:
-    """``query_id, start, end, records``: repeated stretches whose middle lies in each gap."""
-    g = gaps_.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / width).cast("long"), F.floor(F.col("end") / width).cast("long"))))
-    middle = (F.col("r_start") + F.col("r_end")) / 2
-    r = repeats.select("query_id", F.col("start").alias("r_start"), F.col("end").alias("r_end")).withColumn("__bin", F.floor(middle / width).cast("long"))
-    n = g.join(r, ["query_id", "__bin"]).where((middle >= F.col("start")) & (middle < F.col("end"))).groupBy("query_id", "start", "end").agg(F.count("*").alias("records"))
-    return gaps_.join(n, ["query_id", "start", "end"], "left").withColumn("records", F.coalesce("records", F.lit(0)))
+def records_in_gaps(gaps_: DataFrame, repeats: DataFrame, width: float = 600.0, key: str = "query_id") -> DataFrame:
+    """``gaps_`` with ``records``: repeated stretches whose middle lies in each gap ``(query_id, start, end)``.
+
+    Repeats ``(key, start, end)`` are those of the gaps with the same ``key``, which many queries may share.
+    Middles before a gap's end less those before its start are counted, in bins of ``width`` and by a running sum over
+    the bins, so neither is repeated: not a gap for each bin it spans, nor a repeat for each query or gap.
+    """
+    ids = list(dict.fromkeys(["query_id", key, "start", "end"]))
+    bound = lambda at, sign: F.struct(F.col(at).cast("double").alias("at"), F.lit(sign).alias("sign"), F.lit(0).cast("long").alias("n"))
+    bounds = gaps_.select(*ids).distinct().select(F.col(key).alias("__key"), F.struct(*ids).alias("gap"), F.inline(F.array(bound("start", -1), bound("end", 1))))
+    points = repeats.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"), ((F.col("start") + F.col("end")) / 2).cast("double").alias("at")).agg(F.count("*").alias("n"))
+    points = points.where("at is not null").select("__key", F.lit(None).cast(bounds.schema["gap"].dataType).alias("gap"), "at", F.lit(0).alias("sign"), "n")
+    both = bounds.where("__key is not null").unionByName(points).withColumn("__bin", F.floor(F.col("at") / width).cast("long"))
+    so_far = Window.partitionBy("__key").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = both.groupBy("__key", "__bin").agg(F.sum("n").alias("n")).select("__key", "__bin", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
+    # at a bound's own time the bounds come first: a middle there is not before it
+    within = F.sum("n").over(Window.partitionBy("__key", "__bin").orderBy("at", F.col("gap").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    place = both.withColumn("within", within).where("gap is not null").join(bins, ["__key", "__bin"])
+    n = place.groupBy("gap").agg(F.sum(F.col("sign") * (F.col("before") + F.col("within"))).alias("records")).select("gap.*", "records")
+    return gaps_.join(n, ids, "left").withColumn("records", F.coalesce("records", F.lit(0)))
 
 
 def entry_starts(df: DataFrame, key: str, share: float = 0.5) -> DataFrame:

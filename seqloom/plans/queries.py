@@ -303,10 +303,8 @@ def gap_quartiles(spark, sf_dir):
 def gap_estimate(spark, sf_dir):
     e = events(spark, sf_dir)
     gaps = intervals.uncovered(e, ["user_id"], LOW, HIGH, 7200).withColumnRenamed("user_id", "query_id")
-    lists = e.where("event_type = 'error'").select(F.col("user_id"), "start", "end")
-    users = e.select(F.col("user_id").alias("query_id")).distinct()
-    rep = lists.join(users, lists.user_id % 10 == users.query_id % 10).select("query_id", "start", "end")
-    counted = plays.records_in_gaps(gaps, rep, 86400.0).withColumnRenamed("query_id", "user_id")
+    lists = e.where("event_type = 'error'").select((F.col("user_id") % 10).alias("list"), "start", "end")
+    counted = plays.records_in_gaps(gaps.withColumn("list", F.col("query_id") % 10), lists, 86400.0, "list").withColumnRenamed("query_id", "user_id")
     q = gap_quartiles(spark, sf_dir)
     low, likely, high = intervals.estimate(F.col("end") - F.col("start"), F.col("q1"), F.col("q3"), F.col("n"), F.col("records"))
     return named(counted.join(q, "user_id").select("user_id", "start", "end", "records", low.alias("low"), likely.alias("likely"), high.alias("high")))

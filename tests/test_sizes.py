@@ -1,6 +1,10 @@
 """Queries and operators where inputs are larger or odder than the tables: results against SQL or plain loops."""
 
+import random
+from bisect import bisect_left
+
 import duckdb
+import pytest
 
 from seqloom.operators import index, plays
 from seqloom.plans.queries import ORACLES, QUERIES
@@ -39,3 +43,17 @@ def test_entry_starts_of_many_keys_and_long_ones(spark):
             want.append(last := [a, b])
     assert sorted([r.start, r.end] for r in got if r.k == -1) == want
     assert {(r.k, r.start, r.end) for r in got if r.k >= 0} == {(k, a, b) for k in range(40_000) for a, b in ((0, 30), (100, 110))}
+
+
+@pytest.mark.parametrize("width", [1.0, 7.0, 1000.0])
+def test_records_in_gaps_of_lists_that_queries_share(spark, width):
+    """Gaps of 300 queries over 3 lists, bounds and middles at the same places, lists and gaps without the other, no list."""
+    rng = random.Random(5)
+    rep = [(rng.choice([0, 1, 2, 7, None]), a, a + rng.randint(0, 9)) for a in (rng.randint(-50, 300) for _ in range(900))]
+    gaps = sorted({(q, q % 4 if q % 50 else None, a, a + rng.randint(1, 60)) for q in range(300) for a in rng.sample(range(-60, 300), 3)}, key=str)
+    got = plays.records_in_gaps(spark.createDataFrame(gaps, "query_id long, list long, start long, end long"), spark.createDataFrame(rep, "list long, start long, end long"), width, "list")
+    middles = {k: sorted((a + b) / 2 for x, a, b in rep if x == k) for k in range(4)}
+    want = {g: 0 if g[1] is None else bisect_left(middles[g[1]], g[3]) - bisect_left(middles[g[1]], g[2]) for g in gaps}
+    assert {(r.query_id, r.list, r.start, r.end): r.records for r in got.collect()} == want
+    own = plays.records_in_gaps(got.select("query_id", "start", "end"), spark.createDataFrame([(1, 0, 300), (2, 40, 41)], "query_id long, start long, end long"), width)
+    assert {(r.query_id, r.start, r.end): r.records for r in own.collect()} == {(q, a, b): int(q == 1 and a <= 150 < b) + int(q == 2 and a <= 40.5 < b) for q, _, a, b in gaps}
