@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -109,25 +111,51 @@ def family_rates(items: DataFrame, family: str, hit: str) -> DataFrame:
     return by.agg((F.sum("k") / F.sum("n")).alias("item_rate"), F.avg(F.col("k") / F.col("n")).alias("family_rate"), F.count("*").alias("families"))
 
 
-def draw_weight(draw: Column, unit: Column, units: Column, slots_: Column) -> Column:
-    """Unit that a slot of a draw takes: an integer hash both this engine and plain SQL can state."""
+def draw_weight(draw, unit, units, slots_):
+    """Unit that a slot of a draw takes: an integer hash that this engine, plain SQL and NumPy can state."""
     x = (draw * 7919 + slots_ * 104729 + 12345) % 2147483647
     x = (x * 48271) % 2147483647
     return (x * 48271 % 2147483647) % units
 
 
-def bootstrap(unit_sums: DataFrame, draws: int = 2000) -> DataFrame:
+#: Units that a task of the bootstrap holds; more are gone through block by block.
+BOOTSTRAP_UNITS = 1 << 20
+
+
+def bootstrap(unit_sums: DataFrame, draws: int = 2000, block: int = BOOTSTRAP_UNITS) -> DataFrame:
     """Nearest-rank 2.5 and 97.5 % of the rate over resamples of whole units ``(unit_no 0.., k, n)``, one row.
 
     A draw takes as many units as there are, with replacement; the arithmetic of
-    the draws is whole numbers, so the result is the same everywhere.
+    the draws is whole numbers, so the result is the same everywhere. Units are dealt to
+    parts of the draws in blocks; what a draw takes exists only as arrays of one task.
     """
     spark = unit_sums.sparkSession
+    parts = max(1, min(draws, 2 * spark.sparkContext.defaultParallelism))
+    kind = "long" if all(unit_sums.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") for c in "kn") else "double"
     count = unit_sums.agg(F.count("*").alias("units"))
-    taken = spark.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(count)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("units") - 1)))
-    taken = taken.select("draw", draw_weight(F.col("draw"), None, F.col("units"), F.col("slot")).alias("unit_no"))
-    per_unit = taken.groupBy("draw", "unit_no").agg(F.count("*").alias("times"))
-    rate = per_unit.join(unit_sums, "unit_no").groupBy("draw").agg((F.sum(F.col("times") * F.col("k")) / F.sum(F.col("times") * F.col("n"))).alias("rate"))
+    dealt = unit_sums.select(F.col("unit_no").cast("long").alias("unit_no"), F.col("k").cast(kind).alias("k"), F.col("n").cast(kind).alias("n")).crossJoin(F.broadcast(count))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("block", F.floor(F.col("unit_no") / block).cast("long"))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        part, first = key[0].as_py(), key[1].as_py() * block
+        units = table.column("units")[0].as_py()
+        held = np.zeros((2, min(block, max(units - first, 0))), np.int64 if kind == "long" else np.float64)
+        at = table.column("unit_no").to_numpy() - first
+        for row, name in zip(held, "kn"):
+            np.add.at(row, at[at < len(row)], table.column(name).fill_null(0).to_numpy()[at < len(row)])
+        mine, sums = range(part, draws, parts), []
+        for draw in mine:
+            k = n = 0
+            for lo in range(0, units, 1 << 18):
+                taken = draw_weight(draw, None, units, np.arange(lo, min(units, lo + (1 << 18)))) - first
+                taken = taken[(taken >= 0) & (taken < held.shape[1])] if units > block else taken
+                k, n = k + held[0][taken].sum().item(), n + held[1][taken].sum().item()
+            sums.append((draw, k, n))
+        columns = list(zip(*sums))
+        return pa.table({"draw": pa.array(columns[0], pa.int64()), "k": pa.array(columns[1]), "n": pa.array(columns[2])})
+
+    sums = dealt.repartition(parts, "part").groupBy("part", "block").applyInArrow(run, f"draw long, k {kind}, n {kind}")
+    rate = sums.groupBy("draw").agg((F.sum("k") / F.sum("n")).alias("rate"))
     # as many values as draws: a fixed number
     at = lambda p: F.element_at("v", F.greatest(F.lit(1), F.ceil(F.size("v") * p).cast("int")))
     held = rate.agg(F.sort_array(F.collect_list("rate")).alias("v"))

@@ -4,9 +4,10 @@ import random
 from bisect import bisect_left
 
 import duckdb
+import numpy as np
 import pytest
 
-from seqloom.operators import index, plays
+from seqloom.operators import index, plays, scoring
 from seqloom.plans.queries import ORACLES, QUERIES
 
 
@@ -57,3 +58,21 @@ def test_records_in_gaps_of_lists_that_queries_share(spark, width):
     assert {(r.query_id, r.list, r.start, r.end): r.records for r in got.collect()} == want
     own = plays.records_in_gaps(got.select("query_id", "start", "end"), spark.createDataFrame([(1, 0, 300), (2, 40, 41)], "query_id long, start long, end long"), width)
     assert {(r.query_id, r.start, r.end): r.records for r in own.collect()} == {(q, a, b): int(q == 1 and a <= 150 < b) + int(q == 2 and a <= 40.5 < b) for q, _, a, b in gaps}
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_bootstrap_in_blocks_of_units(spark, block):
+    units = [(i, i * 31 % 9, 9 + i % 5) for i in range(40)]
+    b = scoring.bootstrap(spark.createDataFrame(units, "unit_no long, k int, n long"), 300, block).first()
+    k, n = (np.array([u[c] for u in units]) for c in (1, 2))
+    rates = sorted(k[x].sum() / n[x].sum() for x in (scoring.draw_weight(d, None, 40, np.arange(40)) for d in range(300)))
+    assert (b.low, b.high, b.draws) == (pytest.approx(rates[7]), pytest.approx(rates[292]), 300)
+
+
+def test_bootstrap_of_many_units_broadcasts_no_draws(spark):
+    """What the draws take is units times draws; the planner took it for small and broadcast it."""
+    found = scoring.bootstrap(spark.range(30_000).selectExpr("id AS unit_no", "id % 7 AS k", "7L AS n"), 400)
+    assert "inline" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    x = np.arange(30_000)
+    rates = sorted((t % 7).sum() / (7 * len(x)) for t in (scoring.draw_weight(d, None, len(x), x) for d in range(400)))
+    assert (r := found.first()) and (r.low, r.high) == (pytest.approx(rates[9]), pytest.approx(rates[389]))
