@@ -10,7 +10,7 @@ Evidence is then measured again around each detection, against all lists.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,19 +84,46 @@ def densest(values: np.ndarray, within: float, least: int, most: int) -> list[tu
 
 def lines_of(hits: pd.DataFrame, o: Options) -> pd.DataFrame:
     """Lines of one query and asset: ``window, rung_no, speed, playback, offset, hits, first, last``."""
-    window, rung, q = hits.window.to_numpy(), hits.rung_no.to_numpy(), hits.qframe.to_numpy(float)
     offset = hits.frame.to_numpy(float) - hits.point.to_numpy(float)
+    window, rung, q = hits.window.to_numpy(), hits.rung_no.to_numpy(), hits.qframe.to_numpy(float)
     by = np.lexsort((q, offset, rung, window))
-    window, rung, q, offset = window[by], rung[by], q[by], offset[by]
+    out = sorted_lines(window[by], rung[by], q[by], offset[by], hits.speed.to_numpy()[by], hits.playback.to_numpy()[by], o)
+    return distinct(pd.DataFrame(out, columns=LINE_FIELDS), o)
+
+
+LINE_FIELDS = ["window", "rung_no", "speed", "playback", "offset", "hits", "first", "last"]
+
+
+def sorted_lines(window, rung, q, offset, speed, playback, o: Options) -> list[tuple]:
+    """Lines before any is left out for another, of hits of one query and asset in order of window, rung, offset and place."""
     edge = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]) | (rung[1:] != rung[:-1]), True])
-    speed, playback = hits.speed.to_numpy()[by], hits.playback.to_numpy()[by]
     out = []
     for lo, hi in zip(edge[:-1], edge[1:]):
         if hi - lo >= o.least:
             for a, b in densest(offset[lo:hi], o.within, o.least, o.lines):
                 part = slice(lo + a, lo + b)
                 out.append((window[lo], rung[lo], speed[lo], playback[lo], offset[part].mean(), b - a, q[part].min(), q[part].max()))
-    return distinct(pd.DataFrame(out, columns=["window", "rung_no", "speed", "playback", "offset", "hits", "first", "last"]), o)
+    return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches in which the rows of a group follow one another."""
+    held = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        starts = not held or any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys)
+        if held and (starts or len(new)):
+            yield pa.Table.from_batches(held if starts else [*held, batch.slice(0, new[0])])
+            held, batch, new = [], batch if starts else batch.slice(new[0]), new if starts else new[1:] - new[0]
+        if not held and len(new):
+            yield pa.Table.from_batches([batch.slice(0, new[-1])])
+            batch = batch.slice(new[-1])
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def predicted(line, query_frame: float) -> float:
@@ -117,6 +144,16 @@ def distinct(lines: pd.DataFrame, o: Options) -> pd.DataFrame:
     return lines.loc[keep].reset_index(drop=True)
 
 
+def distinct_here(lines: list[tuple], o: Options) -> list[tuple]:
+    """:func:`distinct` of lines of one window, strongest first."""
+    kept = []
+    for row in sorted(lines, key=lambda r: (-r[5], r[1], r[4])):
+        centre = (row[6] + row[7]) / 2
+        if all(abs((k[2] * centre + k[4]) - (row[2] * centre + row[4])) > o.apart for k in kept):
+            kept.append(row)
+    return kept
+
+
 def linked(a, b, o: Options) -> bool:
     """Whether line ``b`` may follow line ``a``."""
     steps = b.window - a.window
@@ -185,6 +222,8 @@ def strongest_first(found: pd.DataFrame, speed_share: float | None = None) -> pd
 
 DETECTION = "query_id long, asset_id long, start double, end double, track_start double, track_end double, speed double, playback string, windows int, hits int, offset double, rung_no int, ord int"
 LINE = "query_id long, asset_id long, line_no int, window long, rung_no int, speed double, playback string, offset double, hits int, first double, last double, chain int"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+DETECTION_KIND, LINE_KIND = ([(c.split()[0], _ARROW[c.split()[1]]) for c in x.split(", ")] for x in (DETECTION, LINE))
 
 
 def detections_of(lines: pd.DataFrame, o: Options) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -216,15 +255,41 @@ def align(query_hashes: DataFrame, postings: DataFrame, options: Options = Optio
     hits = lookup(query_hashes, postings).withColumn("point", F.col("qframe") * F.col("speed")).withColumn("window", F.floor(F.col("qframe") / options.window_frames).cast("long"))
     hits = possible_lines(hits, ["query_id", "asset_id", "rung_no", "window"], F.col("frame") - F.col("point"), 2 * options.within, options.least)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, lines = detections_of(lines_of(pdf, options), options)
-        ids = {"query_id": int(pdf.query_id.iloc[0]), "asset_id": int(pdf.asset_id.iloc[0])}
-        if trace:
-            return lines.assign(**ids, line_no=range(len(lines)))[[c.split()[0] for c in LINE.split(", ")]]
-        return strongest_first(found.assign(**ids))[[c.split()[0] for c in DETECTION.split(", ")]]
-
+    names = [c.split()[0] for c in (LINE if trace else DETECTION).split(", ")]
     columns = ["query_id", "asset_id", "rung_no", "speed", "playback", "window", "qframe", "frame", "point"]
-    return hits.select(*columns).groupBy("query_id", "asset_id").applyInPandas(run, LINE if trace else DETECTION)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        o, n, kinds = options, options.least - 1, pa.schema(LINE_KIND if trace else DETECTION_KIND)
+        for table in whole_groups(batches, ["query_id", "asset_id"]):
+            query, asset, window, rung, speed = (table.column(c).to_numpy() for c in ("query_id", "asset_id", "window", "rung_no", "speed"))
+            q = table.column("qframe").to_numpy().astype(float)
+            offset = table.column("frame").to_numpy().astype(float) - table.column("point").to_numpy().astype(float)
+            by = np.lexsort((q, offset, rung, window, asset, query))
+            query, asset, window, rung, speed, q, offset = (x[by] for x in (query, asset, window, rung, speed, q, offset))
+            # only groups in which some hits are near enough have lines
+            last = max(0, len(offset) - n)
+            dense = offset[n:] <= offset[:last] + o.within
+            for x in (query, asset, window, rung):
+                dense &= x[n:] == x[:last]
+            edge = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (asset[1:] != asset[:-1]), True])
+            single, several = [], []
+            for g in np.unique(np.searchsorted(edge, np.flatnonzero(dense), "right") - 1):
+                part = slice(edge[g], edge[g + 1])
+                playback = table.column("playback").take(pa.array(by[part])).to_pylist()
+                out = sorted_lines(window[part], rung[part], q[part], offset[part], speed[part], playback, o)
+                ids = {"query_id": int(query[edge[g]]), "asset_id": int(asset[edge[g]])}
+                if out[0][0] == out[-1][0]:  # one window makes no chain, so no detection
+                    single += [{**ids, "line_no": i, "chain": -1, **dict(zip(LINE_FIELDS, line))} for i, line in enumerate(distinct_here(out, o))] if trace else []
+                    continue
+                found, lines = detections_of(distinct(pd.DataFrame(out, columns=LINE_FIELDS), o), o)
+                several.append(lines.assign(**ids, line_no=range(len(lines))) if trace else strongest_first(found.assign(**ids)))
+            if trace and single:
+                several.append(pd.DataFrame(single))
+            several = [x[names] for x in several if len(x)]
+            if several:
+                yield from pa.Table.from_pandas(pd.concat(several), schema=kinds, preserve_index=False).to_batches()
+
+    return hits.select(*columns).repartition("query_id", "asset_id").sortWithinPartitions("query_id", "asset_id").mapInArrow(run, LINE if trace else DETECTION)
 
 
 def strongest_traces(lines: DataFrame, limit: int = 12) -> DataFrame:

@@ -5,9 +5,11 @@ from bisect import bisect_left
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
-from seqloom.operators import index, plays, scoring
+from seqloom.operators import align, index, plays, scoring
 from seqloom.plans.queries import ORACLES, QUERIES
 
 
@@ -76,3 +78,32 @@ def test_bootstrap_of_many_units_broadcasts_no_draws(spark):
     x = np.arange(30_000)
     rates = sorted((t % 7).sum() / (7 * len(x)) for t in (scoring.draw_weight(d, None, len(x), x) for d in range(400)))
     assert (r := found.first()) and (r.low, r.high) == (pytest.approx(rates[9]), pytest.approx(rates[389]))
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 100])
+def test_groups_are_whole_however_batches_cut_them(size):
+    rows = [(0, 1), (0, 1), (0, 2), (1, 2), (1, 2), (1, 2), (1, 2), (1, 2), (1, 2), (2, 2), (3, 0), (3, 0)]
+    batches = [pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in rows[i : i + size]]) for i in range(0, len(rows), size)]
+    got = [[(r["a"], r["b"]) for r in t.to_pylist()] for t in align.whole_groups(iter(batches), ["a", "b"])]
+    assert sum(got, []) == rows and all(x[-1] != y[0] for x, y in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("trace", [True, False])
+def test_alignment_streams_and_says_what_each_group_says(spark, trace):
+    """Many queries and assets, of one window and of several, against the rules on each group by itself; no Python group for each."""
+    rng = random.Random(3)
+    q = [(i, r, s, "turntable", rng.randint(0, 30), float(f)) for i in range(12) for r, s in ((0, 1.0), (1, 1.02)) for f in sorted(rng.sample(range(600 if i % 2 else 2500), 60))]
+    p = [(rng.randint(0, 30), a, rng.randint(0, 2600)) for a in range(9) for _ in range(250)] + [(h, 9, round(f * s) + 40) for i, _, s, _, h, f in q if i == 4]
+    hashes = spark.createDataFrame(q, "query_id long, rung_no int, speed double, playback string, hash int, qframe double")
+    found = align.align(hashes, spark.createDataFrame(p, "hash int, asset_id long, frame long"), trace=trace)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    o, want = align.Options(), []
+    hits = pd.DataFrame(q, columns=["query_id", "rung_no", "speed", "playback", "hash", "qframe"]).merge(pd.DataFrame(p, columns=["hash", "asset_id", "frame"]), on="hash")
+    hits = hits.assign(point=hits.qframe * hits.speed, window=(hits.qframe // o.window_frames).astype(int))
+    for (i, a), group in hits.groupby(["query_id", "asset_id"]):
+        detections, lines = align.detections_of(align.lines_of(group, o), o)
+        lines = lines.assign(query_id=i, asset_id=a, line_no=range(len(lines)))
+        want.append(lines if trace else align.strongest_first(detections.assign(query_id=i, asset_id=a)))
+    want = pd.concat([w for w in want if len(w)])[found.columns]
+    assert len(want) >= (500 if trace else 1) and (not trace or want.chain.max() >= 0)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.to_numpy(object)))
