@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.graph import connected_components
@@ -74,10 +74,15 @@ def pieces(spans: DataFrame, keys: Sequence[str], length: int, step: int) -> Dat
     return cut.select(*keys, "start", F.least(F.col("end"), F.col("start") + length).alias("end"))
 
 
+def digests(pairs_table: DataFrame, id_col: str, *more: Column) -> DataFrame:
+    """Items with ``__n, __x, __s``, the same for those with the same hashes at the same places, and ``more``."""
+    h = lambda salt: F.xxhash64("hash", "pos", F.lit(salt))
+    return pairs_table.groupBy(id_col).agg(F.count("*").alias("__n"), F.bit_xor(h(0)).alias("__x"), F.sum(h(1).bitwiseAND((1 << 32) - 1)).alias("__s"), *more)
+
+
 def equal_items(pairs_table: DataFrame, id_col: str) -> DataFrame:
     """``(id, representative)``: of items with the same hashes ``(id, hash, pos)`` at the same places the least one stands for all."""
-    h = lambda salt: F.xxhash64("hash", "pos", F.lit(salt))
-    digest = pairs_table.groupBy(id_col).agg(F.count("*").alias("__n"), F.bit_xor(h(0)).alias("__x"), F.sum(h(1).bitwiseAND((1 << 32) - 1)).alias("__s"))
+    digest = digests(pairs_table, id_col)
     least = digest.groupBy("__n", "__x", "__s").agg(F.min(id_col).alias("representative"))
     return digest.join(least, ["__n", "__x", "__s"]).select(id_col, "representative")
 

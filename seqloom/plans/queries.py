@@ -927,7 +927,7 @@ def mix_false(spark, sf_dir):
     v AS (SELECT q.doc_id AS a, ok.doc_id AS b, ok.pos - q.pos AS o, count(*) AS hits FROM q JOIN ok USING (hash) WHERE q.doc_id <> ok.doc_id GROUP BY ALL), m AS (SELECT a, b, max(hits) AS hits FROM v GROUP BY a, b), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) AS k FROM m),
     w AS (SELECT a, b, rp.pos - q.pos AS o, count(*) AS hits FROM r JOIN q ON q.doc_id = a JOIN rp ON rp.doc_id = b AND rp.hash = q.hash WHERE k <= 20 GROUP BY ALL) SELECT a, b, max(hits) AS hits FROM w GROUP BY a, b""")
 def library_wide_candidates(spark, sf_dir):
-    return harness.candidates(doc_pairs(spark, sf_dir), "doc_id", 100)
+    return harness.text_candidates(t(spark, sf_dir, "documents"), "doc_id", 100)
 
 
 @query("""SELECT h AS least_hits, w AS least_windows, count(*) FILTER (WHERE l_quantity >= h AND l_linenumber >= w AND l_returnflag <> 'R') AS "right", count(*) FILTER (WHERE l_quantity >= h AND l_linenumber >= w AND l_returnflag = 'R') AS wrong FROM lineitem, (VALUES (10), (20), (40)) x(h), (VALUES (1), (3)) y(w) GROUP BY h, w""")

@@ -70,14 +70,35 @@ def discard(spark: SparkSession) -> int:
     return len(paths)
 
 
-def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+#: Spark removes the shuffle files of a write as soon as it is done, instead of when the driver collects its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def release(df: DataFrame, part: str = "") -> None:
+    """Deletes a table that :func:`materialise` wrote, or one folder of it, that nothing reads any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    for path in _WRITTEN.get(spark.sparkContext.applicationId, []):
+        if any(f"/{path.rpartition('/')[2]}/" in f for f in files):
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}".rstrip("/"))
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialise(df: DataFrame, name: str, compact: bool = False, free: bool = False, by: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back; ``compact`` into no more files than its size asks for.
 
     The plan is cut there: a lost executor costs a reread, and the size of what
-    was written is known to the planner.
+    was written is known to the planner. ``free``: what its shuffles wrote is
+    removed at once; ``df`` itself must not be used again. ``by``: its last column, each value of which has a folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    (few_files(df) if compact else df).write.parquet(path)
+    before = spark.conf.get(FREED, None)
+    if free:
+        spark.conf.set(FREED, "true")
+    try:
+        (few_files(df) if compact else df).write.parquet(path, partitionBy=by)
+    finally:
+        if free:
+            spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -130,3 +130,46 @@ def test_candidates_are_measured_by_arrays_of_a_pair(spark):
     searched, measured = most(kept), most(every)
     want = {(a, b, measured[a, b]) for a in ends for b in sorted((b for x, b in searched if x == a), key=lambda b: (-searched[a, b], b))[:5]}
     assert full and any(measured[x] > searched[x] for x in searched) and {tuple(r) for r in found.collect()} == want
+
+
+def candidates_of(rows, length, k):
+    """What :func:`harness.candidates` is to say, by plain counts."""
+    lists = Counter(h for _, h, _ in rows)
+    full = {h for h, n in lists.items() if n > sorted(lists.values())[-1 - round(len(lists) * 0.01)]}
+    ends = {i: (min(p for x, _, p in rows if x == i) + max(p for x, _, p in rows if x == i)) / 2 for i in {x for x, _, _ in rows}}
+    of = {}
+    for b, h, p in rows:
+        of.setdefault(h, []).append((b, p))
+    every, kept = Counter(), Counter()
+    for a, h, pa_ in rows:
+        if ends[a] - length / 2 <= pa_ < ends[a] + length / 2:
+            for b, pb in of[h]:
+                if a != b:
+                    every[a, b, pb - pa_] += 1
+                    kept[a, b, pb - pa_] += h not in full
+    searched, measured = Counter(), Counter()
+    for (a, b, _), n in kept.items():
+        searched[a, b] = max(searched[a, b], n)
+    for (a, b, _), n in every.items():
+        measured[a, b] = max(measured[a, b], n)
+    best = {}
+    for (a, b), n in searched.items():
+        if n:
+            best.setdefault(a, []).append((-n, b))
+    return {(a, b, measured[a, b]) for a, found in best.items() for _, b in sorted(found)[:k]}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_candidates_write_few_bytes_for_a_place(spark, tmp_path, monkeypatch, small):
+    """Tables of 13,000 places in many lists of one and some of several: postings written as rows take more
+    than 8 bytes each. Also in several passes, ranges, blocks and parts of a block."""
+    if small:
+        for name, value in (("POSTINGS", 3000), ("PAIRS", 90), ("BROADCAST", 10), ("MARKS", 1000), ("BLOCK", 16)):
+            monkeypatch.setattr(harness, name, value)
+    rng = random.Random(4)
+    rows = [(i, rng.choice([rng.randint(0, 9), rng.randint(10, 900), rng.getrandbits(60)]), p) for i in range(100) for p in range(rng.choice([5, 100, 300]))]
+    monkeypatch.setattr("seqloom.session.shared_dir", lambda _: str(tmp_path))
+    found = {tuple(r) for r in harness.candidates(spark.createDataFrame(rows, "id long, hash long, pos long"), "id", 100, 20).collect()}
+    assert found == candidates_of(rows, 100, 20) and len(found) > 500
+    written = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert small or written < 8 * len(rows)
